@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -166,7 +167,7 @@ def token_ids(df: DataFrame, id_col: str, text_col: str, path: str = VOCABULARY)
                 texts = part.column(1)
                 ids = encode_texts(texts, path, cache)
                 if texts.null_count:
-                    ids = pa.compute.if_else(texts.is_valid(), ids, pa.scalar(None, ids.type))
+                    ids = pc.if_else(texts.is_valid(), ids, pa.scalar(None, ids.type))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc", "ids"])
 
     out = df.select(df[id_col].alias("doc"), df[text_col].alias("text")).mapInArrow(run, f"doc {kind}, ids array<int>")

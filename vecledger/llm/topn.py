@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 BUFFER_ROWS = 200_000
@@ -22,7 +23,7 @@ def best_rows(rows: pa.Table, group: list[str], order: list[tuple[str, str]], n:
     if rows.num_rows == 0:
         return rows
     keys = [(g, "ascending") for g in group] + order
-    rows = rows.take(pa.compute.sort_indices(rows, sort_keys=keys, null_placement="at_end"))
+    rows = rows.take(pc.sort_indices(rows, sort_keys=keys, null_placement="at_end"))
     new = np.zeros(rows.num_rows, dtype=bool)
     new[0] = True
     for g in group:
