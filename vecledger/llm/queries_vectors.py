@@ -1,4 +1,4 @@
-"""Query p5 and its SQL."""
+"""Queries p1 and p5."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecledger.llm.ivfpq import similar_pairs
+from vecledger.llm.pivots import clusters, typical_members
 from vecledger.sources.tables import table
 
 
@@ -17,5 +18,16 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return each.withColumn("n", rank).where("n <= 5").select("id_a", "id_b").distinct()
 
 
-QUERIES = {"p5_found": p5_found}
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    members = clusters(table(spark, sf, "vectors"), table(spark, sf, "collections"))
+    ids = members.groupBy("pivot").agg(F.min("vector_id").alias("cluster_id"))
+    return members.join(ids, "pivot").select("vector_id", "cluster_id")
+
+
+def p1_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    vectors, collections = table(spark, sf, "vectors"), table(spark, sf, "collections")
+    return typical_members(vectors, collections, clusters(vectors, collections))
+
+
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p5_found": p5_found}
 SQL: dict[str, str] = {}
