@@ -1,4 +1,4 @@
-"""Queries p3 and p6, with the SQL of those that SQL can express."""
+"""Queries p3, p6 and p7, with the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecledger.functions.distance import DistanceMetric, metric_of
+from vecledger.llm.leaks import leaked
 from vecledger.llm.tokens import token_ids
 from vecledger.llm.topn import top_n
 from vecledger.sources.tables import table
@@ -38,7 +39,11 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return token_ids(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p6_ids": p6_ids}
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "item_text")
+
+
+QUERIES = {"p3_found": p3_found, "p6_ids": p6_ids, "p7_found": p7_found}
 
 SQL = {
     "p3_found": """
