@@ -1,4 +1,4 @@
-"""Queries p3, p6 and p7, with the SQL of those that SQL can express."""
+"""Queries p3, p6, p7 and p8, with the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from vecledger.functions.distance import DistanceMetric, metric_of
 from vecledger.llm.leaks import leaked
+from vecledger.llm.textstats import text_statistics, text_types
 from vecledger.llm.tokens import token_ids
 from vecledger.llm.topn import top_n
-from vecledger.sources.tables import table
+from vecledger.sources.tables import table, written
 
 
 def ranked_items(results: DataFrame, collections: DataFrame) -> DataFrame:
@@ -43,7 +44,16 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "item_text")
 
 
-QUERIES = {"p3_found": p3_found, "p6_ids": p6_ids, "p7_found": p7_found}
+def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return text_statistics(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    stats = written(p8_statistics(spark, sf).select("doc_id", "votes"))
+    return text_types(stats).where("p_prose < 0.5").select("doc_id")
+
+
+QUERIES = {"p3_found": p3_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_statistics": p8_statistics, "p8_found": p8_found}
 
 SQL = {
     "p3_found": """
