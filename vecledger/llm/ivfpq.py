@@ -3,10 +3,10 @@
 Fitting (on a bounded sample of each collection): spherical k-means centroids, and per
 subspace a codebook of residuals. Indexing covers every row: a row's code goes to the
 list of its nearest centroid and to lists that a row within the wanted cosine could
-have as home; its query (8 bits an element) goes to its own list. Within a list the
-asymmetric distance tables of the queries estimate all cosines; what may reach the wanted
-cosine is compared exactly in DOUBLE on the live versions. Only codes, 8-bit queries and
-the few candidates' vectors are shuffled, never the whole vectors.
+have as home, with the vector in 8 bits an element. Within a list the asymmetric distance
+tables of its home rows estimate all cosines, the 8-bit vectors rerank what may reach the
+wanted cosine, and what still may is compared exactly in DOUBLE on the live versions. Only
+codes, 8-bit vectors and the few candidates' vectors are shuffled, never all vectors.
 
 Estimate: q.x = q.x' + q.e for x = x' + e. x.e and |e| are kept with the code, and for
 q within distance D of x, q.e = x.e + (q-x).e, where (q-x).e is about D|e|/sqrt(dim).
@@ -27,7 +27,7 @@ from vecledger.functions.distance import dot_product, norm
 from vecledger.operators.liverows import live_vectors, usable
 from vecledger.sources.tables import written
 
-LIST_ROWS, MOST_LISTS, SAMPLE_PER_LIST = 512, 4096, 32
+LIST_ROWS, MOST_LISTS, SAMPLE_PER_LIST = 256, 4096, 32
 SUBSPACES, CODES, TRAIN_CODES_ROWS = 8, 256, 8192
 VISIT, SLACK, ROUNDING = 1.6, 2.5, 0.004
 BLOCK_ROWS = 8192
@@ -118,46 +118,53 @@ def encode(model: dict, x: np.ndarray, min_cosine: float) -> tuple:
 
 
 def _packed(collection: str, model: dict, h: np.ndarray, x: np.ndarray, min_cosine: float) -> Iterator[tuple]:
+    """(collection, list, block, packed rows): see PACKED for the rows."""
     home, codes, xe, en, (row, at) = encode(model, x, min_cosine)
     scale = np.abs(x).max(1) / 127
     scale[scale == 0] = 1
     small = np.round(x / scale[:, None]).astype(np.int8)
-    block = (h.view(np.uint64) % model["blocks"][home].astype(np.uint64)).astype(np.int64)
-    key = home * (1 << 32) + block
-    order = np.argsort(key, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-        i = part[0]
-        yield collection, int(home[i]), int(block[i]), True, h[part].tobytes(), small[part].tobytes(), scale[part].astype(np.float32).tobytes()
     order = np.argsort(at, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
         r = row[part]
-        more = np.column_stack([xe[r], en[r]]).astype(np.float32).tobytes() + home[r].astype(np.int32).tobytes()
+        rows = np.empty(len(r), packed_type(x.shape[1], codes.shape[1]))
+        for name, column in (("h", h), ("small", small), ("scale", scale), ("codes", codes), ("xe", xe), ("en", en), ("home", home)):
+            rows[name] = column[r]
         for b in range(model["blocks"][at[part[0]]]):
-            yield collection, int(at[part[0]]), b, False, h[r].tobytes(), codes[r].tobytes(), more
-
-
-def search(model: dict, qh: np.ndarray, q: np.ndarray, h: np.ndarray, codes: np.ndarray, xe: np.ndarray, en: np.ndarray, home: np.ndarray, min_cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, row) of hashes whose cosine may reach min_cosine."""
-    dim = q.shape[1]
-    need = min_cosine - ROUNDING - xe - SLACK * np.sqrt(2 - 2 * min_cosine) / np.sqrt(dim) * en
-    homes, home_at = np.unique(home, return_inverse=True)
-    columns = [np.ascontiguousarray(codes[:, m]).astype(np.intp) for m in range(codes.shape[1])]
-    base_c = model["c"][homes]
-    found_q, found_h = [], []
-    step = max(1, min(256, (1 << 21) // max(1, len(h))))
-    for s in range(0, len(q), step):
-        part = q[s : s + step]
-        estimate = (part @ base_c.T)[:, home_at]
-        for (a, b), book, column in zip(spans(dim), model["books"], columns, strict=True):
-            estimate += np.take(part[:, a:b] @ book.T, column, axis=1)  # the asymmetric distance table
-        r, k = np.nonzero(estimate >= need)
-        a, b = qh[s : s + step][r], h[k]
-        keep = a != b
-        found_q.append(np.minimum(a, b)[keep])
-        found_h.append(np.maximum(a, b)[keep])
-    if not found_q:
+            yield collection, int(at[part[0]]), b, rows.tobytes()
+
+
+def packed_type(dim: int, subspaces: int) -> np.dtype:
+    return np.dtype([("h", "<i8"), ("small", "i1", (dim,)), ("scale", "<f4"), ("codes", "u1", (subspaces,)), ("xe", "<f4"), ("en", "<f4"), ("home", "<i4")])
+
+
+def search(model: dict, mine: np.ndarray, rows: np.ndarray, min_cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of hashes (of `mine`, of `rows`) whose cosine may reach min_cosine."""
+    dim = rows["small"].shape[1]
+    reach = np.sqrt(2 - 2 * min_cosine) / np.sqrt(dim)
+    need = (min_cosine - ROUNDING - rows["xe"] - SLACK * reach * rows["en"]).astype(np.float32)
+    homes, home_at = np.unique(rows["home"], return_inverse=True)
+    columns = [rows["codes"][:, m].astype(np.intp) for m in range(rows["codes"].shape[1])]
+    query = mine["small"] * mine["scale"][:, None]
+    found = []
+    for s in range(0, len(mine), 256):
+        q = query[s : s + 256]
+        base = model["c"][homes] @ q.T
+        # the asymmetric distance tables, codes by queries
+        tables = [book @ q[:, a:b].T for (a, b), book in zip(spans(dim), model["books"], strict=True)]
+        for t in range(0, len(rows), 1024):
+            part = slice(t, t + 1024)
+            estimate = base[home_at[part]]
+            for table, column in zip(tables, columns, strict=True):
+                estimate += table[column[part]]
+            k, r = np.nonzero(estimate >= need[part, None])
+            for u in range(0, len(k), 1 << 16):  # rerank
+                kk, rr = k[u : u + (1 << 16)] + t, r[u : u + (1 << 16)]
+                near = np.einsum("ij,ij->i", q[rr], rows["small"][kk].astype(np.float32)) * rows["scale"][kk] >= min_cosine - ROUNDING
+                a, b = mine["h"][s + rr[near]], rows["h"][kk[near]]
+                found.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)])[a != b])
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    both = np.unique(np.column_stack([np.concatenate(found_q), np.concatenate(found_h)]), axis=0)
+    both = np.unique(np.concatenate(found), axis=0)
     return both[:, 0], both[:, 1]
 
 
@@ -190,26 +197,17 @@ def candidates(rows: DataFrame, min_cosine: float) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True)), schema=schema)
 
-    schema = pa.schema([("collection_name", pa.string()), ("list", pa.int32()), ("block", pa.int32()), ("query", pa.bool_()), ("h", pa.binary()), ("body", pa.binary()), ("more", pa.binary())])
+    schema = pa.schema([("collection_name", pa.string()), ("list", pa.int32()), ("block", pa.int32()), ("rows", pa.binary())])
 
     def look(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = shared.value[pdf["collection_name"].iloc[0]]
-        q, d = pdf[pdf["query"]], pdf[~pdf["query"]]
-        name = pdf["collection_name"].iloc[0]
-        if q.empty:
-            return pd.DataFrame({"collection_name": [], "ha": [], "hb": []})
-        qh = np.frombuffer(b"".join(q["h"]), np.int64)
-        qx = np.frombuffer(b"".join(q["body"]), np.int8).reshape(len(qh), -1).astype(np.float32)
-        qx *= np.frombuffer(b"".join(q["more"]), np.float32)[:, None]
-        h = np.frombuffer(b"".join(d["h"]), np.int64)
-        codes = np.frombuffer(b"".join(d["body"]), np.uint8).reshape(len(h), -1)
-        n = [len(v) // 8 for v in d["h"]]
-        floats = np.concatenate([np.frombuffer(v, np.float32, 2 * k).reshape(k, 2) for v, k in zip(d["more"], n, strict=True)])
-        home = np.concatenate([np.frombuffer(v, np.int32, k, 8 * k) for v, k in zip(d["more"], n, strict=True)])
-        ha, hb = search(model, qh, qx, h, codes, floats[:, 0], floats[:, 1], home, min_cosine)
+        name, at, block = pdf["collection_name"].iloc[0], pdf["list"].iloc[0], pdf["block"].iloc[0]
+        model = shared.value[name]
+        listed = np.frombuffer(b"".join(pdf["rows"]), packed_type(model["c"].shape[1], len(model["books"])))
+        own = (listed["home"] == at) & (listed["h"].view(np.uint64) % np.uint64(model["blocks"][at]) == np.uint64(block))
+        ha, hb = search(model, listed[own], listed, min_cosine)
         return pd.DataFrame({"collection_name": name, "ha": ha, "hb": hb})
 
-    packed = rows.select("collection_name", "h", "vector_values").mapInArrow(index, "collection_name string, list int, block int, query boolean, h binary, body binary, more binary")
+    packed = rows.select("collection_name", "h", "vector_values").mapInArrow(index, "collection_name string, list int, block int, rows binary")
     pairs = packed.groupBy("collection_name", "list", "block").applyInPandas(look, "collection_name string, ha bigint, hb bigint")
     return written(pairs)
 
