@@ -8,20 +8,28 @@ from pyspark.sql import functions as F
 from vecledger.operators.changefeed import APPEND, PUT, current_state
 
 OPS = ("Get", "Put", "Append")
+BLOCK = 1 << 16
 
 
 def once(log: DataFrame) -> DataFrame:
     """Operations of a log (log_index, op, key, value, client_id, seq_id) that take effect.
 
     A write whose seq_id is not above all earlier writes of its client is skipped; reads
-    always take effect. Skipped writes never raise the running maximum, so it is a plain
-    window. Writes without client or sequence number always take effect.
+    always take effect. Skipped writes never raise the running maximum, so it is that of
+    all earlier writes. Writes without client or sequence number always take effect.
     """
-    write = F.col("op") != "Get"
-    before = F.max("seq_id").over(Window.partitionBy("client_id").orderBy("log_index").rowsBetween(Window.unboundedPreceding, -1))
-    writes = log.where(write & F.col("client_id").isNotNull()).withColumn("__before", before)
-    fresh = writes.where(F.col("__before").isNull() | F.col("seq_id").isNull() | (F.col("seq_id") > F.col("__before"))).drop("__before")
-    return fresh.unionByName(log.where(~write | (write & F.col("client_id").isNull())))
+    write = F.coalesce(F.col("op") != "Get", F.lit(False))
+    named = write & F.col("client_id").isNotNull() & F.col("seq_id").isNotNull()
+    writes = log.where(named).withColumn("__block", F.floor(F.col("log_index") / BLOCK).cast("bigint"))
+    # a client's log is cut into blocks, so the window never holds a whole client
+    tops = writes.groupBy("client_id", "__block").agg(F.max("seq_id").alias("__top"))
+    before = Window.partitionBy("client_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("client_id", "__block", F.max("__top").over(before).alias("__earlier"))
+    inside = Window.partitionBy("client_id", "__block").orderBy("log_index").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.greatest(F.max("seq_id").over(inside), F.col("__earlier"))
+    marked = writes.join(tops, ["client_id", "__block"]).withColumn("__last", last)
+    fresh = marked.where(F.col("__last").isNull() | (F.col("seq_id") > F.col("__last"))).select(*log.columns)
+    return fresh.unionByName(log.where(~named))
 
 
 def state(log: DataFrame) -> DataFrame:

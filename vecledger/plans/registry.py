@@ -1,6 +1,6 @@
 """All core queries by name, with the SQL that must give the same rows."""
 
-from vecledger.plans import pipeline
+from vecledger.plans import log_queries, pipeline, vector_queries
 
-QUERIES = {**pipeline.QUERIES}
-SQL = {**pipeline.SQL}
+QUERIES = {**vector_queries.QUERIES, **log_queries.QUERIES, **pipeline.QUERIES}
+SQL = {**vector_queries.SQL, **log_queries.SQL, **pipeline.SQL}
