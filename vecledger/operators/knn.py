@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vecledger.functions.distance import DistanceMetric, distance_function, is_higher_better, normalized_score
 
@@ -74,7 +75,7 @@ def batch_knn(points: DataFrame, queries: DataFrame, metric: DistanceMetric, k:
         blocks.append((ids, np.array(values, np.float64).reshape(len(ids), -1)))
     out = None
     for ids, q in blocks:
-        shared = spark.sparkContext.broadcast((pa.array(ids) if ids else pa.array([], pa.int64()), q))
+        shared = spark.sparkContext.broadcast((pa.array(ids, to_arrow_type(queries.schema["query_id"].dataType)), q))
 
         def near(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
