@@ -23,6 +23,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 WIDTH, RADIUS, BLOCKS = 12, 3, 4
 ITEMS_AT_ONCE = 20_000
@@ -156,6 +157,7 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
     """
     spark = docs.sparkSession
     doc_kind, item_kind = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    item_type = to_arrow_type(items.schema[item_id].dataType)
     slices = -(-max(1, items.count()) // ITEMS_AT_ONCE)
     result = None
     for s in range(slices):
@@ -182,7 +184,7 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
                 found |= matches(passages, waiting, least)
                 if found:
                     d, i = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(d, type=batch.column(0).type), pa.array(i)], ["doc", "item"])
+                    yield pa.RecordBatch.from_arrays([pa.array(d, type=batch.column(0).type), pa.array(i, item_type)], ["doc", "item"])
 
         hits = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body")).mapInArrow(run, f"doc {doc_kind}, item {item_kind}")
         result = hits if result is None else result.unionByName(hits)
