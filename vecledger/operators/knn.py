@@ -72,7 +72,7 @@ def batch_knn(points: DataFrame, queries: DataFrame, metric: DistanceMetric, k:
             blocks.append((ids, np.array(values, np.float64)))
             ids, values = [], []
     if ids or not blocks:
-        blocks.append((ids, np.array(values, np.float64).reshape(len(ids), -1)))
+        blocks.append((ids, np.array(values, np.float64) if ids else np.zeros((0, 0))))
     out = None
     for ids, q in blocks:
         shared = spark.sparkContext.broadcast((pa.array(ids, to_arrow_type(queries.schema["query_id"].dataType)), q))
