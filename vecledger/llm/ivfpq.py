@@ -20,11 +20,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecledger.functions.distance import dot_product, norm
-from vecledger.operators.liverows import live_vectors, usable
+from vecledger.llm.topn import top_n
+from vecledger.operators.liverows import live_keys, live_vectors, usable
 from vecledger.sources.tables import written
 
 LIST_ROWS, MOST_LISTS, SAMPLE_PER_LIST = 256, 4096, 32
@@ -74,8 +75,7 @@ def fit(values: np.ndarray, rows: int) -> dict:
     res = (x - c[home])[part]
     books = [kmeans(np.ascontiguousarray(res[:, a:b]), min(CODES, max(1, len(res) // 4)), 5, False, rng) for a, b in spans(x.shape[1])]
     share = np.bincount(home, minlength=len(c)) / len(x) * rows
-    far = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
-    return {"c": c, "books": books, "far": far.astype(np.float32), "blocks": np.maximum(1, np.ceil(share / BLOCK_ROWS)).astype(int)}
+    return {"c": c, "books": books, "blocks": np.maximum(1, np.ceil(share / BLOCK_ROWS)).astype(int)}
 
 
 def fit_all(rows: DataFrame) -> dict[str, dict]:
@@ -102,6 +102,8 @@ def fit_all(rows: DataFrame) -> dict[str, dict]:
 def encode(model: dict, x: np.ndarray, min_cosine: float) -> tuple:
     """Home list, codes, x.e, |e| of unit rows, and the (row, list) visits of their codes."""
     c = model["c"]
+    if "far" not in model:  # once per process
+        model["far"] = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
     sims = x @ c.T
     home = sims.argmax(1)
     res = x - c[home]
@@ -212,35 +214,44 @@ def candidates(rows: DataFrame, min_cosine: float) -> DataFrame:
     return written(pairs)
 
 
-def only_named(writes: DataFrame, h, pairs: DataFrame) -> DataFrame:
-    """The rows of `writes` whose hash may occur in pairs, by a bit filter of bounded size.
+def bit_filter(hashes: DataFrame):
+    """A test of BIGINT columns: true for all values of `hashes` (one column) and few others.
 
     The filter has FILTER_BITS bits at most; beyond its capacity it lets more rows pass
     to the join that follows, never fewer.
     """
-    both = pairs.select(F.explode(F.array("ha", "hb")).alias("h"))
-    bits = both.select(F.pmod(F.col("h"), F.lit(FILTER_BITS)).alias("bit"))
+    bits = hashes.toDF("h").where("h is not null").select(F.pmod(F.col("h"), F.lit(FILTER_BITS)).alias("bit"))
     found = bits.groupBy(F.expr("cast(shiftright(bit, 5) as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 as int)))").alias("bits")).toPandas()
     table = np.zeros(FILTER_BITS // 32, np.uint32)
     table[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
-    used = writes.sparkSession.sparkContext.broadcast(table)
+    used = hashes.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
-    def named(s: pd.Series) -> pd.Series:
+    def maybe(s: pd.Series) -> pd.Series:
         v = s.to_numpy() % FILTER_BITS
         return pd.Series((used.value[v >> 5] >> (v & 31).astype(np.uint32)) & 1 == 1)
 
-    return writes.where(named(h))
+    return maybe
 
 
-def similar_pairs(writes: DataFrame, collections: DataFrame, min_cosine: float) -> DataFrame:
+def only_named(writes: DataFrame, h: Column, pairs: DataFrame) -> DataFrame:
+    """The rows of `writes` whose hash may occur in pairs (ha, hb), by a bit filter."""
+    return writes.where(bit_filter(pairs.select(F.explode(F.array("ha", "hb"))))(h))
+
+
+def similar_pairs(writes: DataFrame, collections: DataFrame, min_cosine: float, rows_where: Column | None = None) -> DataFrame:
     """(id_a, id_b, cosine), id_a < id_b: pairs of live vectors of one collection with at
-    least this cosine, computed in DOUBLE; recall is that of the index, precision 1."""
+    least this cosine, computed in DOUBLE; recall is that of the index, precision 1.
+
+    rows_where: which rows to index, all usable ones if None.
+    """
     dims = collections.groupBy("collection_name").agg(F.max("dimension").alias("dimension"))
     h = F.xxhash64("vector_id")
     rows = writes.where((F.col("deleted") == F.lit(False)) & F.col("vector_id").isNotNull()).join(dims, "collection_name")
-    rows = rows.where(usable(F.col("vector_values"), F.col("dimension"))).select("collection_name", h.alias("h"), "vector_values")
-    pairs = candidates(rows, min_cosine)
+    rows = rows.where(usable(F.col("vector_values"), F.col("dimension")))
+    if rows_where is not None:
+        rows = rows.where(rows_where)
+    pairs = candidates(rows.select("collection_name", h.alias("h"), "vector_values"), min_cosine)
     live = live_vectors(only_named(writes.where("vector_id is not null"), h, pairs), collections)
     live = written(live.select("collection_name", h.alias("h"), "vector_id", "vector_values", norm(F.col("vector_values")).alias("norm")))
     pairs = pairs.select("ha", "hb").distinct()
@@ -249,3 +260,40 @@ def similar_pairs(writes: DataFrame, collections: DataFrame, min_cosine: float)
     scored = pairs.join(a, "ha").join(b, "hb").where("ca = cb and a <> b").select(
         F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), (dot_product(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb"))).alias("cosine"))
     return written(scored).where(F.col("cosine") >= min_cosine)
+
+
+def neighbour_pairs(writes: DataFrame, collections: DataFrame, min_cosine: float, k: int) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: pairs of which one is among the k nearest of the other.
+
+    Neighbours are the live vectors of the collection with the greatest cosine rounded to
+    six decimals, at least min_cosine, ties to the smaller id. Deleted, unusable and
+    superseded rows are neither; an empty table gives no rows.
+
+    Exact copies: of more than k + 1 live vectors with the same values only the k + 1
+    smallest ids are indexed. They include all that can be a neighbour of anything, and
+    the others have the neighbours of the smallest one, and that one.
+    """
+    keys = written(live_keys(writes, collections))
+    crowds = keys.groupBy("collection_name", "content").count().where(F.col("count") > k + 1).select("collection_name", "content")
+    crowds = written(crowds)
+    crowded = not crowds.isEmpty()
+    where = None
+    if crowded:
+        members = keys.join(crowds, ["collection_name", "content"]).select("collection_name", "content", "vector_id")
+        kept = written(top_n(members, ["collection_name", "content"], [("vector_id", "ascending")], k + 1))
+        copied = bit_filter(crowds.select("content"))(F.xxhash64("vector_values"))
+        where = ~copied | bit_filter(kept.select(F.xxhash64("vector_id")))(F.xxhash64("vector_id"))
+    pairs = similar_pairs(writes, collections, min_cosine, where)
+    r = F.round("cosine", 6).alias("r")
+    ways = F.explode(F.array(F.struct(F.col("id_a").alias("me"), F.col("id_b").alias("other")), F.struct(F.col("id_b").alias("me"), F.col("id_a").alias("other"))))
+    each = pairs.select(r, ways.alias("s")).select("r", "s.*")
+    rank = F.row_number().over(Window.partitionBy("me").orderBy(F.col("r").desc(), "other"))
+    ordered = lambda rows: rows.withColumn("n", rank).where(F.col("n") <= k).select("me", "other")
+    out = ordered(each)
+    if crowded:
+        first = kept.groupBy("collection_name", "content").agg(F.min("vector_id").alias("first"))
+        rest = members.join(kept.select("vector_id"), "vector_id", "left_anti").join(first, ["collection_name", "content"]).select("vector_id", "first")
+        own = first.select(F.lit(1.0).alias("r"), F.col("first").alias("me"), F.col("first").alias("other"))
+        lists = ordered(each.join(first.select(F.col("first").alias("me")), "me", "left_semi").select("r", "me", "other").unionByName(own))
+        out = out.unionByName(rest.join(lists, rest["first"] == lists["me"]).select(F.col("vector_id").alias("me"), "other"))
+    return out.select(F.least("me", "other").alias("id_a"), F.greatest("me", "other").alias("id_b")).distinct()

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecledger.llm.ivfpq import similar_pairs
+from vecledger.llm.ivfpq import neighbour_pairs
 from vecledger.llm.pivots import clusters, typical_members
 from vecledger.sources.tables import table
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = similar_pairs(table(spark, sf, "vectors"), table(spark, sf, "collections"), 0.98)
-    r = F.round("cosine", 6).alias("r")
-    each = pairs.select("id_a", "id_b", F.explode(F.array(F.struct(F.col("id_a").alias("me"), F.col("id_b").alias("other")), F.struct(F.col("id_b").alias("me"), F.col("id_a").alias("other")))).alias("s"), r)
-    rank = F.row_number().over(Window.partitionBy("s.me").orderBy(F.col("r").desc(), "s.other"))
-    return each.withColumn("n", rank).where("n <= 5").select("id_a", "id_b").distinct()
+    return neighbour_pairs(table(spark, sf, "vectors"), table(spark, sf, "collections"), 0.98, 5)
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
