@@ -21,14 +21,14 @@ TYPES = ("prose", "list", "table", "junk")
 
 #: Frequent function words of the languages that are told apart.
 COMMON = {
-    "en": "the of and to a in is that it was for on are as with his they i at be this have from or had by not but what all were we when your can said there an each which she do how their if will up other about out many then them these so some her would him has two more no could my than been who its now did get made after back only years where most before because too any same also very while one our even as up again twice although later until".split(),
+    "en": "the of and to a in is that it was for on are as with his they i at be this have from or had by not but what all were we when your can said there an each which she do how their if will up other about out many then them these so some her would him has two more no could my than been who its now did get made after back only years where most before because too any same also very while one our even as up again twice although later until us whose whenever beside every between while near only if".split(),
     "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde wenn ich wir warum niemand gab muss immer keine diese dieser sagte sondern blieb wer den".split(),
     "fr": "le la les de des du un une et à en est que qui dans ce il pas pour sur au avec ne se par plus ou son mais nous ont été cette était on sa ses leur elle y comme si tout aux d l n c s qu a dit fait sans avant encore où quand pourquoi personne je vous avons".split(),
     "es": "el la los las de que y a en un una ser se no por con su para como estar tener le lo todo pero más o este ya está era del al sus muy sin sobre me hay donde quien desde nos durante uno ni contra ese eso había antes cuando nadie porque qué quién ha han fue es dijo después todavía aunque mi sino ella él".split(),
     "ru": "и в не на я быть он с что а по это она этот к но они мы весь который из у который то за свой от со для о же так вы все его как только или ещё бы был до если чтобы когда нет тот мой через никто всё снова об под чем уже было была были где кто этом стоял похож".split(),
     "el": "και το να του η της με που την από για τα είναι των σε ο οι στο θα τη στην τον τους δεν τις ένα μια ότι ή στα αυτό κι αν μου στον όταν πριν μετά ήταν κανείς δε πως αλλά γιατί είπε ακόμα μας τι ποιος στις στη ενώ όμως".split(),
 }
-ANY_COMMON = frozenset(w for ws in COMMON.values() for w in ws if len(w) > 1)
+ANY_COMMON = frozenset(w for ws in COMMON.values() for w in ws if len(w) > 1 or w in "aàyoивскуяηο")
 
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 BULLET = regex.compile(r"\s*(?:[-*•·‣▪◦●○■□–—+>»→✓✔☐☑]\s|\[[ xX]?\]|\(?\p{L}?\d{0,4}[.)\]:]\s|\(\p{L}\)\s|№\s*\d)")
@@ -50,7 +50,7 @@ def joined_lines(text: str) -> list[str]:
         bare = line.strip()
         if not bare:
             continue
-        if out and bare[0].islower() and not SENTENCE_END.search(out[-1]) and not CELLS.search(bare[:24]):
+        if out and bare[0].islower() and out[-1].count("|") < 2 and not SENTENCE_END.search(out[-1]) and not CELLS.search(bare[:24]):
             out[-1] += " " + bare
         else:
             out.append(bare)
