@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from vecledger.functions.shard import key_to_shard
 from vecledger.operators import changefeed, kvlog, shards
 from vecledger.operators.approximate import ring_owner, ring_tokens
-from vecledger.operators.history import ILLEGAL, OK, UNKNOWN, check, history_verdict, linearizable
+from vecledger.operators.history import ILLEGAL, OK, UNKNOWN, check, partial_orders, history_verdict, linearizable
 from vecledger.operators.redelivery import first_deliveries, permute, redelivered, unpermute
 from vecledger.streaming.kv_stream import applied
 
@@ -180,6 +180,9 @@ def test_linearizability(spark):
     assert check(good)[0] == OK
     assert check(stale) == (ILLEGAL, [0, 1])
     assert check(good, budget=1)[0] == UNKNOWN
+    assert check([]) == (OK, [])
+    open_end = [(1, "a", "", 0, 10), (1, "b", "", 1, 11), (0, "", "c", 12, 13)]
+    assert partial_orders(open_end) == (ILLEGAL, [[0, 1], [1, 0]][:1]) or partial_orders(open_end)[1][0] in ([0, 1], [1, 0])
     schema = "client_id int, op tinyint, key string, value string, output string, call_ns bigint, return_ns bigint"
     rows = [(1, op, "g", v, o, c, r) for op, v, o, c, r in good] + [(1, op, "s", v, o, c, r) for op, v, o, c, r in stale]
     got = linearizable(spark.createDataFrame(rows, schema))
@@ -218,3 +221,27 @@ def test_stream(spark, tmp_path):
         last[key, client] = seq
         expected[key] = value if op == "Put" else expected.get(key, "") + value
     assert latest == expected
+
+
+def test_index_files(spark, tmp_path):
+    from vecledger.functions.distance import DistanceMetric
+    from vecledger.operators import approximate as a
+    from vecledger.operators.knn import knn
+    from vecledger.plans.request import SearchStrategy
+
+    rng = random.Random(1)
+    points = spark.createDataFrame([(i, [rng.gauss(i % 5 * 4, 1) for _ in range(6)]) for i in range(400)], "id int, values array<double>").cache()
+    cs = a.centroids(points, 8)
+    a.save_index(a.with_cell(points, cs), cs, str(tmp_path / "index"))
+    stored, back = a.load_index(spark, str(tmp_path / "index"))
+    assert back == cs and stored.count() == 400
+    hit = total = 0
+    for q in range(0, 400, 40):
+        v = list(points.where(f"id = {q}").first()["values"])
+        exact = {r["id"] for r in knn(points, v, DistanceMetric.EUCLIDEAN, 10).collect()}
+        hit += len(exact & {r["id"] for r in a.ivf_knn(stored, back, v, DistanceMetric.EUCLIDEAN, 10, SearchStrategy.DEFAULT).collect()})
+        total += 10
+    assert hit >= 0.9 * total
+    assert a.ivf_knn(stored, back, v, DistanceMetric.EUCLIDEAN, 10, SearchStrategy.EXACT).count() == 10
+    f = spark.range(1).select(a.fitness(F.lit(2.0), F.lit(0.9), F.lit(0.1), F.lit(0.2))).first()[0]
+    assert f == pytest.approx(0.5 + 0.9 - 0.1 - 0.2)

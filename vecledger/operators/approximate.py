@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecledger.functions.distance import DistanceMetric, distance_function, euclidean
@@ -11,6 +11,7 @@ from vecledger.operators.knn import knn
 from vecledger.plans.request import SearchStrategy
 
 #: Probed cells by strategy; Exact scans everything.
+RANGES = 4096
 PROBES = {SearchStrategy.FAST: 2, SearchStrategy.DEFAULT: 4, SearchStrategy.BATCH: 4, SearchStrategy.PRECISE: 12}
 
 
@@ -45,6 +46,24 @@ def ivf_knn(indexed: DataFrame, cs: list[list[float]], query: list[float], metri
     return knn(indexed.where(F.col("cell").isin(probed)), query, metric, k)
 
 
+def save_index(indexed: DataFrame, cs: list[list[float]], path: str) -> None:
+    """Write a table with `cell` partitioned by it, and the centroids beside it."""
+    indexed.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/points")
+    indexed.sparkSession.createDataFrame(list(enumerate(cs)), "cell int, centre array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, list[list[float]]]:
+    """What save_index wrote; probing cells prunes partitions."""
+    cs = [list(r[0]) for r in spark.read.parquet(f"{path}/centroids").orderBy("cell").select("centre").collect()]
+    return spark.read.parquet(f"{path}/points"), cs
+
+
+def fitness(latency: Column, recall: Column, memory: Column, maintenance: Column, weights: tuple[float, float, float, float] = (1.0, 1.0, 1.0, 1.0)) -> Column:
+    """Fitness of an index from its query log: w1 / latency + w2 recall - w3 memory - w4 maintenance."""
+    w1, w2, w3, w4 = weights
+    return F.lit(w1) / F.nullif(latency, F.lit(0.0)) + w2 * recall - w3 * memory - w4 * maintenance
+
+
 def quantization_error(points: DataFrame, codebook: DataFrame, metric: DistanceMetric = DistanceMetric.EUCLIDEAN) -> DataFrame:
     """(code, points, error): mean distance of points (code, values) to codebook rows (code, centre)."""
     d = distance_function(metric)(F.col("values"), F.col("centre"))
@@ -68,13 +87,13 @@ def ring_owner(keys: DataFrame, tokens: DataFrame) -> DataFrame:
     each range also gets the first token beyond it.
     """
     ring = tokens.groupBy("token").agg(F.min("node").alias("node"))
-    part = lambda c: F.shiftright(c, 26).cast("int")  # noqa: E731, 64 ranges
-    last = F.lit(64)
+    part = lambda c: F.floor(c / ((1 << 32) // RANGES)).cast("int")
+    last = F.lit(RANGES)
     firsts = ring.withColumn("part", part(F.col("token"))).groupBy("part").agg(F.min(F.struct("token", "node")).alias("t"))
-    ranges = keys.sparkSession.range(64).select(F.col("id").cast("int").alias("part"))
+    ranges = keys.sparkSession.range(RANGES).select(F.col("id").cast("int").alias("part"))
     upto = Window.orderBy(F.col("place").desc()).rowsBetween(Window.unboundedPreceding, -1)
     places = ranges.join(firsts, "part", "left").select(F.col("part").alias("place"), "t").unionByName(firsts.orderBy("part").limit(1).select(last.alias("place"), "t"))
-    beyond = places.select("place", F.last("t", ignorenulls=True).over(upto).alias("next")).where(F.col("place") < last)  # 64 rows
+    beyond = places.select("place", F.last("t", ignorenulls=True).over(upto).alias("next")).where(F.col("place") < last)  # RANGES rows
     rows = keys.select("key", ring_hash(F.col("key")).alias("at"), F.lit(None).cast("string").alias("node"), F.lit(1).alias("kind"))
     marks = ring.select(F.lit(None).cast("string").alias("key"), F.col("token").alias("at"), "node", F.lit(0).alias("kind"))
     merged = rows.unionByName(marks).withColumn("part", part(F.col("at")))

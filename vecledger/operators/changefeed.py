@@ -94,6 +94,11 @@ def current_state(writes: DataFrame, keys: list[str], position: str, base: DataF
     """
     images = written(segment_images(writes.withColumn("value", F.coalesce("value", F.lit(""))), keys, position))
     last = images.agg(F.max("segment")).first()[0]
+    while (last or 0) >= batches * SEGMENT:  # so a batch has at most SEGMENT segments of a key
+        row = F.struct(F.col("segment").alias("pos"), "has_reset", "live", "text")
+        wider = images.groupBy(*keys, F.floor(F.col("segment") / SEGMENT).cast("bigint").alias("segment")).agg(F.collect_list(row).alias("parts"))
+        images = written(_image(wider, [*keys, "segment"]))
+        last //= SEGMENT
     per_batch = max(1, -(-((last or 0) + 1) // batches))
     resolved, out = None, []
     for b in reversed(range(batches)):

@@ -25,7 +25,13 @@ def entries(calls: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
 
 
 def check(ops: list[tuple[int, str, str, int, int]], step=kv_step, start: str = "", budget: int = 1_000_000) -> tuple[str, list[int]]:
-    """Verdict on operations (op, value, output, call, return), and the longest order found.
+    """Verdict on operations (op, value, output, call, return), and the longest order found."""
+    verdict, partial = partial_orders(ops, step, start, budget)
+    return verdict, max(partial, key=len, default=[])
+
+
+def partial_orders(ops: list[tuple[int, str, str, int, int]], step=kv_step, start: str = "", budget: int = 1_000_000) -> tuple[str, list[list[int]]]:
+    """Verdict, and the longest orders found such that each operation found is in one.
 
     Searches for an order that respects both time and the model: the next operation is
     one that was called before any other open one returned. States already reached with
@@ -35,9 +41,18 @@ def check(ops: list[tuple[int, str, str, int, int]], step=kv_step, start: str =
     n = len(ops)
     by_call = sorted(range(n), key=lambda i: (ops[i][3], i))
     seen: set[tuple[int, str]] = set()
-    longest: list[int] = []
+    best: dict[int, list[int]] = {}
     path: list[int] = []
 
+    def partial() -> list[list[int]]:
+        return [list(o) for o in sorted({tuple(o) for o in best.values()}, key=lambda o: (-len(o), o))]
+
+    def note() -> None:
+        order = list(path)
+        for i in path:
+            if len(best.get(i, ())) < len(order):
+                best[i] = order
+
     def choices(done: int) -> Iterator[int]:
         first_return = min((ops[i][4] for i in range(n) if not done >> i & 1), default=0)
         for i in by_call:
@@ -49,14 +64,14 @@ def check(ops: list[tuple[int, str, str, int, int]], step=kv_step, start: str =
     stack = [(0, start, choices(0))]
     while stack:
         done, state, rest = stack[-1]
-        if len(path) > len(longest):
-            longest = list(path)
         if len(path) == n:
-            return OK, longest
+            note()
+            return OK, partial()
         for i in rest:
             budget -= 1
             if budget < 0:
-                return UNKNOWN, longest
+                note()
+                return UNKNOWN, partial()
             possible, after = step(state, ops[i][0], ops[i][1], ops[i][2])
             key = (done | 1 << i, after)
             if possible and key not in seen:
@@ -65,10 +80,11 @@ def check(ops: list[tuple[int, str, str, int, int]], step=kv_step, start: str =
                 stack.append((key[0], after, choices(key[0])))
                 break
         else:
+            note()  # a dead end
             stack.pop()
             if path:
                 path.pop()
-    return ILLEGAL, longest
+    return ILLEGAL, partial()
 
 
 def linearizable(history: DataFrame, budget: int = 1_000_000) -> DataFrame:

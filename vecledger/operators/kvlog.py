@@ -45,9 +45,9 @@ def get(keys: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def majority_index(match: DataFrame, group: list[str], index: str) -> DataFrame:
-    """Per group the index that a majority has reached: the lower median."""
-    values = F.array_sort(F.collect_list(index))
-    return match.groupBy(*group).agg(values.alias("v")).select(*group, F.col("v")[((F.size("v") - 1) / 2).cast("int")].alias("majority_index"))
+    """Per group the index that a majority has reached: the lower median. Nulls do not count."""
+    median = F.expr(f"percentile_disc(0.5) within group (order by `{index}`)")
+    return match.groupBy(*group).agg(median.cast(match.schema[index].dataType).alias("majority_index"))
 
 
 def snapshot(state: DataFrame, path: str) -> None:
