@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from vecledger.functions.distance import dot_product, norm
 from vecledger.llm.topn import top_n
-from vecledger.operators.liverows import live_keys, live_vectors, usable
+from vecledger.operators.liverows import live_keys, live_vectors
 from vecledger.sources.tables import written
 
 LIST_ROWS, MOST_LISTS, SAMPLE_PER_LIST = 256, 4096, 32
@@ -248,7 +248,8 @@ def similar_pairs(writes: DataFrame, collections: DataFrame, min_cosine: float,
     dims = collections.groupBy("collection_name").agg(F.max("dimension").alias("dimension"))
     h = F.xxhash64("vector_id")
     rows = writes.where((F.col("deleted") == F.lit(False)) & F.col("vector_id").isNotNull()).join(dims, "collection_name")
-    rows = rows.where(usable(F.col("vector_values"), F.col("dimension")))
+    # rows with NaN or zeros only get no direction here and are no live vectors later
+    rows = rows.where(F.size("vector_values") == F.col("dimension"))
     if rows_where is not None:
         rows = rows.where(rows_where)
     pairs = candidates(rows.select("collection_name", h.alias("h"), "vector_values"), min_cosine)
