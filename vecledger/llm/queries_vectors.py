@@ -26,4 +26,19 @@ def p1_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p5_found": p5_found}
-SQL: dict[str, str] = {}
+_LIVE = """w AS (SELECT v.*, c.dimension FROM vectors v LEFT JOIN collections c USING (collection_name)
+      QUALIFY row_number() OVER (PARTITION BY vector_id ORDER BY ts_ns DESC) = 1),
+    l AS (SELECT collection_name AS c, vector_id AS id, vector_values::DOUBLE[] AS v FROM w
+      WHERE NOT deleted AND vector_values IS NOT NULL AND len(vector_values) = dimension
+        AND len(list_filter(vector_values, lambda x: isnan(x))) = 0 AND len(list_filter(vector_values, lambda x: x <> 0)) > 0)"""
+
+#: Brute force over all pairs of a collection; the first takes similarity to be mutual, as it is in these tables.
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH {_LIVE},
+        s AS (SELECT a.id, min(b.id) AS cluster_id FROM l a JOIN l b USING (c) WHERE list_cosine_similarity(a.v, b.v) >= 0.75 GROUP BY a.id)
+        SELECT id AS vector_id, cluster_id FROM s QUALIFY count(*) OVER (PARTITION BY cluster_id) >= 5""",
+    "p5_found": f"""WITH {_LIVE},
+        p AS (SELECT a.id AS me, b.id AS other, list_cosine_similarity(a.v, b.v) AS cosine FROM l a JOIN l b USING (c) WHERE a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= 0.98),
+        n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY me ORDER BY round(cosine, 6) DESC, other) <= 5)
+        SELECT DISTINCT least(me, other) AS id_a, greatest(me, other) AS id_b FROM n""",
+}
