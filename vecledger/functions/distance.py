@@ -6,6 +6,7 @@ All arithmetic is DOUBLE. Vectors are ARRAY<FLOAT> or ARRAY<DOUBLE>.
 from __future__ import annotations
 
 from enum import IntEnum
+from math import isfinite, sqrt
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,6 +70,12 @@ def is_higher_better(metric: DistanceMetric) -> bool:
     return metric not in (DistanceMetric.EUCLIDEAN, DistanceMetric.MANHATTAN)
 
 
+def vector_literal(values: list[float]) -> Column:
+    """ARRAY<DOUBLE> constant, made in one call."""
+    parts = (f"{float(x)!r}D" if isfinite(x) else f"double('{float(x)}')" for x in values)
+    return F.expr(f"array({', '.join(parts)})") if len(values) else F.array().cast("array<double>")
+
+
 def _fold(pairs: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -133,6 +140,14 @@ def distance_function(metric: DistanceMetric):
         raise ValueError(f"unsupported distance metric: {metric!r}") from None
 
 
+def distance_to(v: Column, query: list[float], metric: DistanceMetric) -> Column:
+    """Distance of a column to one known vector, whose norm is not computed by row."""
+    q = vector_literal(query)
+    if metric == DistanceMetric.COSINE:
+        return cosine_with_norms(v, q, norm(v), F.lit(sqrt(sum(float(x) * float(x) for x in query))))
+    return distance_function(metric)(v, q)
+
+
 def normalize(v: Column) -> Column:
     """v over its L2 norm; a zero vector stays as it is."""
     n = norm(v)

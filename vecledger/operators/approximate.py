@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecledger.functions.distance import DistanceMetric, distance_function, euclidean
+from vecledger.functions.distance import DistanceMetric, distance_function, euclidean, vector_literal
 from vecledger.operators.knn import knn
 from vecledger.plans.request import SearchStrategy
 
@@ -32,7 +32,7 @@ def centroids(points: DataFrame, cells: int, sample_rows: int = 20_000, rounds:
 
 def with_cell(points: DataFrame, cs: list[list[float]]) -> DataFrame:
     """points with `cell`, the nearest centroid, and `error`, the distance to it."""
-    table = F.array(*[F.array(*[F.lit(v) for v in c]) for c in cs])
+    table = F.array(*[vector_literal(c) for c in cs])
     near = F.array_min(F.transform(table, lambda c, i: F.struct(euclidean(F.col("values"), c).alias("error"), i.alias("cell"))))
     return points.withColumn("__near", near).withColumn("cell", F.col("__near.cell")).withColumn("error", F.col("__near.error")).drop("__near")
 

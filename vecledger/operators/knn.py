@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vecledger.functions.distance import DistanceMetric, distance_function, is_higher_better, normalized_score
+from vecledger.functions.distance import DistanceMetric, distance_function, distance_to, is_higher_better, normalized_score
 
 QUERIES_AT_ONCE = 4096
 
@@ -26,8 +26,8 @@ def knn(points: DataFrame, query: list[float] | Column, metric: DistanceMetric,
     """
     rows = points if where is None else points.where(where)
     rows = rows.where(F.col(values_col).isNotNull())
-    q = F.array(*[F.lit(float(x)) for x in query]) if isinstance(query, list) else query
-    d = distance_function(metric)(F.col(values_col), q)
+    v = F.col(values_col)
+    d = distance_to(v, query, metric) if isinstance(query, list) else distance_function(metric)(v, query)
     cols = [F.col(id_col).alias("id"), d.alias("distance"), *keep]
     order = F.col("distance").desc() if is_higher_better(metric) else F.col("distance").asc()
     top = rows.select(*cols).orderBy(order, "id").limit(k if k > 0 else 10)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecledger.functions.distance import (
-    DistanceMetric, cosine_normalized, cosine_with_norms, distance_function, dot_product, euclidean, manhattan, metric_name, norm, normalize, normalized_score, sparse_dot, to_sparse,
+    DistanceMetric, cosine_normalized, cosine_with_norms, distance_function, dot_product, euclidean, manhattan, metric_name, norm, normalize, normalized_score, sparse_dot, to_sparse, vector_literal,
 )
 from vecledger.functions.filters import Condition, MetadataFilter, all_of, any_of, equals, filter_column, in_range, schema_violations
 from vecledger.functions.vectors import size_estimate
@@ -102,7 +102,7 @@ def _(spark, sf):
 
 @query("knn_scores", f"WITH {P} SELECT id, round({S[COS].replace('d', '(' + D[COS] + ')', 1)}, 6) AS cosine_score, round(greatest(0, least(1, {D[DOT]})), 6) AS dot_score, round(exp(-({D[L2]})), 6) AS euclidean_score, round(exp(-({D[L1]}) * 0.5), 6) AS manhattan_score FROM p, q")
 def _(spark, sf):
-    q = F.array(*[F.lit(x) for x in point(spark, sf, 1)])
+    q = vector_literal(point(spark, sf, 1))
     score = lambda m: F.round(normalized_score(distance_function(m)(F.col("values"), q), m), 6)
     return points(spark, sf).select("id", score(COS).alias("cosine_score"), score(DOT).alias("dot_score"), score(L2).alias("euclidean_score"), score(L1).alias("manhattan_score"))
 
@@ -127,19 +127,19 @@ def _(spark, sf):
     q = point(spark, sf, 1)
     stored = points(spark, sf).withColumn("norm", norm(F.col("values")))
     qn = sum(x * x for x in q) ** 0.5
-    return stored.select("id", F.round(cosine_with_norms(F.col("values"), F.array(*[F.lit(x) for x in q]), F.col("norm"), F.lit(qn)), 6).alias("cosine"))
+    return stored.select("id", F.round(cosine_with_norms(F.col("values"), vector_literal(q), F.col("norm"), F.lit(qn)), 6).alias("cosine"))
 
 
 @query("cosine_of_normalized", f"WITH {P} SELECT id, round({D[COS]}, 6) AS cosine FROM p, q")
 def _(spark, sf):
     q = point(spark, sf, 1)
     qn = sum(x * x for x in q) ** 0.5
-    return points(spark, sf).select("id", F.round(cosine_normalized(normalize(F.col("values")), F.array(*[F.lit(x / qn) for x in q])), 6).alias("cosine"))
+    return points(spark, sf).select("id", F.round(cosine_normalized(normalize(F.col("values")), vector_literal([x / qn for x in q])), 6).alias("cosine"))
 
 
 @query("batch_distance", f"WITH {P} SELECT id, " + ", ".join(f"round({D[m]}, 6) AS {n}" for m, n in ((COS, "cosine"), (DOT, "dot"), (L2, "euclidean"), (L1, "manhattan"))) + " FROM p, q")
 def _(spark, sf):
-    q = F.array(*[F.lit(x) for x in point(spark, sf, 1)])
+    q = vector_literal(point(spark, sf, 1))
     v = F.col("values")
     return points(spark, sf).select("id", *[F.round(distance_function(m)(v, q), 6).alias(n) for m, n in ((COS, "cosine"), (DOT, "dot"), (L2, "euclidean"), (L1, "manhattan"))])
 
@@ -202,7 +202,7 @@ def _(spark, sf):
     g AS (SELECT label, row_number() OVER (ORDER BY d DESC, id) AS group_rank FROM r WHERE hit_rank = 1)
     SELECT label AS group_id, group_rank, hit_rank, id, round(d, 6) AS distance FROM r JOIN g USING (label) WHERE hit_rank <= 3 AND group_rank <= 4""")
 def _(spark, sf):
-    q = F.array(*[F.lit(x) for x in point(spark, sf, 1)])
+    q = vector_literal(point(spark, sf, 1))
     hits = points(spark, sf).select("id", "label", distance_function(COS)(F.col("values"), q).alias("distance"))
     return grouped(hits, F.col("label"), True, 3, 4).select("group_id", "group_rank", "hit_rank", "id", F.round("distance", 6).alias("distance"))
 
