@@ -72,6 +72,30 @@ def test_neighbours(spark, copies, monkeypatch):
     assert len(got) >= 0.97 * len(expected) > 100
 
 
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_crowd_of_one_collection_elsewhere(spark, bits, monkeypatch):
+    """A crowd's values in another collection, and rows that only the bit filter takes for surplus."""
+    monkeypatch.setattr(ivfpq, "FILTER_BITS", bits)
+    rng = np.random.default_rng(9)
+    same = rng.normal(size=16)
+    near = [same + rng.normal(size=16) * 0.01 for _ in range(3)]
+    points = {"a": [*[same] * 40, *near], "b": [same, same, *near]}
+    for name in points:
+        for _ in range(30):
+            v = rng.normal(size=16)
+            points[name] += [v, v + rng.normal(size=16) * 0.01]
+    live = {c: {f"{c}-{n:03d}": np.array(v, np.float32).astype(float) for n, v in enumerate(vs)} for c, vs in points.items()}
+    rows = [(c, i, v.tolist(), 5, False, "x", 1) for c, of in live.items() for i, v in of.items()]
+    collections = spark.createDataFrame([("a", 16), ("b", 16)], "collection_name string, dimension int")
+    got = {tuple(r) for r in neighbour_pairs(spark.createDataFrame(rows, WRITES), collections, 0.98, 5).collect()}
+    want = set()
+    for ids, s in brute(live):
+        for a in range(len(ids)):
+            near = sorted((-round(s[a, b], 6), ids[b]) for b in range(len(ids)) if b != a and s[a, b] >= 0.98)[:5]
+            want |= {(min(ids[a], b), max(ids[a], b)) for _, b in near}
+    assert got == want
+
+
 def test_no_vectors(spark):
     writes, collections, _ = make(spark)
     assert neighbour_pairs(writes.where("false"), collections, 0.98, 5).count() == 0

@@ -282,8 +282,12 @@ def neighbour_pairs(writes: DataFrame, collections: DataFrame, min_cosine: float
     if crowded:
         members = keys.join(crowds, ["collection_name", "content"]).select("collection_name", "content", "vector_id")
         kept = written(top_n(members, ["collection_name", "content"], [("vector_id", "ascending")], k + 1))
-        copied = bit_filter(crowds.select("content"))(F.xxhash64("vector_values"))
-        where = ~copied | bit_filter(kept.select(F.xxhash64("vector_id")))(F.xxhash64("vector_id"))
+        surplus = written(members.join(kept.select("vector_id"), "vector_id", "left_anti"))
+        h = F.xxhash64("vector_id")
+        maybe = bit_filter(surplus.select(h))
+        # the filter also takes ids that are no surplus; these, found exactly, are indexed
+        taken = keys.where(maybe(h)).join(surplus.select("vector_id"), "vector_id", "left_anti")
+        where = ~maybe(h) | bit_filter(taken.select(h))(h)
     pairs = similar_pairs(writes, collections, min_cosine, where)
     r = F.round("cosine", 6).alias("r")
     ways = F.explode(F.array(F.struct(F.col("id_a").alias("me"), F.col("id_b").alias("other")), F.struct(F.col("id_b").alias("me"), F.col("id_a").alias("other"))))
@@ -293,7 +297,7 @@ def neighbour_pairs(writes: DataFrame, collections: DataFrame, min_cosine: float
     out = ordered(each)
     if crowded:
         first = kept.groupBy("collection_name", "content").agg(F.min("vector_id").alias("first"))
-        rest = members.join(kept.select("vector_id"), "vector_id", "left_anti").join(first, ["collection_name", "content"]).select("vector_id", "first")
+        rest = surplus.join(first, ["collection_name", "content"]).select("vector_id", "first")
         own = first.select(F.lit(1.0).alias("r"), F.col("first").alias("me"), F.col("first").alias("other"))
         lists = ordered(each.join(first.select(F.col("first").alias("me")), "me", "left_semi").select("r", "me", "other").unionByName(own))
         out = out.unionByName(rest.join(lists, rest["first"] == lists["me"]).select(F.col("vector_id").alias("me"), "other"))
