@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from vecledger.llm import ivfpq, pivots
@@ -128,6 +129,29 @@ def test_clusters(spark, prefix, monkeypatch):
     assert all(1 <= len(r["typical_ids"]) <= 3 for r in described)
 
 
+def found_clusters(spark, points):
+    """{pivot: ids} of one collection of points."""
+    rows = [("c", f"{n:04d}", v.tolist(), 5, False, "x", 1) for n, v in enumerate(points)]
+    collections = spark.createDataFrame([("c", points.shape[1])], "collection_name string, dimension int")
+    by = {}
+    for r in pivots.clusters(spark.createDataFrame(rows, WRITES), collections).collect():
+        by.setdefault(r["pivot"], []).append(int(r["vector_id"]))
+    return by
+
+
+def test_cells_keep_pairs_at_the_threshold(spark, monkeypatch):
+    """All pairs of a cluster are a little above the threshold, less than 8 bits resolve."""
+    monkeypatch.setattr(pivots, "LEAST_PREFIX", 16)
+    monkeypatch.setattr(pivots, "MOST_PREFIX", 16)
+    rng = np.random.default_rng(8)
+    x = []
+    for _ in range(40):
+        q = np.linalg.qr(rng.normal(size=(64, 9)))[0].T
+        x += [0.7502**0.5 * q[0] + 0.2498**0.5 * v for v in q[1:]]
+    by = found_clusters(spark, np.array(x))
+    assert {tuple(sorted(ids)) for ids in by.values()} == {tuple(range(n, n + 8)) for n in range(0, 320, 8)}
+
+
 def test_settle_is_sequential():
     rng = np.random.default_rng(2)
     x = ivfpq.unit_rows(rng.normal(size=(300, 5)))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecledger.functions.distance import cosine_similarity
-from vecledger.llm.ivfpq import bit_filter, only_named, unit_rows
+from vecledger.llm.ivfpq import ROUNDING, bit_filter, only_named, unit_rows
 from vecledger.llm.topn import top_n
 from vecledger.operators.liverows import live_keys, live_vectors, usable
 from vecledger.sources.tables import written
@@ -148,7 +148,7 @@ def proposals(rows: DataFrame, threshold: float, models: dict[str, dict]) -> Dat
         def close() -> pa.RecordBatch:
             k, first = np.unique(np.concatenate(ks), return_index=True)
             x = unit_rows(np.concatenate(bodies)[first])
-            return given(k, k[settle(x, threshold)], False)
+            return given(k, k[settle(x, threshold - ROUNDING)], False)
 
         for batch in batches:
             number, cell, k = (batch.column(i).to_numpy() for i in range(3))
