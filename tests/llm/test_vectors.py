@@ -139,6 +139,28 @@ def found_clusters(spark, points):
     return by
 
 
+@pytest.mark.parametrize("prefix", [16, 2048])
+def test_clusters_are_mutual(spark, prefix, monkeypatch):
+    """Elongated groups: arcs on which rows are similar to a pivot and not to each other."""
+    monkeypatch.setattr(pivots, "LEAST_PREFIX", prefix)
+    monkeypatch.setattr(pivots, "MOST_PREFIX", prefix)
+    monkeypatch.setattr(pivots, "PAIR_ROWS", 8)
+    rng = np.random.default_rng(4)
+    points = []
+    for _ in range(12):
+        u, v = np.linalg.qr(rng.normal(size=(40, 2)))[0].T
+        points += [np.cos(t) * u + np.sin(t) * v for t in np.linspace(0, 2.0, 30)]
+    x = np.array(points).astype(np.float32).astype(float)
+    by = found_clusters(spark, x)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    assert min(len(ids) for ids in by.values()) >= 5
+    assert all((s[np.ix_(ids, ids)] >= 0.75).all() for ids in by.values())
+    # an arc of 2.0 holds two to four such groups, which take nearly all rows
+    listed = sum(len(ids) for ids in by.values())
+    assert listed == len({i for ids in by.values() for i in ids}) >= 0.8 * len(x)
+
+
 def test_cells_keep_pairs_at_the_threshold(spark, monkeypatch):
     """All pairs of a cluster are a little above the threshold, less than 8 bits resolve."""
     monkeypatch.setattr(pivots, "LEAST_PREFIX", 16)
@@ -152,6 +174,14 @@ def test_cells_keep_pairs_at_the_threshold(spark, monkeypatch):
     assert {tuple(sorted(ids)) for ids in by.values()} == {tuple(range(n, n + 8)) for n in range(0, 320, 8)}
 
 
+def test_expelled_are_the_later():
+    at = np.deg2rad([0, 10, 20, 30, 38, 44])
+    pdf = pd.DataFrame({"k": range(6), "pivot": 7, "vector_values": [np.array([np.cos(t), np.sin(t)]) for t in at], "late": [False] * 5 + [True], "angle": abs(at - at.mean())})
+    assert pivots.expelled(pdf, 0.75)["k"].tolist() == [5]
+    pdf["own"] = True
+    assert pivots.violating(pdf, 0.75)["k"].tolist() == [0, 5]
+
+
 def test_settle_is_sequential():
     rng = np.random.default_rng(2)
     x = ivfpq.unit_rows(rng.normal(size=(300, 5)))

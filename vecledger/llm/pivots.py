@@ -15,7 +15,7 @@ and clusters keep their live rows.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecledger.functions.distance import cosine_similarity
-from vecledger.llm.ivfpq import ROUNDING, bit_filter, only_named, unit_rows
+from vecledger.llm.ivfpq import ROUNDING, bit_filter, unit_rows
 from vecledger.llm.topn import top_n
 from vecledger.operators.liverows import live_keys, live_vectors, usable
 from vecledger.sources.tables import written
 
 LEAST_PREFIX, MOST_PREFIX, NEAREST = 2048, 8192, 6
 PASSED_ON = 1 << 16
+PAIR_ROWS, FLOAT_ROUNDING = 16384, 1e-6
 
 
 def settle(x: np.ndarray, threshold: float, block: int = 512) -> np.ndarray:
@@ -121,7 +122,7 @@ def proposals(rows: DataFrame, threshold: float, models: dict[str, dict]) -> Dat
                     x = unit_rows(flat[starts[part][:, None] + np.arange(model["x"].shape[1])])
                     sims = x @ model["x"].T
                     best = sims.argmax(1)
-                    hit = (sims[np.arange(len(x)), best] >= threshold) & (model["k"] is not None)
+                    hit = (sims[np.arange(len(x)), best] >= threshold - FLOAT_ROUNDING) & (model["k"] is not None)
                     if hit.any():
                         # negative cells are only passed on
                         done = k[part[hit]]
@@ -186,42 +187,153 @@ def handed_on(labels: DataFrame, most_rounds: int = 20) -> DataFrame:
     return labels
 
 
-def clusters(writes: DataFrame, collections: DataFrame, threshold: float = 0.75, least: int = 5) -> DataFrame:
-    """(collection_name, vector_id, pivot) of live vectors in clusters of at least `least`.
+def assigned(rows: DataFrame, live: DataFrame, vectors_of: Callable[[DataFrame], DataFrame], threshold: float, least: int) -> tuple[DataFrame, DataFrame]:
+    """(k, collection_name, vector_id, vector_values, pivot) of live rows that may be in
+    clusters, and (k) of those that reach none of the pivots they met.
 
-    Unusable and deleted vectors are in no cluster, exact copies are in one; an empty
-    table or collection gives no rows. A cluster's rows all have at least the threshold
-    cosine with its pivot; where clusters are well separated that is mutual similarity.
+    A row settled in cells joins the closest, in DOUBLE, of the pivots that it met or that
+    these were handed on to.
     """
-    k = F.xxhash64("vector_id", "ts_ns", F.xxhash64("vector_values"))
-    dims = collections.groupBy("collection_name").agg(F.max("dimension").alias("dimension"))
-    versions = writes.where("vector_id is not null").join(dims, "collection_name", "left").withColumn("k", k)
-    sound = usable(F.col("vector_values"), F.col("dimension")) & F.coalesce(F.col("deleted") == F.lit(False), F.lit(False))
-    # rows with NaN or zeros only get no direction here and are no live vectors later
-    rows = versions.where((F.col("deleted") == F.lit(False)) & (F.size("vector_values") == F.col("dimension"))).select("collection_name", "k", "vector_values")
     models = prefix_pivots(rows, threshold)
+    met_all = written(proposals(rows, threshold, models).groupBy("k").agg(F.min("pivot").alias("pivot"), F.max("final").alias("final"), F.collect_set("pivot").alias("met")))
     # the earliest of a row's proposals; k is the order
-    labels = proposals(rows, threshold, models).groupBy("k").agg(F.min("pivot").alias("pivot"), F.max("final").alias("final"))
-    labels = handed_on(written(labels))
+    labels = handed_on(met_all.select("k", "pivot", "final"))
     heads = labels.where("not final and k = pivot").select("k")
     met = proposals(rows.where(bit_filter(heads)(F.col("k"))), threshold, directions(models)).groupBy("k").agg(F.min("pivot").alias("met"))
     joined = labels.join(met.where("met < k"), "k", "left")
     labels = handed_on(written(joined.select("k", F.when(~F.col("final") & (F.col("k") == F.col("pivot")), F.coalesce("met", "pivot")).otherwise(F.col("pivot")).alias("pivot"), "final")))
-    live = live_keys(writes, collections).select("vector_id", "collection_name", F.xxhash64("vector_id", "ts_ns", "content").alias("k"))
-    members = written(live.join(labels, "k"))
-    members = members.join(members.groupBy("pivot").count().where(F.col("count") >= least), "pivot", "left_semi")
-    # memberships settled in cells rest on 8-bit vectors; check them on the vectors
-    pairs = members.where("not final and k <> pivot").select(F.col("k").alias("ha"), F.col("pivot").alias("hb"))
-    pairs = written(pairs)
-    some = written(only_named(versions.where(sound), F.col("k"), pairs).select("k", "vector_values").dropDuplicates(["k"]))
-    close = (
-        pairs.join(some.select(F.col("k").alias("ha"), F.col("vector_values").alias("va")), "ha")
-        .join(some.select(F.col("k").alias("hb"), F.col("vector_values").alias("vb")), "hb")
-        .where(cosine_similarity(F.col("va"), F.col("vb")) >= threshold).select(F.col("ha").alias("k"))
-    )
-    sure = members.where("final or k = pivot").unionByName(members.where("not final and k <> pivot").join(close, "k", "left_semi"))
-    sure = written(sure.select("collection_name", "vector_id", "pivot"))
-    return sure.join(sure.groupBy("pivot").count().where(F.col("count") >= least), "pivot", "left_semi")
+    others = met_all.where("not final and size(met) > 1").select("k", F.explode("met").alias("by"))
+    ends = labels.where("not final").select(F.col("k").alias("by"), "pivot")
+    offers = labels.unionByName(others.join(ends, "by").select("k", "pivot", F.lit(False).alias("final"))).distinct()
+    offers = written(live.select("k").join(offers, "k"))
+    offers = written(offers.join(offers.groupBy("pivot").count().where(F.col("count") >= least), "pivot", "left_semi"))
+    held = written(live.join(vectors_of(offers.select("k").union(offers.where("not final").select("pivot"))), "k", "right"))
+    vector = held.select(F.col("k").alias("pivot"), F.col("vector_values").alias("theirs"))
+    asked = offers.where("not final and k <> pivot").join(held.select("k", "vector_values"), "k").join(vector, "pivot")
+    compared = written(asked.select("k", "pivot", cosine_similarity(F.col("vector_values"), F.col("theirs")).alias("cosine")))
+    own = offers.where("final or k = pivot").select("k", "pivot", F.when(F.col("final"), 1.0).otherwise(2.0).alias("cosine"))
+    close = compared.where(F.col("cosine") >= threshold).unionByName(own)
+    best = written(close.groupBy("k").agg(F.max(F.struct("cosine", "pivot")).alias("best")).select("k", "best.pivot"))
+    return held.where("vector_id is not null").join(best, "k"), compared.select("k").distinct().join(best, "k", "left_anti")
+
+
+def violating(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Rows (k, pivot) of a block that have less than the threshold with a row of the cluster."""
+    x = np.stack(pdf["vector_values"].to_numpy()).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    mine = np.flatnonzero(pdf["own"].to_numpy())
+    bad = np.zeros(len(mine), dtype=bool)
+    for s in range(0, len(mine), 512):
+        for t in range(0, len(x), 4096):
+            bad[s : s + 512] |= (x[mine[s : s + 512]] @ x[t : t + 4096].T < threshold).any(1)
+    return pdf.iloc[mine[bad]][["k", "pivot"]]
+
+
+def expelled(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Rows (k, pivot) to leave out so that all others have the threshold with each other.
+
+    Rows are taken in order of `late` and the angle to the mean if similar to all taken."""
+    pdf = pdf.sort_values(["late", "angle", "k"])
+    x = np.stack(pdf["vector_values"].to_numpy()).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    out = np.zeros(len(x), dtype=bool)
+    for s in range(0, len(x), 512):
+        block = x[s : s + 512]
+        for t in range(0, s, 4096):
+            e = min(s, t + 4096)
+            out[s : s + 512] |= (block @ x[t:e][~out[t:e]].T < threshold).any(1)
+        near = block @ block.T >= threshold
+        for i in range(len(block)):
+            if not out[s + i]:
+                out[s + i + 1 : s + 512] |= ~near[i, i + 1 :]
+    return pdf.loc[out, ["k", "pivot"]]
+
+
+def mutual(members: DataFrame, threshold: float) -> DataFrame:
+    """(k, pivot) of the members to leave out so that any two of a cluster have the threshold.
+
+    members: (k, pivot, vector_values, late). Angles to the mean prove most pairs, as the
+    angle of two rows is at most the sum of theirs; only rows in other pairs are compared,
+    blocks of PAIR_ROWS of them with all of them, and rows without a violation stay.
+    """
+    parts = members.select("pivot", F.col("vector_values").cast("array<double>").alias("mean"))
+    mean = parts.mapInArrow(summed(True), parts.schema).repartition("pivot").mapInArrow(summed(False), parts.schema)
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine_similarity(F.col("vector_values"), F.col("mean")))))
+    angles = written(members.join(mean, "pivot").select("k", "pivot", "late", F.coalesce(angle, F.lit(np.pi)).alias("angle")))
+    widest = angles.groupBy("pivot").agg(F.max("angle").alias("widest"))
+    doubtful = written(angles.join(widest, "pivot").where(F.col("angle") + F.col("widest") > float(np.arccos(threshold)) - 1e-7).drop("widest"))
+    blocks = doubtful.groupBy("pivot").agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("blocks"))
+    rows = doubtful.join(members.select("k", "vector_values"), "k").join(blocks, "pivot")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).withColumn("own", F.pmod("k", "blocks") == F.col("block"))
+    pairs = rows.select("k", "pivot", "vector_values", "block", "own").groupBy("pivot", "block")
+    bad = written(pairs.applyInPandas(lambda pdf: violating(pdf, threshold), "k bigint, pivot bigint"))
+    tested = doubtful.join(bad.select("k"), "k", "left_semi").join(members.select("k", "vector_values"), "k")
+    return written(tested.groupBy("pivot").applyInPandas(lambda pdf: expelled(pdf, threshold), "k bigint, pivot bigint"))
+
+
+def large(members: DataFrame, least: int) -> DataFrame:
+    return members.join(members.groupBy("pivot").count().where(F.col("count") >= least), "pivot", "left_semi")
+
+
+def readmitted(members: DataFrame, rejected: DataFrame, threshold: float) -> DataFrame:
+    """members and those of `rejected` that have the threshold with all of another cluster.
+
+    The mean of such a cluster has the threshold too, so only those clusters are compared.
+    """
+    parts = members.select("pivot", F.col("vector_values").cast("array<double>").alias("mean"))
+    mean = parts.mapInArrow(summed(True), parts.schema).repartition("pivot").mapInArrow(summed(False), parts.schema)
+    mean = written(mean.join(members.select("pivot", "collection_name").distinct(), "pivot"))
+    near = rejected.join(mean, "collection_name").withColumn("cosine", cosine_similarity(F.col("vector_values"), F.col("mean")))
+    near = written(near.where(F.col("cosine") >= threshold - FLOAT_ROUNDING).select("k", "pivot", "cosine", F.col("vector_values").alias("mine")))
+    least_cosine = F.min(cosine_similarity(F.col("vector_values"), F.col("mine")))
+    fits = near.join(members.select("pivot", "vector_values"), "pivot").groupBy("k", "pivot", "cosine").agg(least_cosine.alias("least")).where(F.col("least") >= threshold)
+    best = fits.groupBy("k").agg(F.max(F.struct("cosine", "pivot")).alias("best")).select("k", "best.pivot")
+    late = written(rejected.join(best, "k").withColumn("late", F.lit(True)).select(members.columns))
+    if late.isEmpty():
+        return members
+    both = members.unionByName(late)
+    return written(both.join(mutual(both, threshold).select("k"), "k", "left_anti").withColumn("late", F.lit(False)))
+
+
+def clusters(writes: DataFrame, collections: DataFrame, threshold: float = 0.75, least: int = 5) -> DataFrame:
+    """(collection_name, vector_id, pivot) of live vectors in clusters of at least `least`.
+
+    Unusable and deleted vectors are in no cluster, exact copies are in one; an empty
+    table or collection gives no rows. Any two rows of a cluster have at least the
+    threshold cosine, in DOUBLE. Rows that do not fit their cluster join another that
+    they fit, or are settled again with the rows in no cluster, as long as clusters result.
+    """
+    k = F.xxhash64("vector_id", "ts_ns", F.xxhash64("vector_values"))
+    dims = collections.groupBy("collection_name").agg(F.max("dimension").alias("dimension"))
+    versions = writes.where("vector_id is not null").join(dims, "collection_name", "left").withColumn("k", k)
+    sound = versions.where(usable(F.col("vector_values"), F.col("dimension")) & F.coalesce(F.col("deleted") == F.lit(False), F.lit(False)))
+    live = written(live_keys(writes, collections).select("vector_id", "collection_name", F.xxhash64("vector_id", "ts_ns", "content").alias("k")))
+
+    def vectors_of(keys: DataFrame) -> DataFrame:
+        return sound.where(bit_filter(keys)(F.col("k"))).select("k", "vector_values").dropDuplicates(["k"])
+
+    found, left = None, live
+    while True:
+        # dead versions that the filter takes are pivots at most, never members
+        rows = sound.where(bit_filter(left.select("k"))(F.col("k"))).select("collection_name", "k", "vector_values")
+        if found is not None:
+            rows = rows.join(left.select("k"), "k", "left_semi").select("collection_name", "k", "vector_values")
+        members, lost = assigned(rows, left, vectors_of, threshold, least)
+        members = written(members.select("k", "collection_name", "vector_id", "vector_values", "pivot", F.lit(False).alias("late")))
+        out = mutual(members, threshold)
+        gone = written(lost.union(out.select("k")))
+        kept = large(members.join(out.select("k"), "k", "left_anti"), least)
+        if gone.isEmpty():
+            return (kept if found is None else found.unionByName(kept)).select("collection_name", "vector_id", "pivot")
+        kept = written(kept)
+        added = not kept.isEmpty()
+        found = kept if found is None else found.unionByName(kept)
+        if added:
+            rejected = written(left.join(gone, "k", "left_semi").join(vectors_of(gone), "k"))
+            found = readmitted(found, rejected, threshold)
+        left = written(live.join(found.select("k"), "k", "left_anti"))
+        if not added:
+            return found.select("collection_name", "vector_id", "pivot")
 
 
 def summed(normalize: bool):
