@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,22 +215,33 @@ def candidates(rows: DataFrame, min_cosine: float) -> DataFrame:
     return written(pairs)
 
 
+def bit_table(hashes: DataFrame) -> np.ndarray:
+    """The bits, by value mod FILTER_BITS, of all values of `hashes` (one column)."""
+    bits = hashes.toDF("h").where("h is not null").select(F.pmod(F.col("h"), F.lit(FILTER_BITS)).alias("bit"))
+    found = bits.groupBy(F.expr("cast(shiftright(bit, 5) as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 as int)))").alias("bits")).toPandas()
+    table = np.zeros(FILTER_BITS // 32, np.uint32)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
+    return table
+
+
+def in_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    v = values % (32 * len(table))
+    return (table[v >> 5] >> (v & 31).astype(np.uint32)) & 1 == 1
+
+
 def bit_filter(hashes: DataFrame):
     """A test of BIGINT columns: true for all values of `hashes` (one column) and few others.
 
     The filter has FILTER_BITS bits at most; beyond its capacity it lets more rows pass
     to the join that follows, never fewer.
     """
-    bits = hashes.toDF("h").where("h is not null").select(F.pmod(F.col("h"), F.lit(FILTER_BITS)).alias("bit"))
-    found = bits.groupBy(F.expr("cast(shiftright(bit, 5) as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 as int)))").alias("bits")).toPandas()
-    table = np.zeros(FILTER_BITS // 32, np.uint32)
-    table[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
-    used = hashes.sparkSession.sparkContext.broadcast(table)
+    return bit_test(hashes.sparkSession.sparkContext.broadcast(bit_table(hashes)))
+
 
+def bit_test(used: Broadcast):
     @F.pandas_udf("boolean")
     def maybe(s: pd.Series) -> pd.Series:
-        v = s.to_numpy() % FILTER_BITS
-        return pd.Series((used.value[v >> 5] >> (v & 31).astype(np.uint32)) & 1 == 1)
+        return pd.Series(in_table(used.value, s.to_numpy()))
 
     return maybe
 

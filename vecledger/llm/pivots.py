@@ -20,11 +20,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecledger.functions.distance import cosine_similarity
-from vecledger.llm.ivfpq import ROUNDING, bit_filter, unit_rows
+from vecledger.llm.ivfpq import ROUNDING, bit_filter, bit_table, bit_test, in_table, unit_rows
 from vecledger.llm.topn import top_n
 from vecledger.operators.liverows import live_keys, live_vectors, usable
 from vecledger.sources.tables import written
@@ -60,14 +61,14 @@ def settle(x: np.ndarray, threshold: float, block: int = 512) -> np.ndarray:
     return pivot
 
 
-def prefix_pivots(rows: DataFrame, threshold: float) -> dict[str, dict]:
+def prefix_pivots(rows: DataFrame, threshold: float, live: Broadcast) -> dict[str, dict]:
     """Pivots {x, k} of the prefix of each collection; at most MOST_PREFIX rows, expected, are sampled of each."""
     counts = {r[0]: r[1] for r in rows.groupBy("collection_name").count().collect()}
     if not counts:
         return {}
     want = {name: min(1.0, float(np.clip(8 * n**0.5, LEAST_PREFIX, MOST_PREFIX)) / n) for name, n in counts.items()}
     rate = F.create_map(*[F.lit(v) for pair in want.items() for v in pair])
-    sample = rows.where(F.pmod("k", F.lit(1 << 20)) < rate[F.col("collection_name")] * (1 << 20))
+    sample = rows.where(F.pmod("k", F.lit(1 << 20)) < rate[F.col("collection_name")] * (1 << 20)).where(bit_test(live)(F.col("k")))
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("k").sort_values("k")
@@ -86,11 +87,11 @@ def directions(models: dict[str, dict]) -> dict[str, dict]:
     return {name: {"x": unit_rows(rng.normal(size=m["x"].shape)), "k": None} for name, m in models.items()}
 
 
-def proposals(rows: DataFrame, threshold: float, models: dict[str, dict]) -> DataFrame:
+def proposals(rows: DataFrame, threshold: float, models: dict[str, dict], wanted: Broadcast) -> DataFrame:
     """(k, pivot, final): the pivot of `models` a row joins (final), or one pivot for each of
     the cells around the closest of models' vectors.
 
-    rows: (collection_name, k BIGINT, vector_values).
+    rows: (collection_name, k BIGINT, vector_values), of which those in the bit table `wanted` count.
     """
     numbers = {name: i for i, name in enumerate(sorted(models))}
     dims = [models[name]["x"].shape[1] for name in sorted(models)]
@@ -112,11 +113,12 @@ def proposals(rows: DataFrame, threshold: float, models: dict[str, dict]) -> Dat
             lists = batch.column(2)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             starts = lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
+            counts = in_table(wanted.value, k)
             for name in set(names):
                 model = shared.value.get(name)
                 if model is None:
                     continue
-                at = np.flatnonzero(names == name)
+                at = np.flatnonzero((names == name) & counts)
                 for s in range(0, len(at), 1024):
                     part = at[s : s + 1024]
                     x = unit_rows(flat[starts[part][:, None] + np.arange(model["x"].shape[1])])
@@ -187,19 +189,19 @@ def handed_on(labels: DataFrame, most_rounds: int = 20) -> DataFrame:
     return labels
 
 
-def assigned(rows: DataFrame, live: DataFrame, vectors_of: Callable[[DataFrame], DataFrame], threshold: float, least: int) -> tuple[DataFrame, DataFrame]:
-    """(k, collection_name, vector_id, vector_values, pivot) of live rows that may be in
-    clusters, and (k) of those that reach none of the pivots they met.
+def assigned(rows: DataFrame, live: DataFrame, wanted: Broadcast, vectors_of: Callable[[DataFrame], DataFrame], threshold: float, least: int) -> tuple[DataFrame, DataFrame]:
+    """(k, pivot) of live rows that may be in clusters, and (k) of those that reach none of the pivots they met.
 
     A row settled in cells joins the closest, in DOUBLE, of the pivots that it met or that
     these were handed on to.
     """
-    models = prefix_pivots(rows, threshold)
-    met_all = written(proposals(rows, threshold, models).groupBy("k").agg(F.min("pivot").alias("pivot"), F.max("final").alias("final"), F.collect_set("pivot").alias("met")))
+    models = prefix_pivots(rows, threshold, wanted)
+    met_all = written(proposals(rows, threshold, models, wanted).groupBy("k").agg(F.min("pivot").alias("pivot"), F.max("final").alias("final"), F.collect_set("pivot").alias("met")))
     # the earliest of a row's proposals; k is the order
     labels = handed_on(met_all.select("k", "pivot", "final"))
     heads = labels.where("not final and k = pivot").select("k")
-    met = proposals(rows.where(bit_filter(heads)(F.col("k"))), threshold, directions(models)).groupBy("k").agg(F.min("pivot").alias("met"))
+    few = rows.sparkSession.sparkContext.broadcast(bit_table(heads))
+    met = proposals(rows, threshold, directions(models), few).groupBy("k").agg(F.min("pivot").alias("met"))
     joined = labels.join(met.where("met < k"), "k", "left")
     labels = handed_on(written(joined.select("k", F.when(~F.col("final") & (F.col("k") == F.col("pivot")), F.coalesce("met", "pivot")).otherwise(F.col("pivot")).alias("pivot"), "final")))
     others = met_all.where("not final and size(met) > 1").select("k", F.explode("met").alias("by"))
@@ -207,14 +209,15 @@ def assigned(rows: DataFrame, live: DataFrame, vectors_of: Callable[[DataFrame],
     offers = labels.unionByName(others.join(ends, "by").select("k", "pivot", F.lit(False).alias("final"))).distinct()
     offers = written(live.select("k").join(offers, "k"))
     offers = written(offers.join(offers.groupBy("pivot").count().where(F.col("count") >= least), "pivot", "left_semi"))
-    held = written(live.join(vectors_of(offers.select("k").union(offers.where("not final").select("pivot"))), "k", "right"))
-    vector = held.select(F.col("k").alias("pivot"), F.col("vector_values").alias("theirs"))
-    asked = offers.where("not final and k <> pivot").join(held.select("k", "vector_values"), "k").join(vector, "pivot")
+    asked = written(offers.where("not final and k <> pivot").select("k", "pivot"))
+    held = written(vectors_of(asked.select("k").union(asked.select("pivot"))))
+    theirs = held.select(F.col("k").alias("pivot"), F.col("vector_values").alias("theirs"))
+    asked = asked.join(held, "k").join(theirs, "pivot")
     compared = written(asked.select("k", "pivot", cosine_similarity(F.col("vector_values"), F.col("theirs")).alias("cosine")))
     own = offers.where("final or k = pivot").select("k", "pivot", F.when(F.col("final"), 1.0).otherwise(2.0).alias("cosine"))
     close = compared.where(F.col("cosine") >= threshold).unionByName(own)
     best = written(close.groupBy("k").agg(F.max(F.struct("cosine", "pivot")).alias("best")).select("k", "best.pivot"))
-    return held.where("vector_id is not null").join(best, "k"), compared.select("k").distinct().join(best, "k", "left_anti")
+    return best, compared.select("k").distinct().join(best, "k", "left_anti")
 
 
 def violating(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -263,10 +266,13 @@ def mutual(members: DataFrame, threshold: float) -> DataFrame:
     widest = angles.groupBy("pivot").agg(F.max("angle").alias("widest"))
     doubtful = written(angles.join(widest, "pivot").where(F.col("angle") + F.col("widest") > float(np.arccos(threshold)) - 1e-7).drop("widest"))
     blocks = doubtful.groupBy("pivot").agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("blocks"))
-    rows = doubtful.join(members.select("k", "vector_values"), "k").join(blocks, "pivot")
+    some = members.select("k", "vector_values").where(bit_filter(doubtful.select("k"))(F.col("k")))
+    rows = doubtful.join(some, "k").join(blocks, "pivot")
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).withColumn("own", F.pmod("k", "blocks") == F.col("block"))
     pairs = rows.select("k", "pivot", "vector_values", "block", "own").groupBy("pivot", "block")
     bad = written(pairs.applyInPandas(lambda pdf: violating(pdf, threshold), "k bigint, pivot bigint"))
+    if bad.isEmpty():
+        return bad
     tested = doubtful.join(bad.select("k"), "k", "left_semi").join(members.select("k", "vector_values"), "k")
     return written(tested.groupBy("pivot").applyInPandas(lambda pdf: expelled(pdf, threshold), "k bigint, pivot bigint"))
 
@@ -315,16 +321,19 @@ def clusters(writes: DataFrame, collections: DataFrame, threshold: float = 0.75,
     found, left = None, live
     while True:
         # dead versions that the filter takes are pivots at most, never members
-        rows = sound.where(bit_filter(left.select("k"))(F.col("k"))).select("collection_name", "k", "vector_values")
+        wanted = writes.sparkSession.sparkContext.broadcast(bit_table(left.select("k")))
+        # rows with NaN or zeros only are not wanted, or get no direction if the bits take them
+        rows = versions.where((F.col("deleted") == F.lit(False)) & (F.size("vector_values") == F.col("dimension"))).select("collection_name", "k", "vector_values")
         if found is not None:
             rows = rows.join(left.select("k"), "k", "left_semi").select("collection_name", "k", "vector_values")
-        members, lost = assigned(rows, left, vectors_of, threshold, least)
-        members = written(members.select("k", "collection_name", "vector_id", "vector_values", "pivot", F.lit(False).alias("late")))
+        best, lost = assigned(rows, left, wanted, vectors_of, threshold, least)
+        vectors = vectors_of(best.select("k")).join(left.join(best, "k"), "k")
+        members = written(vectors.select("k", "collection_name", "vector_id", "vector_values", "pivot", F.lit(False).alias("late")))
         out = mutual(members, threshold)
         gone = written(lost.union(out.select("k")))
         kept = large(members.join(out.select("k"), "k", "left_anti"), least)
         if gone.isEmpty():
-            return (kept if found is None else found.unionByName(kept)).select("collection_name", "vector_id", "pivot")
+            return written((kept if found is None else found.unionByName(kept)).select("collection_name", "vector_id", "pivot"))
         kept = written(kept)
         added = not kept.isEmpty()
         found = kept if found is None else found.unionByName(kept)
