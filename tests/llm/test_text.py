@@ -113,6 +113,12 @@ def test_statistics():
             assert (statistics(t)[6] > 0.5) == (kind == "prose"), t
 
 
+def test_punctuated_lines_are_counted():
+    """One long sentence under nine lines of a menu, of which the wrapped ones are still lines."""
+    s = dict(zip(textstats.STATS, statistics("\n".join(["Home", "about us", "News"] * 3 + [PROSE])), strict=True))
+    assert s["punct_line_share"] == pytest.approx(0.1) and s["ended_share"] > 0.5
+
+
 def test_types(spark):
     rows = [(n, t) for n, (k, t) in enumerate((k, t) for k, ts in KINDS.items() for t in ts for _ in range(5))] + [(900, None), (901, ""), (902, "x" * 200_000)]
     kinds = {n: k for n, k in enumerate(k for k, ts in KINDS.items() for t in ts for _ in range(5))}

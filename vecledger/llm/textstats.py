@@ -39,8 +39,10 @@ EAST = regex.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ]")
 STOP = regex.compile(r"[.!?。！？]+\s*")
 SYMBOL = regex.compile(r"[^\p{L}\p{M}\p{N}\s]")
 DIGIT = regex.compile(r"\p{N}")
-#: Columns of the statistics, sums and shares over characters of lines.
-STATS = ("word_count", "mean_word_length", "symbol_ratio", "digit_ratio", "punct_line_share", "common_share", "prose_share", "list_share", "table_share", "junk_share", "short_share", "repeat_share")
+#: Columns of the statistics. Words are runs of letters and marks: numbers are none, and a run of
+#: script without spaces is one. punct_line_share counts the lines of the text that are not blank;
+#: ended_share and the shares of kinds are over characters of joined lines.
+STATS = ("word_count", "mean_word_length", "symbol_ratio", "digit_ratio", "punct_line_share", "common_share", "prose_share", "list_share", "table_share", "junk_share", "short_share", "repeat_share", "ended_share")
 
 
 def joined_lines(text: str) -> list[str]:
@@ -115,15 +117,17 @@ def statistics(text: str) -> tuple[float, ...] | None:
     spoken = sum(len(k) * v for k, v in seen.items())
     again = sum(len(k) * (v - 1) for k, v in seen.items())
     solid = max(1, sum(len(s) - s.count(" ") for s in lines))
+    physical = [line for line in text.splitlines() if line.strip()]
+    punctuated = sum(SENTENCE_END.search(line) is not None for line in physical)
     return (
-        float(words_n), letters / max(1, words_n), symbols_n / solid, digits_n / solid, ended / total, common / max(1, words_n),
-        share["prose"] / total, share["list"] / total, share["table"] / total, share["junk"] / total, share["short"] / total, again / max(1, spoken),
+        float(words_n), letters / max(1, words_n), symbols_n / solid, digits_n / solid, punctuated / len(physical), common / max(1, words_n),
+        share["prose"] / total, share["list"] / total, share["table"] / total, share["junk"] / total, share["short"] / total, again / max(1, spoken), ended / total,
     )
 
 
 def votes(s: tuple[float, ...]) -> str:
     """One letter for each labelling function: p, l, t, j for a type, - for no vote."""
-    words, length, symbol, digit, ended, common, prose, items, table, junk, short, again = s
+    words, length, symbol, digit, _, common, prose, items, table, junk, short, again, ended = s
     most = max((items + short, "l"), (table, "t"), (junk, "j"))[1]
     return "".join((
         "p" if prose > 0.5 else most,
