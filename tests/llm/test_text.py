@@ -119,6 +119,15 @@ def test_punctuated_lines_are_counted():
     assert s["punct_line_share"] == pytest.approx(0.1) and s["ended_share"] > 0.5
 
 
+def test_scripts_without_word_lists():
+    """Chinese, Korean, Arabic and Hindi sentences are prose; their items and repeated words are not."""
+    for t in ("我们昨天在河边的小桥旁找到了那座旧灯塔，没有人知道它为什么还亮着。", "우리는 어제 강가의 작은 다리 옆에서 오래된 등대를 찾았고 아무도 그 이유를 몰랐다.",
+              "وجدنا أمس المنارة القديمة قرب الجسر الصغير ولم يعرف أحد لماذا بقيت مضاءة.", "हमने कल नदी के किनारे छोटे पुल के पास पुराना दीपस्तंभ देखा और कोई कारण नहीं जानता था।"):
+        assert statistics("\n".join([t] * 2))[6] > 0.5, t
+    for t in ("旧灯塔\n小桥\n河边", "우리는 " * 30 + ".", "다리\n등대\n강가"):
+        assert statistics(t)[6] == 0, t
+
+
 def test_types(spark):
     rows = [(n, t) for n, (k, t) in enumerate((k, t) for k, ts in KINDS.items() for t in ts for _ in range(5))] + [(900, None), (901, ""), (902, "x" * 200_000)]
     kinds = {n: k for n, k in enumerate(k for k, ts in KINDS.items() for t in ts for _ in range(5))}

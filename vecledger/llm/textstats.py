@@ -32,11 +32,13 @@ ANY_COMMON = frozenset(w for ws in COMMON.values() for w in ws if len(w) > 1 or
 
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 BULLET = regex.compile(r"\s*(?:[-*•·‣▪◦●○■□–—+>»→✓✔☐☑]\s|\[[ xX]?\]|\(?\p{L}?\d{0,4}[.)\]:]\s|\(\p{L}\)\s|№\s*\d)")
-SENTENCE_END = regex.compile(r"[.!?…。！？；;·]+[\"'”’»«“)」』\]]*\s*$")
+SENTENCE_END = regex.compile(r"[.!?…。！？；;·।॥؟۔።]+[\"'”’»«“)」』\]]*\s*$")
 CELLS = regex.compile(r"\t|\|\||\||;|,|·|:")
 KANA = regex.compile(r"[ぁ-ゟ]")
 EAST = regex.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ]")
-STOP = regex.compile(r"[.!?。！？]+\s*")
+STOP = regex.compile(r"[.!?。！？।؟۔።]+\s*")
+#: Letters of scripts without a list of words, by exclusion of those that have one.
+UNLISTED = regex.compile(r"(?![\p{Latin}\p{Cyrillic}\p{Greek}\p{Han}\p{Hiragana}\p{Katakana}])[\p{L}\p{M}]")
 SYMBOL = regex.compile(r"[^\p{L}\p{M}\p{N}\s]")
 DIGIT = regex.compile(r"\p{N}")
 #: Columns of the statistics. Words are runs of letters and marks: numbers are none, and a run of
@@ -59,6 +61,18 @@ def joined_lines(text: str) -> list[str]:
     return out
 
 
+def unlisted_prose(line: str, symbols: int, digits: int) -> bool:
+    """Whether a line in a script without a list of words reads as a sentence: long, ended,
+    nearly only letters, and neither one word again and again nor a row of cells."""
+    n = len(line)
+    if line.isascii() or n < 12 or SENTENCE_END.search(line) is None or symbols > 0.12 * n or digits > 0.15 * n:
+        return False
+    if len(UNLISTED.findall(line)) < 0.5 * (n - line.count(" ")) or line.count("|") or "\t" in line:
+        return False
+    words = WORD.findall(line)
+    return len(set(words)) >= 0.5 * min(len(words), 30) and len(set(line)) >= 8
+
+
 def line_kind(line: str, words: list[str], symbols: int, digits: int) -> str:
     """prose, list, table, junk or short (a line of a menu, a heading, an item)."""
     n = len(line)
@@ -69,6 +83,10 @@ def line_kind(line: str, words: list[str], symbols: int, digits: int) -> str:
             return "prose"
         if bullet:
             return "list"
+        # sentences without kana; items and headings have no full stop
+        ended = regex.search(r"[。！？][”’」』）]*$", line) is not None
+        if ended and east >= 8 and digits <= 0.15 * n and symbols <= 0.2 * n and len(set(line)) >= 0.4 * min(n, 30):
+            return "prose"
         return "table" if len(CELLS.findall(line)) >= 2 or digits > 0.3 * n else "short" if n < 16 else "list"
     distinct = len(set(words))
     common = sum(w in ANY_COMMON for w in words)
@@ -78,6 +96,8 @@ def line_kind(line: str, words: list[str], symbols: int, digits: int) -> str:
             return "prose"
     if bullet:
         return "list"
+    if unlisted_prose(line, symbols, digits):
+        return "prose"
     if len(words) >= 6 and distinct <= 0.3 * min(len(words), 30):
         return "junk"
     cells = len(CELLS.findall(line))
