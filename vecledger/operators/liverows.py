@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+RARE = 1.17e-38  # a value that vectors hardly hold
+
 
 def usable(values: Column, dimension: Column) -> Column:
     """Whether a vector has its collection's dimension, no null or NaN and a nonzero element."""
-    sound = (
-        values.isNotNull() & (F.size(values) == dimension)
-        & ~F.exists(values, lambda x: x.isNull() | F.isnan(x)) & F.exists(values, lambda x: x != 0)
-    )
+    # NaN is the greatest value; array_contains is null where it finds nothing but a null
+    low, high = F.array_min(values), F.array_max(values)
+    seen = F.array_contains(values, F.lit(RARE).cast("float"))
+    whole = F.when(seen.isNull(), False).when(seen, ~F.exists(values, lambda x: x.isNull())).otherwise(True)
+    sound = values.isNotNull() & (F.size(values) == dimension) & ~F.isnan(high) & ((low != 0) | (high != 0)) & whole
     return F.coalesce(sound, F.lit(False))
 
 
