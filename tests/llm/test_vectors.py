@@ -108,6 +108,7 @@ def test_no_vectors(spark):
 def test_clusters(spark, prefix, monkeypatch):
     monkeypatch.setattr(pivots, "LEAST_PREFIX", prefix)
     monkeypatch.setattr(pivots, "MOST_PREFIX", prefix)
+    monkeypatch.setattr(pivots, "SMALL", 100)
     writes, collections, live = make(spark, 30)
     expected = set()
     for ids, s in brute(live):
@@ -124,7 +125,7 @@ def test_clusters(spark, prefix, monkeypatch):
         by.setdefault(r["pivot"], []).append(r["vector_id"])
     got = {tuple(sorted(v)) for v in by.values()}
     assert len(got & expected) >= (len(expected) if prefix > 100 else 0.9 * len(expected)) and len(expected) > 10
-    described = pivots.typical_members(writes, collections, members).collect()
+    described = pivots.typical_members(writes, members).collect()
     assert {(r["cluster_id"], r["size"]) for r in described} == {(v[0], len(v)) for v in got}
     assert all(1 <= len(r["typical_ids"]) <= 3 for r in described)
 
@@ -174,6 +175,55 @@ def test_cells_keep_pairs_at_the_threshold(spark, monkeypatch):
     assert {tuple(sorted(ids)) for ids in by.values()} == {tuple(range(n, n + 8)) for n in range(0, 320, 8)}
 
 
+def planted(seed, dim, sizes, noise):
+    """Separated clusters, any two of a cluster with a cosine near 0.9, and rows in none."""
+    rng = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    parts = [unit(rng.normal(size=dim))[None] + 0.33 * unit(rng.normal(size=(n, dim))) for n in sizes]
+    return np.concatenate([*parts, rng.normal(size=(noise, dim))]).astype(np.float32).astype(float)
+
+
+def test_batches_do_not_matter(spark, monkeypatch):
+    """Rows with and without a pivot share Arrow batches, several a partition; cells and
+    clusters are cut into blocks; brute force gives the same clusters."""
+    monkeypatch.setattr(pivots, "SMALL", 100)
+    monkeypatch.setattr(pivots, "LEAST_PREFIX", 600)
+    monkeypatch.setattr(pivots, "MOST_PREFIX", 600)
+    x = planted(3, 32, [400, 150, *range(5, 45)], 2600)
+    s = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = s @ s.T >= 0.75
+    first = near.argmax(1)
+    expected = {tuple(np.flatnonzero(first == f).tolist()) for f in np.unique(first) if (first == f).sum() >= 5}
+    assert len(expected) == 42
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch, rows in ((100, 16384), (100, 64), (1000, 16384), (10000, 64)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            monkeypatch.setattr(pivots, "PAIR_ROWS", rows)
+            monkeypatch.setattr(pivots, "CELL_ROWS", max(rows // 2, 40))
+            assert {tuple(sorted(ids)) for ids in found_clusters(spark, x).values()} == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_touching_clusters_keep_their_rows(spark, monkeypatch):
+    """Two clusters that touch: rows between them end in the closer one they fit, none that fits is dropped."""
+    monkeypatch.setattr(pivots, "SMALL", 10)
+    rng = np.random.default_rng(12)
+    q = np.linalg.qr(rng.normal(size=(24, 24)))[0]
+    centre = lambda t: np.cos(t) * q[0] + np.sin(t) * q[1]
+    points = [centre(t) + 0.02 * rng.normal(size=24) / 24**0.5 for t in np.concatenate([rng.uniform(-0.3, 0.28, 60), rng.uniform(0.5, 1.1, 60)])]
+    x = np.array(points).astype(np.float32).astype(float)
+    by = found_clusters(spark, x)
+    s = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = s @ s.T
+    assert all((s[np.ix_(ids, ids)] >= 0.75).all() for ids in by.values())
+    listed = {i for ids in by.values() for i in ids}
+    for i in set(range(len(x))) - listed:
+        assert not any((s[i, ids] >= 0.75).all() for ids in by.values())
+    assert len(listed) >= 0.95 * len(x)
+
+
 def test_expelled_are_the_later():
     at = np.deg2rad([0, 10, 20, 30, 38, 44])
     pdf = pd.DataFrame({"k": range(6), "pivot": 7, "vector_values": [np.array([np.cos(t), np.sin(t)]) for t in at], "late": [False] * 5 + [True], "angle": abs(at - at.mean())})

@@ -1,15 +1,18 @@
 """Clusters of mutually similar vectors by parallel pivot correlation clustering.
 
 Rows have a random order (a hash). A row that no earlier row resembles, a local minimum,
-is a pivot and absorbs its similar neighbours. The prefix of the order, a bounded sample
-of each collection, is settled first: its pivots are sent to all tasks, and every row
-joins the closest similar pivot where it lies, without a shuffle. However large a
-cluster is, its rows end here. What resembles no prefix pivot goes, as 8-bit vectors, to
-the cells of its NEAREST closest pivots; each cell settles its own local minima, a row
-keeps the earliest pivot of its cells, and pivots that a second cell absorbed hand on
-their rows. The pivots of cells meet once more in other cells, those of their closest
-random directions, where pivots of one cluster that missed each other are joined. Finally these memberships are checked in DOUBLE, dead versions are dropped
-and clusters keep their live rows.
+is a pivot and absorbs its similar neighbours. The prefix of the order, a bounded sample of
+each collection, is settled first, its members move to the closest pivot and the pivots
+become the centres of their members, twice over. The centres are sent to all tasks, and
+every row joins the closest one it resembles where it lies. However large a cluster is, its
+rows end here. The others go to the cells of their NEAREST closest centres, where each
+links itself to the earliest row it resembles; pivots that share a row hand on to the
+earliest of them, the rows of one such group are settled, moved to the closest medoid and
+the medoids recomputed, in one task. Collections of at most SMALL rows are one cell.
+
+Rows travel in 8 bits an element with the norm of their rounding error, so a product of
+two of them bounds their cosine from both sides. Pairs that the angles to the centre or
+these bounds do not prove to have the threshold are compared in DOUBLE on the stored values.
 """
 
 from __future__ import annotations
@@ -20,19 +23,27 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecledger.functions.distance import cosine_similarity
-from vecledger.llm.ivfpq import ROUNDING, bit_filter, bit_table, bit_test, in_table, unit_rows
+from vecledger.llm.ivfpq import FILTER_BITS, bit_filter, bit_table, in_table, unit_rows
 from vecledger.llm.topn import top_n
-from vecledger.operators.liverows import live_keys, live_vectors, usable
+from vecledger.operators.liverows import live_keys
 from vecledger.sources.tables import written
 
-LEAST_PREFIX, MOST_PREFIX, NEAREST = 2048, 8192, 6
-PASSED_ON = 1 << 16
-PAIR_ROWS, FLOAT_ROUNDING = 16384, 1e-6
+SMALL, LEAST_PREFIX, MOST_PREFIX, ALL_PREFIXES = 2048, 2048, 8192, 1 << 17
+NEAREST = 6
+CELL_ROWS, PAIR_ROWS = 8192, 16384
+FLOAT_ROUNDING, ANGLE_ROUNDING = 1e-6, 1e-3
+ASKED_MOST = 4096
+SHIPPED = pa.schema([
+    ("c", pa.int64()), ("kind", pa.int32()), ("at", pa.int64()), ("block", pa.int32()), ("later", pa.int32()), ("turn", pa.float32()),
+    ("k", pa.int64()), ("error", pa.float32()), ("body", pa.binary()),
+])
+SHIPPED_DDL = "c bigint, kind int, at bigint, block int, later int, turn float, k bigint, error float, body binary"
+MEMBER, VISIT, GROUP = 0, 1, 2
+LOST = 4.0  # no angle: a row that left its group
 
 
 def settle(x: np.ndarray, threshold: float, block: int = 512) -> np.ndarray:
@@ -61,163 +72,299 @@ def settle(x: np.ndarray, threshold: float, block: int = 512) -> np.ndarray:
     return pivot
 
 
-def prefix_pivots(rows: DataFrame, threshold: float, live: Broadcast) -> dict[str, dict]:
-    """Pivots {x, k} of the prefix of each collection; at most MOST_PREFIX rows, expected, are sampled of each."""
-    counts = {r[0]: r[1] for r in rows.groupBy("collection_name").count().collect()}
-    if not counts:
+def recentred(x: np.ndarray, pivot: np.ndarray, threshold: float, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pivots, centres, row's place among them or -1) after `rounds` times moving every row
+    to the closest centre, if it has the threshold with it, and recomputing the centres."""
+    names, place = np.unique(pivot, return_inverse=True)
+    centres = x[names]
+    for n in range(rounds + 1):
+        sums = np.zeros(centres.shape, np.float64)
+        mine = place >= 0
+        np.add.at(sums, place[mine], x[mine])
+        some = np.bincount(place[mine], minlength=len(names)) > 0
+        centres = centres.copy()
+        centres[some] = unit_rows(sums[some])
+        if n < rounds:
+            sims = x @ centres.T
+            place = sims.argmax(1)
+            place[sims[np.arange(len(x)), place] < threshold] = -1
+    return names, centres, place
+
+
+def shrunk(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """int8 rows in the direction of unit rows, and the norm of what that rounds off."""
+    scale = np.abs(x).max(1, keepdims=True) / 127
+    scale[scale == 0] = 1
+    small = np.round(x / scale).astype(np.int8)
+    return small, np.linalg.norm(x - unit_rows(small), axis=1).astype(np.float32) + np.float32(1e-6)
+
+
+def train(pdf: pd.DataFrame, rate: float, threshold: float) -> dict:
+    """Centres and pivots of a prefix, and the blocks that cells and clusters need."""
+    pdf = pdf.drop_duplicates("k").sort_values("k")
+    x = unit_rows(np.stack(pdf["vector_values"].to_numpy()))
+    names, centres, place = recentred(x, settle(x, threshold), threshold)
+    size = np.bincount(place[place >= 0], minlength=len(names))
+    alone = np.flatnonzero((place < 0) | (size[place] == 1))
+    few = min(NEAREST, len(names))
+    cells = np.argpartition(-(x[alone] @ centres.T), few - 1, axis=1)[:, :few].ravel() if len(alone) else np.zeros(0, int)
+    visits = np.bincount(cells, minlength=len(names))
+    blocks = lambda n, most: np.maximum(1, np.ceil(n / rate / most)).astype(np.int32)
+    return {"x": centres, "k": pdf["k"].to_numpy()[names], "cells": blocks(visits, CELL_ROWS), "members": blocks(size, PAIR_ROWS)}
+
+
+def prefix_models(rows: DataFrame, counts: dict[int, int], threshold: float) -> dict[int, dict]:
+    """Models of collections {c: number of rows}; at most MOST_PREFIX rows a collection and
+    ALL_PREFIXES in all, expected, are sampled."""
+    want = {c: min(float(np.clip(8 * n**0.5, LEAST_PREFIX, MOST_PREFIX)), n) for c, n in counts.items()}
+    fit = min(1.0, ALL_PREFIXES / max(1.0, sum(want.values())))
+    rates = {c: max(w * fit, 64.0) / counts[c] for c, w in want.items()}
+    if not rates:
         return {}
-    want = {name: min(1.0, float(np.clip(8 * n**0.5, LEAST_PREFIX, MOST_PREFIX)) / n) for name, n in counts.items()}
-    rate = F.create_map(*[F.lit(v) for pair in want.items() for v in pair])
-    sample = rows.where(F.pmod("k", F.lit(1 << 20)) < rate[F.col("collection_name")] * (1 << 20)).where(bit_test(live)(F.col("k")))
-
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("k").sort_values("k")
-        x = unit_rows(np.stack(pdf["vector_values"].to_numpy()))
-        at = np.unique(settle(x, threshold))
-        model = {"x": x[at], "k": pdf["k"].to_numpy()[at]}
-        return pd.DataFrame({"name": [pdf["collection_name"].iloc[0]], "model": [pickle.dumps(model)]})
-
-    fitted = sample.groupBy("collection_name").applyInPandas(train, "name string, model binary").collect()
-    return {r[0]: pickle.loads(r[1]) for r in fitted}
-
-
-def directions(models: dict[str, dict]) -> dict[str, dict]:
-    """As many random directions as a model has pivots; they absorb nothing."""
-    rng = np.random.default_rng(23)
-    return {name: {"x": unit_rows(rng.normal(size=m["x"].shape)), "k": None} for name, m in models.items()}
-
-
-def proposals(rows: DataFrame, threshold: float, models: dict[str, dict], wanted: Broadcast) -> DataFrame:
-    """(k, pivot, final): the pivot of `models` a row joins (final), or one pivot for each of
-    the cells around the closest of models' vectors.
-
-    rows: (collection_name, k BIGINT, vector_values), of which those in the bit table `wanted` count.
-    """
-    numbers = {name: i for i, name in enumerate(sorted(models))}
-    dims = [models[name]["x"].shape[1] for name in sorted(models)]
-    shared = rows.sparkSession.sparkContext.broadcast(models)
-    schema = pa.schema([("number", pa.int32()), ("cell", pa.int32()), ("k", pa.int64()), ("body", pa.binary()), ("pivot", pa.int64())])
-
-    def packed(number: int, cell: np.ndarray, k: np.ndarray, body: np.ndarray | None, pivot: np.ndarray | None) -> pa.RecordBatch:
-        n = len(k)
-        width = 0 if body is None else body.shape[1]
-        offsets = pa.py_buffer((np.arange(n + 1, dtype=np.int32) * width).tobytes())
-        raw = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(b"" if body is None else body.tobytes())])
-        pivots = pa.nulls(n, pa.int64()) if pivot is None else pa.array(pivot)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int32)), pa.array(cell.astype(np.int32)), pa.array(k), raw, pivots], schema=schema)
+    sent = rows.sparkSession.sparkContext.broadcast(rates)
+
+    @F.pandas_udf("boolean")
+    def drawn(c: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series(k.to_numpy() % (1 << 20) < c.map(sent.value).fillna(0.0).to_numpy() * (1 << 20))
+
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = int(pdf["c"].iloc[0])
+        return pd.DataFrame({"c": [c], "model": [pickle.dumps(train(pdf, min(1.0, sent.value[c]), threshold))]})
+
+    found = rows.where(drawn("c", "k")).groupBy("c").applyInPandas(fitted, "c bigint, model binary").collect()
+    return {r[0]: pickle.loads(r[1]) for r in found}
+
+
+def rows_of(batch: pa.RecordBatch, some: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(c, k, unit rows) of the rows `some` of a batch (c, k, vector_values), by collection and length."""
+    c, k = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    lists = batch.column(2)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    starts = lists.offsets.to_numpy() - lists.offsets.to_numpy()[0]
+    size = np.diff(starts)
+    at = np.arange(len(k)) if some is None else np.flatnonzero(some)
+    for key in np.unique(np.column_stack([c[at], size[at]]), axis=0).tolist() if len(at) else []:
+        mine = at[(c[at] == key[0]) & (size[at] == key[1])]
+        for s in range(0, len(mine), 2048):
+            part = mine[s : s + 2048]
+            yield key[0], k[part], unit_rows(flat[starts[part][:, None] + np.arange(key[1])])
+
+
+def shipped(c: int, kind: int, at: np.ndarray, blocks: np.ndarray, k: np.ndarray, turn: np.ndarray, small: np.ndarray, error: np.ndarray) -> pa.RecordBatch:
+    """Rows to their places; of `blocks` blocks of a place, each has all rows and owns some."""
+    n = len(k)
+    each = np.repeat(np.arange(n), blocks)
+    block = np.arange(len(each)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    own = k.view(np.uint64)[each] // np.uint64(64) % blocks[each].astype(np.uint64) == block.astype(np.uint64)
+    width = small.shape[1]
+    offsets = pa.py_buffer((np.arange(len(each) + 1, dtype=np.int32) * width).tobytes())
+    body = pa.Array.from_buffers(pa.binary(), len(each), [None, offsets, pa.py_buffer(small[each].tobytes())])
+    columns = [np.full(len(each), c), np.full(len(each), kind, np.int32), at[each], block.astype(np.int32), (~own).astype(np.int32), turn[each].astype(np.float32), k[each], error[each]]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), body], schema=SHIPPED)
+
+
+def sent(rows: DataFrame, models: dict[int, dict], wanted: np.ndarray | None, threshold: float) -> DataFrame:
+    """SHIPPED rows of `rows` (c, k, vector_values): members of centres, visits of cells."""
+    spark = rows.sparkSession.sparkContext
+    models, wanted = spark.broadcast(models), spark.broadcast(wanted)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(0).to_numpy(zero_copy_only=False)
-            k = batch.column(1).to_numpy()
-            lists = batch.column(2)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            starts = lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
-            counts = in_table(wanted.value, k)
-            for name in set(names):
-                model = shared.value.get(name)
+            some = None if wanted.value is None else in_table(wanted.value, batch.column(1).to_numpy())
+            for c, k, x in rows_of(batch, some):
+                model = models.value.get(c)
+                small, error = shrunk(x)
+                one = np.ones(len(k), np.int32)
                 if model is None:
+                    yield shipped(c, VISIT, np.zeros(len(k), np.int64), one, k, 0 * error, small, error)
                     continue
-                at = np.flatnonzero((names == name) & counts)
-                for s in range(0, len(at), 1024):
-                    part = at[s : s + 1024]
-                    x = unit_rows(flat[starts[part][:, None] + np.arange(model["x"].shape[1])])
-                    sims = x @ model["x"].T
-                    best = sims.argmax(1)
-                    hit = (sims[np.arange(len(x)), best] >= threshold - FLOAT_ROUNDING) & (model["k"] is not None)
-                    if hit.any():
-                        # negative cells are only passed on
-                        done = k[part[hit]]
-                        yield packed(numbers[name], -1 - done % PASSED_ON, done, None, model["k"][best[hit]])
-                    rest = np.flatnonzero(~hit)
-                    if len(rest):
-                        few = min(NEAREST, sims.shape[1])
-                        cells = np.argpartition(-sims[rest], few - 1, axis=1)[:, :few].ravel()
-                        scale = np.abs(x[rest]).max(1, keepdims=True) / 127
-                        scale[scale == 0] = 1
-                        small = np.round(x[rest] / scale).astype(np.int8)
-                        yield packed(numbers[name], cells, np.repeat(k[part[rest]], few), np.repeat(small, few, axis=0), None)
-
-    out = pa.schema([("k", pa.int64()), ("pivot", pa.int64()), ("final", pa.bool_())])
-
-    def given(k: np.ndarray, pivot: np.ndarray, final: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(pivot), pa.array(np.full(len(k), final))], schema=out)
-
-    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, int] | None = None
-        ks: list[np.ndarray] = []
-        bodies: list[np.ndarray] = []
-
-        def close() -> pa.RecordBatch:
-            k, first = np.unique(np.concatenate(ks), return_index=True)
-            x = unit_rows(np.concatenate(bodies)[first])
-            return given(k, k[settle(x, threshold - ROUNDING)], False)
-
-        for batch in batches:
-            number, cell, k = (batch.column(i).to_numpy() for i in range(3))
-            passed = cell < 0
-            if passed.any():
-                yield given(k[passed], batch.column(4).to_numpy(zero_copy_only=False)[passed].astype(np.int64), True)
-            offsets = np.frombuffer(batch.column(3).buffers()[1], np.int32)[batch.column(3).offset :]
-            raw = batch.column(3).buffers()[2]
-            change = np.flatnonzero((number[1:] != number[:-1]) | (cell[1:] != cell[:-1])) + 1
-            for a, b in zip([0, *change], [*change, len(k)], strict=True):
-                if a == b or cell[a] < 0:
+                if model["x"].shape[1] != x.shape[1]:
                     continue
-                key = (int(number[a]), int(cell[a]))
-                if key != held:
-                    if ks:
-                        yield close()
-                    held, ks, bodies = key, [], []
-                ks.append(k[a:b])
-                bodies.append(np.frombuffer(raw, np.int8, offsets[b] - offsets[a], offsets[a]).reshape(b - a, dims[key[0]]))
-        if ks:
-            yield close()
-
-    parts = rows.mapInArrow(near, "number int, cell int, k bigint, body binary, pivot bigint")
-    return parts.repartition("number", "cell").sortWithinPartitions("number", "cell").mapInArrow(settled, "k bigint, pivot bigint, final boolean")
-
-
-def handed_on(labels: DataFrame, most_rounds: int = 20) -> DataFrame:
-    """Labels (k, pivot, final) in which every pivot is its own, by repeated pointer jumps."""
-    for _ in range(most_rounds):
-        up = labels.where("not final and pivot <> k").select(F.col("k").alias("pivot"), F.col("pivot").alias("up"))
-        moved = labels.where("not final").join(up, "pivot").select("k", "up")
+                sims = x @ model["x"].T
+                best = sims.argmax(1)
+                top = sims[np.arange(len(x)), best]
+                hit = np.flatnonzero(top >= threshold - FLOAT_ROUNDING)
+                if len(hit):
+                    angle = np.arccos(np.clip(top[hit], -1, 1))
+                    yield shipped(c, MEMBER, model["k"][best[hit]], model["members"][best[hit]], k[hit], -angle, small[hit], error[hit])
+                rest = np.flatnonzero(top < threshold - FLOAT_ROUNDING)
+                if len(rest):
+                    few = min(NEAREST, sims.shape[1])
+                    cells = np.argpartition(-sims[rest], few - 1, axis=1)[:, :few].ravel()
+                    each = np.repeat(rest, few)
+                    yield shipped(c, VISIT, cells, model["cells"][cells], k[each], 0 * error[each], small[each], error[each])
+
+    return rows.select("c", "k", "vector_values").mapInArrow(near, SHIPPED_DDL)
+
+
+class Place:
+    """The owned rows of one place and block, to which the other rows are shown in parts."""
+
+    def __init__(self, key: tuple[int, int, int, int], k: np.ndarray, turn: np.ndarray, x: np.ndarray, error: np.ndarray, threshold: float):
+        self.key, self.threshold = key, threshold
+        if key[1] == VISIT:  # in order of k, each once
+            k, first = np.unique(k, return_index=True)
+            turn, x, error = turn[first], x[first], error[first]
+        self.k, self.angle, self.x, self.error = k, -turn, x, error
+        self.unproven = np.zeros(len(k), bool)
+        self.earliest, self.met = k.copy(), np.zeros(len(k), bool)
+        if key[1] != GROUP:
+            self.show(k, self.angle, x, error, own=True)
+
+    def show(self, k: np.ndarray, angle: np.ndarray, x: np.ndarray, error: np.ndarray, own: bool = False) -> None:
+        slack = float(self.error.max() + error.max())
+        if self.key[1] == MEMBER:
+            limit = np.arccos(self.threshold) - ANGLE_ROUNDING
+            mine = np.flatnonzero(self.angle + angle.max() > limit)
+            theirs = np.flatnonzero(angle + self.angle.max() > limit)
+            for s in range(0, len(mine), 1024):
+                for t in range(0, len(theirs), 4096):
+                    self.unproven[mine[s : s + 1024]] |= (self.x[mine[s : s + 1024]] @ x[theirs[t : t + 4096]].T < self.threshold + slack).any(1)
+            return
+        order = np.argsort(k, kind="stable")
+        for t in range(0, len(k), 4096):
+            part = order[t : t + 4096]
+            for s in range(0, len(self.k), 1024):
+                near = self.x[s : s + 1024] @ x[part].T >= self.threshold - slack
+                found = np.where(near.any(1), k[part][near.argmax(1)], self.k[s : s + 1024])
+                self.earliest[s : s + 1024] = np.minimum(self.earliest[s : s + 1024], found)
+                if own:  # each row resembles itself
+                    at = np.searchsorted(part, np.arange(s, s + len(near)))
+                    inside = np.flatnonzero((at < len(part)) & (part[np.minimum(at, len(part) - 1)] == np.arange(s, s + len(near))))
+                    near[inside, at[inside]] = False
+                self.met[s : s + 1024] |= near.any(1)
+
+
+LINKS = pa.schema([("c", pa.int64()), ("kind", pa.int32()), ("k", pa.int64()), ("pivot", pa.int64()), ("unproven", pa.bool_()), ("angle", pa.float32()), ("error", pa.float32()), ("body", pa.binary())])
+LINKS_DDL = "c bigint, kind int, k bigint, pivot bigint, unproven boolean, angle float, error float, body binary"
+
+
+def links(c: int, kind: int, k: np.ndarray, pivot: np.ndarray, unproven: np.ndarray, angle: np.ndarray, error: np.ndarray | None, small: np.ndarray | None) -> pa.RecordBatch:
+    n = len(k)
+    body = pa.nulls(n, pa.binary()) if small is None else pa.array([r.tobytes() for r in small], pa.binary())
+    lost = pa.nulls(n, pa.float32()) if error is None else pa.array(error)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, c)), pa.array(np.full(n, kind, np.int32)), pa.array(k), pa.array(pivot), pa.array(unproven), pa.array(angle.astype(np.float32)), lost, body], schema=LINKS)
+
+
+def linked(place: Place) -> pa.RecordBatch:
+    c, kind, at, _ = place.key
+    if kind == MEMBER:
+        return links(c, kind, place.k, np.full(len(place.k), at), place.unproven, place.angle, None, None)
+    some = place.met
+    small, error = shrunk(place.x[some])
+    return links(c, kind, place.k[some], place.earliest[some], place.unproven[some], 0 * error, place.error[some] + error, small)
+
+
+def by_place(batches: Iterator[pa.RecordBatch], threshold: float, done: Callable[[Place], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """done(place) of every place and block of sorted SHIPPED rows."""
+    held: tuple | None = None
+    place: Place | None = None
+    waiting: list[tuple] = []
+
+    def built() -> Place:
+        return Place(held, *(np.concatenate(parts) for parts in zip(*waiting, strict=True)), threshold)
+
+    for batch in batches:
+        c, kind, at, block, later, turn, k, error = (batch.column(i).to_numpy() for i in range(8))
+        offsets = np.frombuffer(batch.column(8).buffers()[1], np.int32)[batch.column(8).offset :]
+        raw = batch.column(8).buffers()[2]
+        change = (c[1:] != c[:-1]) | (kind[1:] != kind[:-1]) | (at[1:] != at[:-1]) | (block[1:] != block[:-1]) | (later[1:] != later[:-1])
+        edges = np.flatnonzero(change) + 1
+        for a, b in zip([0, *edges], [*edges, len(k)], strict=True):
+            if a == b:
+                continue
+            key = (int(c[a]), int(kind[a]), int(at[a]), int(block[a]))
+            if key != held:
+                if waiting or place is not None:
+                    out = done(place or built())
+                    if out.num_rows:
+                        yield out
+                held, place, waiting = key, None, []
+            x = unit_rows(np.frombuffer(raw, np.int8, offsets[b] - offsets[a], offsets[a]).reshape(b - a, -1))
+            if later[a]:
+                if place is None and waiting:
+                    place, waiting = built(), []
+                if place is not None:
+                    place.show(k[a:b], -turn[a:b], x, error[a:b])
+            else:
+                waiting.append((k[a:b], turn[a:b], x, error[a:b]))
+    if waiting or place is not None:
+        out = done(place or built())
+        if out.num_rows:
+            yield out
+
+
+def placed(rows: DataFrame, threshold: float, done: Callable[[Place], pa.RecordBatch]) -> DataFrame:
+    """LINKS of SHIPPED rows; each place and block comes sorted, own rows first, wide angles first."""
+    order = ["c", "kind", "at", "block"]
+    return rows.repartition(*order).sortWithinPartitions(*order, "later", "turn").mapInArrow(lambda batches: by_place(batches, threshold, done), LINKS_DDL)
+
+
+def roots(met: DataFrame) -> DataFrame:
+    """(pivot, root): rows and pivots that met, directly or by others, have one root, the earliest.
+
+    met: (k, pivot), pivot <= k. Roots only fall, by jumps over jumps, so the rounds are logarithmic.
+    """
+    lows = written(met.groupBy("k").agg(F.min("pivot").alias("low")))
+    ways = met.join(lows, "k").select("pivot", "low").unionByName(lows.select(F.col("k").alias("pivot"), "low"))
+    edges = written(ways.groupBy("pivot").agg(F.min("low").alias("root")))
+    while True:
+        up = edges.select(F.col("pivot").alias("root"), F.col("root").alias("up")).where("up < root")
+        moved = edges.join(up, "root").select("pivot", "up")
         if moved.isEmpty():
-            break
-        labels = written(labels.join(moved, "k", "left").select("k", F.coalesce("up", "pivot").alias("pivot"), "final"))
-    return labels
+            return edges
+        edges = written(edges.join(moved, "pivot", "left").select("pivot", F.coalesce("up", "root").alias("root")))
+
+
+def regrouped(place: Place) -> pa.RecordBatch:
+    """LINKS of the rows of one group: settled, moved to the closest medoid, proven or not."""
+    k, first = np.unique(place.k, return_index=True)
+    x, error, threshold = place.x[first], place.error[first], place.threshold
+    slack = 2 * float(error.max())
+    names, centres, at = recentred(x, settle(x, threshold - slack), threshold - slack)
+    unproven, angle, pivot = np.zeros(len(k), bool), np.zeros(len(k)), np.full(len(k), -1)
+    for n in range(len(names)):
+        mine = np.flatnonzero(at == n)
+        if not len(mine):
+            continue
+        to = x[mine] @ centres[n]
+        pivot[mine] = k[mine[to.argmax()]]  # the medoid
+        angle[mine] = np.arccos(np.clip(to, -1, 1))
+        for s in range(0, len(mine), 1024):
+            unproven[mine[s : s + 1024]] = (x[mine[s : s + 1024]] @ x[mine].T < threshold + slack).any(1)
+    lost = at < 0
+    pivot[lost], unproven[lost], angle[lost] = k[lost], True, LOST
+    return links(place.key[0], GROUP, k, pivot, unproven, angle, None, None)
+
+
+def assigned(rows: DataFrame, counts: dict[int, int], wanted: np.ndarray | None, threshold: float, least: int) -> DataFrame:
+    """(k, pivot, unproven, angle): rows that resemble a pivot, each with one.
+
+    unproven rows may be below the threshold with another unproven row of their pivot.
+    Links and groups of fewer than `least` rows end here.
+    """
+    models = prefix_models(rows if wanted is None else rows.where(tested(rows, wanted)(F.col("k"))), {c: n for c, n in counts.items() if n > SMALL}, threshold)
+    found = written(placed(sent(rows, models, wanted, threshold), threshold, linked))
+    met = found.where(F.col("kind") == VISIT)
+    tops = roots(met.select("k", "pivot").distinct())
+    labels = met.groupBy("k").agg(F.first("c").alias("c"), F.first("error").alias("error"), F.first("body").alias("body")).join(tops.withColumnRenamed("pivot", "k"), "k")
+    labels = written(labels.select("c", "k", "root", "error", "body"))
+    groups = labels.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("root")
+    zero = F.lit(0)
+    whole = labels.join(groups, "root").select(
+        "c", F.lit(GROUP).alias("kind"), F.col("root").alias("at"), zero.alias("block"), zero.alias("later"), zero.cast("float").alias("turn"), "k", "error", "body")
+    both = placed(whole, threshold, regrouped).unionByName(found.where(F.col("kind") == MEMBER))
+    return both.select("k", "pivot", "unproven", "angle").dropDuplicates(["k"])
 
 
-def assigned(rows: DataFrame, live: DataFrame, wanted: Broadcast, vectors_of: Callable[[DataFrame], DataFrame], threshold: float, least: int) -> tuple[DataFrame, DataFrame]:
-    """(k, pivot) of live rows that may be in clusters, and (k) of those that reach none of the pivots they met.
+def tested(rows: DataFrame, wanted: np.ndarray):
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)
 
-    A row settled in cells joins the closest, in DOUBLE, of the pivots that it met or that
-    these were handed on to.
-    """
-    models = prefix_pivots(rows, threshold, wanted)
-    met_all = written(proposals(rows, threshold, models, wanted).groupBy("k").agg(F.min("pivot").alias("pivot"), F.max("final").alias("final"), F.collect_set("pivot").alias("met")))
-    # the earliest of a row's proposals; k is the order
-    labels = handed_on(met_all.select("k", "pivot", "final"))
-    heads = labels.where("not final and k = pivot").select("k")
-    few = rows.sparkSession.sparkContext.broadcast(bit_table(heads))
-    met = proposals(rows, threshold, directions(models), few).groupBy("k").agg(F.min("pivot").alias("met"))
-    joined = labels.join(met.where("met < k"), "k", "left")
-    labels = handed_on(written(joined.select("k", F.when(~F.col("final") & (F.col("k") == F.col("pivot")), F.coalesce("met", "pivot")).otherwise(F.col("pivot")).alias("pivot"), "final")))
-    others = met_all.where("not final and size(met) > 1").select("k", F.explode("met").alias("by"))
-    ends = labels.where("not final").select(F.col("k").alias("by"), "pivot")
-    offers = labels.unionByName(others.join(ends, "by").select("k", "pivot", F.lit(False).alias("final"))).distinct()
-    offers = written(live.select("k").join(offers, "k"))
-    offers = written(offers.join(offers.groupBy("pivot").count().where(F.col("count") >= least), "pivot", "left_semi"))
-    asked = written(offers.where("not final and k <> pivot").select("k", "pivot"))
-    held = written(vectors_of(asked.select("k").union(asked.select("pivot"))))
-    theirs = held.select(F.col("k").alias("pivot"), F.col("vector_values").alias("theirs"))
-    asked = asked.join(held, "k").join(theirs, "pivot")
-    compared = written(asked.select("k", "pivot", cosine_similarity(F.col("vector_values"), F.col("theirs")).alias("cosine")))
-    own = offers.where("final or k = pivot").select("k", "pivot", F.when(F.col("final"), 1.0).otherwise(2.0).alias("cosine"))
-    close = compared.where(F.col("cosine") >= threshold).unionByName(own)
-    best = written(close.groupBy("k").agg(F.max(F.struct("cosine", "pivot")).alias("best")).select("k", "best.pivot"))
-    return best, compared.select("k").distinct().join(best, "k", "left_anti")
+    @F.pandas_udf("boolean")
+    def maybe(s: pd.Series) -> pd.Series:
+        return pd.Series(in_table(shared.value, s.to_numpy()))
+
+    return maybe
 
 
 def violating(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -235,7 +382,7 @@ def violating(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
 def expelled(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Rows (k, pivot) to leave out so that all others have the threshold with each other.
 
-    Rows are taken in order of `late` and the angle to the mean if similar to all taken."""
+    Rows are taken in order of `late` and the angle to the centre if similar to all taken."""
     pdf = pdf.sort_values(["late", "angle", "k"])
     x = np.stack(pdf["vector_values"].to_numpy()).astype(np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -252,105 +399,140 @@ def expelled(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pdf.loc[out, ["k", "pivot"]]
 
 
-def mutual(members: DataFrame, threshold: float) -> DataFrame:
-    """(k, pivot) of the members to leave out so that any two of a cluster have the threshold.
-
-    members: (k, pivot, vector_values, late). Angles to the mean prove most pairs, as the
-    angle of two rows is at most the sum of theirs; only rows in other pairs are compared,
-    blocks of PAIR_ROWS of them with all of them, and rows without a violation stay.
-    """
-    parts = members.select("pivot", F.col("vector_values").cast("array<double>").alias("mean"))
-    mean = parts.mapInArrow(summed(True), parts.schema).repartition("pivot").mapInArrow(summed(False), parts.schema)
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine_similarity(F.col("vector_values"), F.col("mean")))))
-    angles = written(members.join(mean, "pivot").select("k", "pivot", "late", F.coalesce(angle, F.lit(np.pi)).alias("angle")))
-    widest = angles.groupBy("pivot").agg(F.max("angle").alias("widest"))
-    doubtful = written(angles.join(widest, "pivot").where(F.col("angle") + F.col("widest") > float(np.arccos(threshold)) - 1e-7).drop("widest"))
-    blocks = doubtful.groupBy("pivot").agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("blocks"))
-    some = members.select("k", "vector_values").where(bit_filter(doubtful.select("k"))(F.col("k")))
-    rows = doubtful.join(some, "k").join(blocks, "pivot")
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).withColumn("own", F.pmod("k", "blocks") == F.col("block"))
+def misfits(members: DataFrame, vectors_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """(k) of the unproven members (k, pivot, angle, late) to leave out so that any two of a
+    cluster have the threshold in DOUBLE: blocks of PAIR_ROWS of them are compared with all of
+    them, and of those in a pair below it `expelled` chooses."""
+    some = written(members.where("unproven").select("k", "pivot", "angle", "late"))
+    if some.isEmpty():
+        return some.select("k")
+    some = written(some.join(vectors_of(some.select("k")), "k"))
+    blocks = some.groupBy("pivot").agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("blocks"))
+    rows = some.join(blocks, "pivot").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).withColumn("own", F.pmod("k", "blocks") == F.col("block"))
     pairs = rows.select("k", "pivot", "vector_values", "block", "own").groupBy("pivot", "block")
     bad = written(pairs.applyInPandas(lambda pdf: violating(pdf, threshold), "k bigint, pivot bigint"))
     if bad.isEmpty():
-        return bad
-    tested = doubtful.join(bad.select("k"), "k", "left_semi").join(members.select("k", "vector_values"), "k")
-    return written(tested.groupBy("pivot").applyInPandas(lambda pdf: expelled(pdf, threshold), "k bigint, pivot bigint"))
+        return bad.select("k")
+    tests = some.join(bad.select("k"), "k", "left_semi")
+    return written(tests.groupBy("pivot").applyInPandas(lambda pdf: expelled(pdf, threshold), "k bigint, pivot bigint").select("k"))
 
 
 def large(members: DataFrame, least: int) -> DataFrame:
-    return members.join(members.groupBy("pivot").count().where(F.col("count") >= least), "pivot", "left_semi")
+    return members.join(members.groupBy("pivot").count().where(F.col("count") >= least).select("pivot"), "pivot", "left_semi")
 
 
-def readmitted(members: DataFrame, rejected: DataFrame, threshold: float) -> DataFrame:
-    """members and those of `rejected` that have the threshold with all of another cluster.
+def means(members: DataFrame) -> DataFrame:
+    """(pivot, mean): sum of the unit vectors of each cluster (pivot, vector_values), combined before the shuffle."""
+    parts = members.select("pivot", F.col("vector_values").cast("array<double>").alias("mean"))
+    return parts.mapInArrow(summed(True), parts.schema).repartition("pivot").mapInArrow(summed(False), parts.schema)
+
+
+def readmitted(found: DataFrame, gone: DataFrame, vectors_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """(k, pivot) of rows of `gone` (k, c) that join the closest cluster of `found` (k, pivot, c)
+    with all of which they have the threshold.
 
     The mean of such a cluster has the threshold too, so only those clusters are compared.
     """
-    parts = members.select("pivot", F.col("vector_values").cast("array<double>").alias("mean"))
-    mean = parts.mapInArrow(summed(True), parts.schema).repartition("pivot").mapInArrow(summed(False), parts.schema)
-    mean = written(mean.join(members.select("pivot", "collection_name").distinct(), "pivot"))
-    near = rejected.join(mean, "collection_name").withColumn("cosine", cosine_similarity(F.col("vector_values"), F.col("mean")))
+    members = written(found.join(vectors_of(found.select("k")), "k"))
+    centre = written(means(members).join(members.select("pivot", "c").distinct(), "pivot"))
+    asked = gone.join(vectors_of(gone.select("k")), "k")
+    near = asked.join(centre, "c").withColumn("cosine", cosine_similarity(F.col("vector_values"), F.col("mean")))
     near = written(near.where(F.col("cosine") >= threshold - FLOAT_ROUNDING).select("k", "pivot", "cosine", F.col("vector_values").alias("mine")))
     least_cosine = F.min(cosine_similarity(F.col("vector_values"), F.col("mine")))
     fits = near.join(members.select("pivot", "vector_values"), "pivot").groupBy("k", "pivot", "cosine").agg(least_cosine.alias("least")).where(F.col("least") >= threshold)
-    best = fits.groupBy("k").agg(F.max(F.struct("cosine", "pivot")).alias("best")).select("k", "best.pivot")
-    late = written(rejected.join(best, "k").withColumn("late", F.lit(True)).select(members.columns))
-    if late.isEmpty():
-        return members
-    both = members.unionByName(late)
-    return written(both.join(mutual(both, threshold).select("k"), "k", "left_anti").withColumn("late", F.lit(False)))
+    best = written(fits.groupBy("k").agg(F.max(F.struct("cosine", "pivot")).alias("best")).select("k", "best.pivot"))
+    if best.isEmpty():
+        return best
+    # those that joined one cluster are compared with each other
+    late = best.select("k", "pivot", F.lit(0.0).cast("float").alias("angle"), F.lit(True).alias("late"), F.lit(True).alias("unproven"))
+    return written(best.join(misfits(late, vectors_of, threshold), "k", "left_anti"))
+
+
+def touched(rows: DataFrame, gone: DataFrame, vectors_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame | None:
+    """(k) of rows with the threshold with one of `gone` (k, c); None if those are many."""
+    if gone.count() > ASKED_MOST:
+        return None
+    held: dict[int, list] = {}
+    for r in gone.join(vectors_of(gone.select("k")), "k").select("c", "vector_values").collect():
+        held.setdefault(r[0], []).append(r[1])
+    shared = rows.sparkSession.sparkContext.broadcast({c: unit_rows(np.array(v)) for c, v in held.items()})
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, k, x in rows_of(batch):
+                asked = shared.value.get(c)
+                if asked is not None and asked.shape[1] == x.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(k[(x @ asked.T >= threshold - FLOAT_ROUNDING).any(1)])], ["k"])
+
+    return rows.select("c", "k", "vector_values").mapInArrow(near, "k bigint").distinct()
 
 
 def clusters(writes: DataFrame, collections: DataFrame, threshold: float = 0.75, least: int = 5) -> DataFrame:
-    """(collection_name, vector_id, pivot) of live vectors in clusters of at least `least`.
+    """(collection_name, vector_id, k, pivot) of live vectors in clusters of at least `least`.
 
     Unusable and deleted vectors are in no cluster, exact copies are in one; an empty
     table or collection gives no rows. Any two rows of a cluster have at least the
-    threshold cosine, in DOUBLE. Rows that do not fit their cluster join another that
-    they fit, or are settled again with the rows in no cluster, as long as clusters result.
+    threshold cosine, in DOUBLE. Rows that do not fit their cluster join the closest other
+    one that they fit, or are settled again with the rows in no cluster that they resemble,
+    until a round adds none.
     """
-    k = F.xxhash64("vector_id", "ts_ns", F.xxhash64("vector_values"))
+    k, c = F.xxhash64("vector_id", "ts_ns", F.xxhash64("vector_values")), F.xxhash64("collection_name").alias("c")
     dims = collections.groupBy("collection_name").agg(F.max("dimension").alias("dimension"))
-    versions = writes.where("vector_id is not null").join(dims, "collection_name", "left").withColumn("k", k)
-    sound = versions.where(usable(F.col("vector_values"), F.col("dimension")) & F.coalesce(F.col("deleted") == F.lit(False), F.lit(False)))
-    live = written(live_keys(writes, collections).select("vector_id", "collection_name", F.xxhash64("vector_id", "ts_ns", "content").alias("k")))
+    versions = writes.where("vector_id is not null and deleted = false").join(dims, "collection_name").where(F.size("vector_values") == F.col("dimension"))
+    versions = versions.select(c, k.alias("k"), "vector_values")
+    live = written(live_keys(writes, collections).select("vector_id", "collection_name", c, F.xxhash64("vector_id", "ts_ns", "content").alias("k")))
 
     def vectors_of(keys: DataFrame) -> DataFrame:
-        return sound.where(bit_filter(keys)(F.col("k"))).select("k", "vector_values").dropDuplicates(["k"])
+        return versions.where(bit_filter(keys)(F.col("k"))).join(keys.distinct(), "k", "left_semi").select("k", "vector_values").dropDuplicates(["k"])
 
-    found, left = None, live
+    found, left, rows = None, live, None
     while True:
-        # dead versions that the filter takes are pivots at most, never members
-        wanted = writes.sparkSession.sparkContext.broadcast(bit_table(left.select("k")))
-        # rows with NaN or zeros only are not wanted, or get no direction if the bits take them
-        rows = versions.where((F.col("deleted") == F.lit(False)) & (F.size("vector_values") == F.col("dimension"))).select("collection_name", "k", "vector_values")
-        if found is not None:
-            rows = rows.join(left.select("k"), "k", "left_semi").select("collection_name", "k", "vector_values")
-        best, lost = assigned(rows, left, wanted, vectors_of, threshold, least)
-        vectors = vectors_of(best.select("k")).join(left.join(best, "k"), "k")
-        members = written(vectors.select("k", "collection_name", "vector_id", "vector_values", "pivot", F.lit(False).alias("late")))
-        out = mutual(members, threshold)
-        gone = written(lost.union(out.select("k")))
-        kept = large(members.join(out.select("k"), "k", "left_anti"), least)
-        if gone.isEmpty():
-            return written((kept if found is None else found.unionByName(kept)).select("collection_name", "vector_id", "pivot"))
-        kept = written(kept)
+        counts = {r[0]: r[1] for r in left.groupBy("c").count().collect()}
+        wanted = None
+        if rows is None and sum(counts.values()) <= FILTER_BITS // 4:
+            rows, wanted = versions, bit_table(left.select("k"))
+        elif rows is None:  # the bits would let too many pass
+            rows = versions.join(left.select("k"), "k", "left_semi")
+        all_rows = written(assigned(rows, counts, wanted, threshold, least).join(left.select("k", "c"), "k").withColumn("late", F.lit(False)))
+        members = written(large(all_rows, least))
+        out = misfits(members, vectors_of, threshold)
+        gone = all_rows.where(F.col("angle") == LOST).select("k", "c")
+        if out.isEmpty() and gone.isEmpty():
+            kept = members.select("k", "pivot", "c")
+            found = kept if found is None else found.unionByName(kept)
+            break
+        kept = written(large(members.join(out, "k", "left_anti"), least).select("k", "pivot", "c"))
         added = not kept.isEmpty()
-        found = kept if found is None else found.unionByName(kept)
+        found = kept if found is None else written(found.unionByName(kept))
+        gone = written(gone.unionByName(members.select("k", "c").join(kept.select("k"), "k", "left_anti")).distinct())
         if added:
-            rejected = written(left.join(gone, "k", "left_semi").join(vectors_of(gone), "k"))
-            found = readmitted(found, rejected, threshold)
+            late = readmitted(found, gone, vectors_of, threshold)
+            found = written(found.unionByName(late.join(gone, "k").select("k", "pivot", "c")))
         left = written(live.join(found.select("k"), "k", "left_anti"))
-        if not added:
-            return found.select("collection_name", "vector_id", "pivot")
+        gone = written(gone.join(left.select("k"), "k", "left_semi"))
+        if not added or gone.isEmpty():
+            break
+        rows = versions.join(left.select("k"), "k", "left_semi")
+        close = touched(rows, gone, vectors_of, threshold)
+        if close is not None:
+            left = written(left.join(close, "k", "left_semi"))
+            rows = written(versions.join(left.select("k"), "k", "left_semi"))
+    return written(found.select("k", "pivot").join(live, "k").select("collection_name", "vector_id", "k", "pivot"))
 
 
-def summed(normalize: bool):
-    """Function for mapInArrow: one row (cluster, sum of its vectors) a cluster and task."""
+def summed(normalize: bool, most: int = 4096):
+    """Function for mapInArrow: (cluster, sum of its vectors), combined up to `most` clusters at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
+        total: dict = {}
         kind = None
+
+        def given() -> Iterator[pa.RecordBatch]:
+            items = list(total.items())
+            for s in range(0, len(items), 2000):
+                some = items[s : s + 2000]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in some], kind.field(0).type), pa.array([v.tolist() for _, v in some], kind.field(1).type)], schema=kind)
+
         for batch in batches:
             kind = batch.schema
             names = batch.column(0).dictionary_encode()
@@ -365,23 +547,26 @@ def summed(normalize: bool):
                     x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 name = names.dictionary[codes[part[0]]].as_py()
                 total[name] = total.get(name, 0) + x.sum(0)
-        items = list(total.items())
-        for s in range(0, len(items), 2000):
-            some = items[s : s + 2000]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in some], kind.field(0).type), pa.array([v.tolist() for _, v in some], kind.field(1).type)], schema=kind)
+            if normalize and len(total) > most:
+                yield from given()
+                total.clear()
+        if total:
+            yield from given()
 
     return run
 
 
-def typical_members(writes: DataFrame, collections: DataFrame, members: DataFrame, most: int = 3) -> DataFrame:
-    """(collection_name, cluster_id, size, typical_ids): each cluster's size and its most
-    typical members, those with the greatest cosine with its mean direction, ties to the
-    smaller id. Means are sums of unit vectors, combined before the shuffle."""
+def typical_members(writes: DataFrame, members: DataFrame, most: int = 3) -> DataFrame:
+    """(collection_name, cluster_id, size, typical_ids) of clusters' members: each cluster's
+    size and its most typical members, its medoids: those with the greatest cosine with its
+    mean direction, ties to the smaller id. Means are sums of unit vectors, combined before the shuffle."""
+    k = F.xxhash64("vector_id", "ts_ns", F.xxhash64("vector_values")).alias("k")
     ids = members.groupBy("pivot").agg(F.min("vector_id").alias("cluster_id"), F.count("*").alias("size"))
-    named = members.join(ids, "pivot").select("vector_id", "cluster_id", "size")
-    vectors = written(live_vectors(writes, collections).join(named, "vector_id"))
-    parts = vectors.select("cluster_id", F.col("vector_values").cast("array<double>").alias("mean"))
-    mean = parts.mapInArrow(summed(True), parts.schema).repartition("cluster_id").mapInArrow(summed(False), parts.schema)
+    named = members.join(ids, "pivot").drop("pivot")
+    rows = writes.where("vector_id is not null").select(k, "vector_values")
+    rows = rows.where(bit_filter(members.select("k"))(F.col("k")))
+    vectors = written(rows.join(named, "k").dropDuplicates(["k"]))
+    mean = means(vectors.select(F.col("cluster_id").alias("pivot"), "vector_values")).withColumnRenamed("pivot", "cluster_id")
     scored = vectors.join(mean, "cluster_id").select("collection_name", "cluster_id", "size", "vector_id", F.round(cosine_similarity(F.col("vector_values"), F.col("mean")), 9).alias("score"))
     best = top_n(scored, ["cluster_id"], [("score", "descending"), ("vector_id", "ascending")], most)
     order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vector_id")))

@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_clusters(spark: SparkSession, sf: str) -> DataFrame:
     vectors, collections = table(spark, sf, "vectors"), table(spark, sf, "collections")
-    return typical_members(vectors, collections, clusters(vectors, collections))
+    return typical_members(vectors, clusters(vectors, collections))
 
 
 QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p5_found": p5_found}
@@ -37,6 +37,13 @@ SQL: dict[str, str] = {
     "p1_found": f"""WITH {_LIVE},
         s AS (SELECT a.id, min(b.id) AS cluster_id FROM l a JOIN l b USING (c) WHERE list_cosine_similarity(a.v, b.v) >= 0.75 GROUP BY a.id)
         SELECT id AS vector_id, cluster_id FROM s QUALIFY count(*) OVER (PARTITION BY cluster_id) >= 5""",
+    "p1_clusters": f"""WITH {_LIVE},
+        s AS (SELECT a.id, min(b.id) AS cluster_id FROM l a JOIN l b USING (c) WHERE list_cosine_similarity(a.v, b.v) >= 0.75 GROUP BY a.id),
+        f AS (SELECT id, c, v, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS size FROM s JOIN l USING (id) QUALIFY size >= 5),
+        e AS (SELECT cluster_id, unnest(v) / sqrt(list_inner_product(v, v)) AS x, generate_subscripts(v, 1) AS i FROM f),
+        m AS (SELECT cluster_id, list(t ORDER BY i) AS mean FROM (SELECT cluster_id, i, sum(x) AS t FROM e GROUP BY ALL) GROUP BY cluster_id),
+        r AS (SELECT c, f.cluster_id, size, id, row_number() OVER (PARTITION BY f.cluster_id ORDER BY round(list_cosine_similarity(v, mean), 9) DESC, id) AS n FROM f JOIN m USING (cluster_id))
+        SELECT c AS collection_name, cluster_id, size, list(id ORDER BY n) AS typical_ids FROM r WHERE n <= 3 GROUP BY ALL""",
     "p5_found": f"""WITH {_LIVE},
         p AS (SELECT a.id AS me, b.id AS other, list_cosine_similarity(a.v, b.v) AS cosine FROM l a JOIN l b USING (c) WHERE a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= 0.98),
         n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY me ORDER BY round(cosine, 6) DESC, other) <= 5)
