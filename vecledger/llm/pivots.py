@@ -176,7 +176,7 @@ def sent(rows: DataFrame, models: dict[int, dict], wanted: np.ndarray | None, th
                 small, error = shrunk(x)
                 one = np.ones(len(k), np.int32)
                 if model is None:
-                    yield shipped(c, VISIT, np.zeros(len(k), np.int64), one, k, 0 * error, small, error)
+                    yield shipped(c, VISIT, np.zeros(len(k), np.int64), one, k, one, small, error)
                     continue
                 if model["x"].shape[1] != x.shape[1]:
                     continue
@@ -192,7 +192,8 @@ def sent(rows: DataFrame, models: dict[int, dict], wanted: np.ndarray | None, th
                     few = min(NEAREST, sims.shape[1])
                     cells = np.argpartition(-sims[rest], few - 1, axis=1)[:, :few].ravel()
                     each = np.repeat(rest, few)
-                    yield shipped(c, VISIT, cells, model["cells"][cells], k[each], 0 * error[each], small[each], error[each])
+                    first = np.arange(len(each)) % few == 0
+                    yield shipped(c, VISIT, cells, model["cells"][cells], k[each], first, small[each], error[each])
 
     return rows.select("c", "k", "vector_values").mapInArrow(near, SHIPPED_DDL)
 
@@ -250,9 +251,14 @@ def linked(place: Place) -> pa.RecordBatch:
     c, kind, at, _ = place.key
     if kind == MEMBER:
         return links(c, kind, place.k, np.full(len(place.k), at), place.unproven, place.angle, None, None)
-    some = place.met
-    small, error = shrunk(place.x[some])
-    return links(c, kind, place.k[some], place.earliest[some], place.unproven[some], 0 * error, place.error[some] + error, small)
+    # the body of a row comes from its first cell only
+    first = place.angle < 0
+    some = place.met & ~first
+    small, error = shrunk(place.x[first])
+    return pa.concat_batches([
+        links(c, kind, place.k[some], place.earliest[some], place.unproven[some], place.angle[some], None, None),
+        links(c, kind, place.k[first], place.earliest[first], place.unproven[first], place.angle[first], place.error[first] + error, small),
+    ])
 
 
 def by_place(batches: Iterator[pa.RecordBatch], threshold: float, done: Callable[[Place], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,12 +352,12 @@ def assigned(rows: DataFrame, counts: dict[int, int], wanted: np.ndarray | None,
     models = prefix_models(rows if wanted is None else rows.where(tested(rows, wanted)(F.col("k"))), {c: n for c, n in counts.items() if n > SMALL}, threshold)
     found = written(placed(sent(rows, models, wanted, threshold), threshold, linked))
     met = found.where(F.col("kind") == VISIT)
-    tops = roots(met.select("k", "pivot").distinct())
-    labels = met.groupBy("k").agg(F.first("c").alias("c"), F.first("error").alias("error"), F.first("body").alias("body")).join(tops.withColumnRenamed("pivot", "k"), "k")
-    labels = written(labels.select("c", "k", "root", "error", "body"))
-    groups = labels.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("root")
+    # rows that met no other are their own roots
+    tops = roots(met.where(F.col("pivot") < F.col("k")).select("k", "pivot").distinct())
+    groups = tops.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("root")
+    labels = written(tops.join(groups, "root").select(F.col("pivot").alias("k"), "root"))
     zero = F.lit(0)
-    whole = labels.join(groups, "root").select(
+    whole = met.where("body is not null").select("c", "k", "error", "body").join(labels, "k").select(
         "c", F.lit(GROUP).alias("kind"), F.col("root").alias("at"), zero.alias("block"), zero.alias("later"), zero.cast("float").alias("turn"), "k", "error", "body")
     both = placed(whole, threshold, regrouped).unionByName(found.where(F.col("kind") == MEMBER))
     return both.select("k", "pivot", "unproven", "angle").dropDuplicates(["k"])
