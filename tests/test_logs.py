@@ -201,26 +201,37 @@ def test_token_ring(spark):
     assert {r["key"]: r["node"] for r in ring_owner(keys, tokens).collect()} == expected
 
 
-def test_stream(spark, tmp_path):
-    rng = random.Random(8)
-    ops = [(i, rng.choice(["Put", "Append", "Append", "Get"]), rng.choice("ab"), f"{i};", rng.randrange(2), i // 2) for i in range(60)]
-    source, out = str(tmp_path / "in"), str(tmp_path / "check")
-    latest = {}
+def streamed(spark, tmp_path, parts):
+    """Key to value after a stream that is stopped and started again after each part."""
+    source, out, latest = str(tmp_path / "in"), str(tmp_path / "check"), {}
 
     def sink(df, _):
         latest.update({r["key"]: r["value"] for r in df.collect()})
 
-    for part in (ops[:25], ops[25:]):
+    for part in parts:
         spark.createDataFrame(part, LOG).coalesce(1).write.mode("append").parquet(source)
         stream = applied(spark.readStream.schema(LOG).parquet(source))
-        stream.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", out).trigger(availableNow=True).start().awaitTermination()
-    last, expected = {}, {}
-    for _, op, key, value, client, seq in ops:
-        if op == "Get" or seq <= last.get((key, client), -1):
-            continue
-        last[key, client] = seq
-        expected[key] = value if op == "Put" else expected.get(key, "") + value
-    assert latest == expected
+        stream.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", out).trigger(availableNow=True).start().awaitTermination()
+    return latest
+
+
+def test_stream(spark, tmp_path):
+    rng = random.Random(8)
+    ops = [(i, rng.choice(["Put", "Append", "Append", "Get"]), rng.choice("ab"), f"{i};", rng.randrange(2), max(0, i // 2 - rng.choice([0, 0, 9]))) for i in range(60)]
+    assert streamed(spark, tmp_path, (ops[:25], ops[25:40], ops[40:])) == model(ops)
+
+
+def test_stream_dedup_is_by_client(spark, tmp_path):
+    """The same sequence number of a client on another key has taken effect; ids near 2^62 and null ids."""
+    big = 2**62
+    ops = [
+        (1, "Put", "k", "A", big + 1, 0), (2, "Append", "k", "B", big + 1, 1), (3, "Append", "k", "B", big + 1, 1), (4, "Append", "k", "C", big + 2, 0), (5, "Put", "j", "Z", big + 2, 0),
+        (6, "Get", "k", None, 3, 0), (7, "Append", "n", "1", None, 5), (8, "Append", "n", "1", None, 5), (9, "Append", "n", None, 4, None), (10, "Put", None, "x", 5, big),
+        (11, "Put", "m", "late", 5, big - 1), (12, "Append", "k", "D", big + 1, big),
+    ]
+    got = streamed(spark, tmp_path, (ops[:4], ops[4:7], ops[7:]))
+    assert got == {"k": "ABCD", "n": "11"}
+    assert got == dict(kvlog.state(spark.createDataFrame(ops, LOG)).collect())
 
 
 def test_index_files(spark, tmp_path):
