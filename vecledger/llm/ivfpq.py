@@ -1,12 +1,14 @@
-"""Similar vectors by an inverted file with product-quantized residuals.
-
-Fitting (on a bounded sample of each collection): spherical k-means centroids, and per
-subspace a codebook of residuals. Indexing covers every row: a row's code goes to the
-list of its nearest centroid and to lists that a row within the wanted cosine could
-have as home, with the vector in 8 bits an element. Within a list the asymmetric distance
-tables of its home rows estimate all cosines, the 8-bit vectors rerank what may reach the
-wanted cosine, and what still may is compared exactly in DOUBLE on the live versions. Only
-codes, 8-bit vectors and the few candidates' vectors are shuffled, never all vectors.
+"""Most similar vectors of every vector by an inverted file with product-quantized residuals.
+
+Fitting, on a bounded sample of each collection: spherical k-means centroids of lists, lists
+grouped into regions, and per subspace a codebook of residuals. Indexing covers every live
+row: it goes to the region of its nearest centroid, and as a visitor to other regions with
+lists that its neighbours may have as home. A region's rows are shared out to blocks of
+queries; each block sees all rows of the region, one list after the other. Of each list it
+probes with those queries whose neighbours may lie there: asymmetric distance tables of
+the query and the codes estimate the cosines, rows that may be among the k nearest so far
+are reranked by 16-bit vectors, and a bounded number of the best stays with each query.
+What leaves the regions is at most KEPT rows a query, compared in DOUBLE on the stored values.
 
 Estimate: q.x = q.x' + q.e for x = x' + e. x.e and |e| are kept with the code, and for
 q within distance D of x, q.e = x.e + (q-x).e, where (q-x).e is about D|e|/sqrt(dim).
@@ -15,7 +17,7 @@ q within distance D of x, q.e = x.e + (q-x).e, where (q-x).e is about D|e|/sqrt(
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,13 +28,15 @@ from pyspark.sql import functions as F
 
 from vecledger.functions.distance import dot_product, norm
 from vecledger.llm.topn import top_n
-from vecledger.operators.liverows import live_keys, live_vectors
+from vecledger.operators.liverows import live_keys
 from vecledger.sources.tables import written
 
-LIST_ROWS, MOST_LISTS, SAMPLE_PER_LIST = 256, 4096, 32
-SUBSPACES, CODES, TRAIN_CODES_ROWS = 8, 256, 8192
-VISIT, SLACK, ROUNDING = 1.6, 2.5, 0.004
-BLOCK_ROWS = 8192
+EXACT_ROWS, MOST_LISTS, SAMPLE_PER_LIST, ALL_SAMPLES = 4096, 4096, 32, 1 << 18
+CODES, TRAIN_CODES_ROWS, ELEMENTS = 16, 8192, 2
+VISIT, SLACK, ROUNDING, NEAREST, FARTHEST = 1.35, 1.5, 1e-4, 0.5, 1.2
+QUERY_ELEMENTS, REGION_ROWS, LIST_AT_ONCE, QUERIES_AT_ONCE = 1 << 22, 1 << 18, 2048, 256
+TIGHT = 0.7
+SPARE, KEPT = 3, 64
 FILTER_BITS = 1 << 26
 
 
@@ -61,158 +65,317 @@ def kmeans(x: np.ndarray, k: int, rounds: int, spherical: bool, rng: np.random.G
 
 
 def spans(dim: int) -> list[tuple[int, int]]:
-    edges = np.linspace(0, dim, min(SUBSPACES, dim) + 1).astype(int)
+    """Subspaces of ELEMENTS elements each."""
+    edges = np.linspace(0, dim, -(-dim // ELEMENTS) + 1).astype(int)
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
 def fit(values: np.ndarray, rows: int) -> dict:
-    """Centroids and codebooks of one collection of `rows` rows from a sample of it."""
+    """Centroids, regions and codebooks of one collection of `rows` rows from a sample of it."""
     rng = np.random.default_rng(7)
     x = unit_rows(values)
-    lists = int(np.clip(round(rows / LIST_ROWS), 1, MOST_LISTS))
-    c = kmeans(x, lists, 6, True, rng)
+    # lists grow with the root of the rows; few rows are one list, without codes
+    c = kmeans(x, int(np.clip(round(rows**0.5 / 2), 1, MOST_LISTS)) if rows > EXACT_ROWS else 1, 6, True, rng)
     home = (x @ c.T).argmax(1)
     part = rng.permutation(len(x))[:TRAIN_CODES_ROWS]
     res = (x - c[home])[part]
-    books = [kmeans(np.ascontiguousarray(res[:, a:b]), min(CODES, max(1, len(res) // 4)), 5, False, rng) for a, b in spans(x.shape[1])]
+    books = [] if len(c) == 1 else [kmeans(np.ascontiguousarray(res[:, a:b]), min(CODES, max(1, len(res) // 4)), 5, False, rng) for a, b in spans(x.shape[1])]
     share = np.bincount(home, minlength=len(c)) / len(x) * rows
-    return {"c": c, "books": books, "blocks": np.maximum(1, np.ceil(share / BLOCK_ROWS)).astype(int)}
+    many = -(-rows // REGION_ROWS)
+    region = (c @ kmeans(c, many, 4, True, rng).T).argmax(1) if many > 1 else np.zeros(len(c), int)
+    blocks = np.maximum(1, np.ceil(np.bincount(region, weights=share, minlength=region.max() + 1) * x.shape[1] / QUERY_ELEMENTS)).astype(int)
+    return {"c": c, "books": books, "region": region, "blocks": blocks, "far": np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)).astype(np.float32)}
 
 
-def fit_all(rows: DataFrame) -> dict[str, dict]:
-    """Models of all collections of rows (collection_name, h, vector_values).
+def fit_all(rows: DataFrame, counts: dict[int, int]) -> dict[int, dict]:
+    """Models of all collections {c: live rows} of rows (c, k, vector_values).
 
-    The sample has at most SAMPLE_PER_LIST * MOST_LISTS rows a collection, expected; the
-    models together have at most MOST_LISTS centroids a collection, whatever the rows.
+    The sample has SAMPLE_PER_LIST rows a list, expected, and ALL_SAMPLES in all at most
+    (but 64 a collection); a model has at most MOST_LISTS centroids.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy("collection_name").count().collect()}
-    if not counts:
+    want = {c: min(n, SAMPLE_PER_LIST * float(np.clip(round(n**0.5 / 2), 32, MOST_LISTS))) for c, n in counts.items()}
+    share = min(1.0, ALL_SAMPLES / max(1.0, sum(want.values())))
+    rates = {c: min(1.0, max(w * share, 64.0) / counts[c]) for c, w in want.items()}
+    if not rates:
         return {}
-    rate = F.create_map(*[F.lit(v) for name, n in counts.items() for v in (name, min(1.0, SAMPLE_PER_LIST * float(np.clip(round(n / LIST_ROWS), 8, MOST_LISTS)) / n))])
-    draw = F.pmod(F.xxhash64("h", F.lit(11)), F.lit(1 << 20)) < rate[F.col("collection_name")] * (1 << 20)
+    sent = rows.sparkSession.sparkContext.broadcast((rates, counts))
+
+    @F.pandas_udf("boolean")
+    def drawn(c: pd.Series, k: pd.Series) -> pd.Series:
+        mixed = (k.to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+        return pd.Series(mixed < c.map(sent.value[0]).fillna(0.0).to_numpy() * (1 << 20))
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf["collection_name"].iloc[0]
-        model = fit(np.stack(pdf["vector_values"].to_numpy()), counts[name])
-        return pd.DataFrame({"name": [name], "model": [pickle.dumps(model)]})
+        c = int(pdf["c"].iloc[0])
+        model = fit(np.stack(pdf.sort_values("k")["vector_values"].to_numpy()), sent.value[1][c])
+        return pd.DataFrame({"c": [c], "model": [pickle.dumps(model)]})
 
-    fitted = rows.where(draw).groupBy("collection_name").applyInPandas(train, "name string, model binary").collect()
+    fitted = rows.where(drawn("c", "k")).groupBy("c").applyInPandas(train, "c bigint, model binary").collect()
     return {r[0]: pickle.loads(r[1]) for r in fitted}
 
 
-def encode(model: dict, x: np.ndarray, min_cosine: float) -> tuple:
-    """Home list, codes, x.e, |e| of unit rows, and the (row, list) visits of their codes."""
-    c = model["c"]
-    if "far" not in model:  # once per process
-        model["far"] = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
-    sims = x @ c.T
+def reached(model: dict, x: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Which lists (columns) a row's neighbours at `distance` may have as home."""
+    sims = x @ model["c"].T
     home = sims.argmax(1)
-    res = x - c[home]
-    codes = np.empty((len(x), len(model["books"])), np.uint8)
-    e = res.copy()
-    for m, ((a, b), book) in enumerate(zip(spans(x.shape[1]), model["books"], strict=True)):
-        codes[:, m] = (res[:, a:b] @ book.T - 0.5 * (book * book).sum(1)).argmax(1)
-        e[:, a:b] -= book[codes[:, m]]
-    reach = VISIT * np.sqrt(2 - 2 * min_cosine) / np.sqrt(x.shape[1])
     gap = sims[np.arange(len(x)), home][:, None] - sims
-    near = gap <= reach * model["far"][home]
-    near[np.arange(len(x)), home] = True
-    return home, codes, (x * e).sum(1), np.linalg.norm(e, axis=1), np.nonzero(near)
+    return gap <= (VISIT * np.maximum(distance, NEAREST) / np.sqrt(x.shape[1]))[:, None] * model["far"][home]
+
+
+class Block:
+    """The k nearest of a block's queries among the rows of a region, shown list by list."""
+
+    def __init__(self, model: dict, region: int, k: int, h: np.ndarray, x: np.ndarray, home: np.ndarray):
+        self.model, self.k = model, k
+        order = np.argsort(home, kind="stable")
+        self.h, self.x, self.home = h[order], x[order], home[order]
+        self.lists = np.flatnonzero(model["region"] == region)
+        n, dim = x.shape
+        self.worst = np.full(n, -1.0, np.float32)  # the k-th best cosine so far
+        edges = np.flatnonzero(np.diff(self.home)) + 1
+        # a first bound from the queries of the same home
+        for mine in np.split(np.arange(n), edges):
+            if len(mine) > k:
+                some = mine[:: max(1, len(mine) // 1024)]
+                for s in range(0, len(mine), 1024):
+                    part = mine[s : s + 1024]
+                    sims = self.x[part] @ self.x[some].T
+                    sims[part[:, None] == some] = -1
+                    if len(some) > k:
+                        self.worst[part] = np.partition(sims, -k, axis=1)[:, -k] - ROUNDING
+        probe: dict[int, list[np.ndarray]] = {}
+        for s in range(0, n, 4096):
+            distance = np.sqrt(np.maximum(0, 2 - 2 * self.worst[s : s + 4096]))
+            at, row = np.nonzero(reached(model, self.x[s : s + 4096], np.minimum(distance, FARTHEST))[:, self.lists].T)
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at)) + 1):
+                if len(part):
+                    probe.setdefault(int(self.lists[at[part[0]]]), []).append(row[part] + s)
+        self.probe = {at: np.concatenate(rows) for at, rows in probe.items()}
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+        self.tables()
+
+    def tables(self) -> None:
+        """Asymmetric distance tables of the queries that have close neighbours, in 16 bits of
+        one scale: (codes of all subspaces, queries)."""
+        self.place = np.full(len(self.x), -1)
+        books = self.model["books"]
+        if not books:
+            return
+        tight = np.flatnonzero(self.worst >= TIGHT)
+        self.place[tight] = np.arange(len(tight))
+        self.high = [float(np.linalg.norm(book, axis=1).max()) + 1e-6 for book in books]
+        self.scale = 60000 / (2 * sum(self.high) + 2.0)
+        self.table = np.empty((len(books), max(len(b) for b in books), len(tight)), np.uint16)
+        for s in range(0, len(tight), 4096):
+            q = self.x[tight[s : s + 4096]]
+            for m, ((a, b), book, high) in enumerate(zip(spans(q.shape[1]), books, self.high, strict=True)):
+                self.table[m, : len(book), s : s + 4096] = (book @ q[:, a:b].T + high) * self.scale + 0.5
+
+    def show(self, at: int, h: np.ndarray, x: np.ndarray) -> None:
+        """Rows of list `at`, at most LIST_AT_ONCE."""
+        mine = self.probe.get(at)
+        if mine is None or not len(h):
+            return
+        tight = self.place[mine] >= 0
+        if tight.any():
+            self.look_up(self.model["c"][at], mine[tight], h, x)
+        # neighbours of the others are far: the error of the codes would let too many rows pass
+        far = mine[~tight]
+        for s in range(0, len(far), QUERIES_AT_ONCE):
+            part = far[s : s + QUERIES_AT_ONCE]
+            sims = x @ self.x[part].T
+            hits = np.flatnonzero((sims >= self.worst[part]).ravel())
+            r, i = np.divmod(hits, len(part))
+            self.keep(part[i], h[r], sims.ravel()[hits])
+        if self.waiting > 8 * len(self.x):
+            self.compact()
+
+    def look_up(self, c: np.ndarray, mine: np.ndarray, h: np.ndarray, x: np.ndarray) -> None:
+        res = x - c
+        codes, e = [], res.copy()
+        for (a, b), book in zip(spans(x.shape[1]), self.model["books"], strict=True):
+            code = (res[:, a:b] @ book.T - 0.5 * (book * book).sum(1)).argmax(1)
+            codes.append(code)
+            e[:, a:b] -= book[code]
+        xe, spread = (x * e).sum(1), (SLACK / np.sqrt(x.shape[1])) * np.linalg.norm(e, axis=1)
+        for s in range(0, len(mine), QUERIES_AT_ONCE):
+            part = mine[s : s + QUERIES_AT_ONCE]
+            q, worst = self.x[part], self.worst[part]
+            own = np.clip(xe + spread * np.sqrt(max(0.0, 2 - 2 * float(worst.min()))), -1, 1)
+            estimate = np.repeat(((own + 1) * self.scale).astype(np.uint16)[:, None], len(part), axis=1)
+            buffer = np.empty_like(estimate)
+            table = self.table[:, :, self.place[part]]
+            for t, code in zip(table, codes, strict=True):
+                np.take(t, code, axis=0, out=buffer, mode="clip")
+                estimate += buffer
+            least = (worst - q @ c + sum(self.high) + 1) * self.scale - 4  # what rounding may lose
+            hits = np.flatnonzero((estimate >= np.clip(least, 0, 65535).astype(np.uint16)).ravel())
+            for u in range(0, len(hits), 1 << 16):  # rerank
+                r, i = np.divmod(hits[u : u + (1 << 16)], len(part))
+                self.keep(part[i], h[r], np.einsum("ij,ij->i", x[r], q[i]))
+
+    def keep(self, row: np.ndarray, h: np.ndarray, cosine: np.ndarray) -> None:
+        some = (cosine >= self.worst[row]) & (h != self.h[row])
+        if some.any():
+            self.found.append((row[some], h[some], cosine[some]))
+            self.waiting += int(some.sum())
+
+    def compact(self) -> None:
+        """Of each query the k best and those within ROUNDING of them, KEPT at most."""
+        if not self.found:
+            return
+        row, h, cosine = (np.concatenate(parts) for parts in zip(*self.found, strict=True))
+        order = np.lexsort((h, -cosine, row))
+        row, h, cosine = row[order], h[order], cosine[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])  # a row repeated in the table
+        row, h, cosine = row[new], h[new], cosine[new]
+        start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        size = np.diff(np.append(start, len(row)))
+        rank = np.arange(len(row)) - np.repeat(start, size)
+        full = size >= self.k
+        last = np.full(len(start), -1.0, np.float32)
+        last[full] = cosine[start[full] + self.k - 1] - 2 * ROUNDING
+        self.worst[row[start]] = np.maximum(self.worst[row[start]], last)
+        keep = (rank < self.k + SPARE) | ((cosine >= np.repeat(last, size)) & (rank < KEPT))
+        self.found = [(row[keep], h[keep], cosine[keep])]
+        self.waiting = 0  # of new ones
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.compact()
+        if not self.found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        row, h, cosine = self.found[0]
+        return self.h[row], h, cosine
+
+
+SHIPPED = pa.schema([("c", pa.int64()), ("region", pa.int32()), ("block", pa.int32()), ("role", pa.int32()), ("list", pa.int32()), ("h", pa.int64()), ("body", pa.binary())])
+SHIPPED_DDL = "c bigint, region int, block int, role int, list int, h bigint, body binary"
+FOUND = pa.schema([("c", pa.int64()), ("me", pa.int64()), ("other", pa.int64()), ("near", pa.float32())])
+BOTH, QUERY, ROW = 0, 1, 2  # roles of a row in a block
+
+
+def sixteen(x: np.ndarray) -> np.ndarray:
+    """int16 rows in the direction of unit rows."""
+    scale = np.abs(x).max(1, keepdims=True) / 32767
+    scale[scale == 0] = 1
+    return np.round(x / scale).astype(np.int16)
 
 
-def _packed(collection: str, model: dict, h: np.ndarray, x: np.ndarray, min_cosine: float) -> Iterator[tuple]:
-    """(collection, list, block, packed rows): see PACKED for the rows."""
-    home, codes, xe, en, (row, at) = encode(model, x, min_cosine)
-    scale = np.abs(x).max(1) / 127
-    scale[scale == 0] = 1
-    small = np.round(x / scale[:, None]).astype(np.int8)
-    order = np.argsort(at, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
-        r = row[part]
-        rows = np.empty(len(r), packed_type(x.shape[1], codes.shape[1]))
-        for name, column in (("h", h), ("small", small), ("scale", scale), ("codes", codes), ("xe", xe), ("en", en), ("home", home)):
-            rows[name] = column[r]
-        for b in range(model["blocks"][at[part[0]]]):
-            yield collection, int(at[part[0]]), b, rows.tobytes()
-
-
-def packed_type(dim: int, subspaces: int) -> np.dtype:
-    return np.dtype([("h", "<i8"), ("small", "i1", (dim,)), ("scale", "<f4"), ("codes", "u1", (subspaces,)), ("xe", "<f4"), ("en", "<f4"), ("home", "<i4")])
-
-
-def search(model: dict, mine: np.ndarray, rows: np.ndarray, min_cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of hashes (of `mine`, of `rows`) whose cosine may reach min_cosine."""
-    dim = rows["small"].shape[1]
-    reach = np.sqrt(2 - 2 * min_cosine) / np.sqrt(dim)
-    need = (min_cosine - ROUNDING - rows["xe"] - SLACK * reach * rows["en"]).astype(np.float32)
-    homes, home_at = np.unique(rows["home"], return_inverse=True)
-    columns = [rows["codes"][:, m].astype(np.intp) for m in range(rows["codes"].shape[1])]
-    query = mine["small"] * mine["scale"][:, None]
-    found = []
-    for s in range(0, len(mine), 256):
-        q = query[s : s + 256]
-        base = model["c"][homes] @ q.T
-        # the asymmetric distance tables, codes by queries
-        tables = [book @ q[:, a:b].T for (a, b), book in zip(spans(dim), model["books"], strict=True)]
-        for t in range(0, len(rows), 1024):
-            part = slice(t, t + 1024)
-            estimate = base[home_at[part]]
-            for table, column in zip(tables, columns, strict=True):
-                estimate += table[column[part]]
-            k, r = np.nonzero(estimate >= need[part, None])
-            for u in range(0, len(k), 1 << 16):  # rerank
-                kk, rr = k[u : u + (1 << 16)] + t, r[u : u + (1 << 16)]
-                near = np.einsum("ij,ij->i", q[rr], rows["small"][kk].astype(np.float32)) * rows["scale"][kk] >= min_cosine - ROUNDING
-                a, b = mine["h"][s + rr[near]], rows["h"][kk[near]]
-                found.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)])[a != b])
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    both = np.unique(np.concatenate(found), axis=0)
-    return both[:, 0], both[:, 1]
-
-
-def candidates(rows: DataFrame, min_cosine: float) -> DataFrame:
-    """(collection_name, ha, hb) with ha < hb: pairs that may reach min_cosine.
-
-    rows: (collection_name, h BIGINT, vector_values), several rows may share h.
+def candidates(rows: DataFrame, counts: dict[int, int], k: int, wanted: np.ndarray | None, asks: Callable[[np.ndarray], np.ndarray] | None = None, at_least: float = -1.0) -> DataFrame:
+    """(c, me, other, near): of every row at most KEPT others a region, which the index holds for the k nearest.
+
+    rows: (c, k BIGINT, vector_values) of which those in the bit table `wanted` count.
+    asks: which keys are queries, all if None. at_least only drops pairs from the result.
     """
     spark = rows.sparkSession
-    models = fit_all(rows)
-    shared = spark.sparkContext.broadcast(models)
-    dims = {name: m["c"].shape[1] for name, m in models.items()}
+    taken = rows if wanted is None else rows.where(bit_test(spark.sparkContext.broadcast(wanted))(F.col("k")))
+    shared = spark.sparkContext.broadcast(fit_all(taken, counts))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(0).to_numpy(zero_copy_only=False)
-            h = batch.column(1).to_numpy()
-            lists = batch.column(2)
+            c, h, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.diff(lists.offsets.to_numpy())
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            out = []
-            for name in set(names):
+            starts = lists.offsets.to_numpy() - lists.offsets.to_numpy()[0]
+            size = np.diff(starts)
+            for name in np.unique(c).tolist():
                 model = shared.value.get(name)
                 if model is None:
                     continue
-                at = np.flatnonzero(names == name)
-                x = unit_rows(flat[starts[at][:, None] + np.arange(dims[name])])
-                out += _packed(name, model, h[at], x, min_cosine)
-            if out:
-                yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True)), schema=schema)
+                dim = model["c"].shape[1]
+                mine = np.flatnonzero((c == name) & (size == dim))
+                for s in range(0, len(mine), 2048):
+                    part = mine[s : s + 2048]
+                    yield from given(model, name, h[part], unit_rows(flat[starts[part][:, None] + np.arange(dim)]))
+
+    def given(model: dict, c: int, h: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        home = (x @ model["c"].T).argmax(1)
+        body = sixteen(x)
+        region, blocks = model["region"][home], model["blocks"]
+        asked = np.ones(len(h), bool) if asks is None else asks(h)
+        mark = h.view(np.uint64) // np.uint64(64)
+        # every row to all blocks of its region; one of them owns it as a query
+        n = blocks[region]
+        each = np.repeat(np.arange(len(h)), n)
+        block = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+        own = asked[each] & (mark[each] % n[each].astype(np.uint64) == block.astype(np.uint64))
+        yield packed(c, region[each], block, np.where(own, BOTH, ROW), home[each], h[each], body[each])
+        if len(blocks) > 1:  # visits of other regions, by a guess of the distance of neighbours
+            some = np.flatnonzero(asked)
+            guess = 1.2 * np.linalg.norm(x[some] - model["c"][home[some]], axis=1)
+            row, at = np.nonzero(reached(model, x[some], guess))
+            visits = np.unique(np.column_stack([some[row], model["region"][at]]), axis=0)
+            r, to = visits[visits[:, 1] != region[visits[:, 0]]].T
+            yield packed(c, to, (mark[r] % blocks[to].astype(np.uint64)).astype(int), np.full(len(r), QUERY), home[r], h[r], body[r])
+
+    def packed(c: int, region: np.ndarray, block: np.ndarray, role: np.ndarray, at: np.ndarray, h: np.ndarray, body: np.ndarray) -> pa.RecordBatch:
+        n, width = len(h), body.shape[1] * 2
+        offsets = pa.py_buffer((np.arange(n + 1, dtype=np.int32) * width).tobytes())
+        raw = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(body.tobytes())])
+        small = [pa.array(v.astype(np.int32)) for v in (region, block, role, at)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, c)), *small, pa.array(h), raw], schema=SHIPPED)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block, waiting = None, None, []
+
+        def built() -> Block | None:
+            if not waiting:
+                return None
+            h, x, home, both = (np.concatenate(parts) for parts in zip(*waiting, strict=True))
+            h, first = np.unique(h, return_index=True)
+            made = Block(shared.value[held[0]], held[1], k, h, x[first], home[first])
+            mine = first[both[first]]
+            mine = mine[np.argsort(home[mine], kind="stable")]
+            ids = dict(zip(first.tolist(), h.tolist(), strict=True))
+            mine_h = np.array([ids[i] for i in mine.tolist()], np.int64)
+            for part in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(home[mine])) + 1):
+                for s in range(0, len(part), LIST_AT_ONCE):
+                    some = part[s : s + LIST_AT_ONCE]
+                    made.show(int(home[mine[some[0]]]), mine_h[some], x[mine[some]])
+            return made
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            nonlocal block
+            if block is None:
+                block = built()
+            if block is None:
+                return
+            me, other, near = block.result()
+            some = near >= at_least - ROUNDING
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), held[0])), pa.array(me[some]), pa.array(other[some]), pa.array(near[some])], schema=FOUND)
 
-    schema = pa.schema([("collection_name", pa.string()), ("list", pa.int32()), ("block", pa.int32()), ("rows", pa.binary())])
-
-    def look(pdf: pd.DataFrame) -> pd.DataFrame:
-        name, at, block = pdf["collection_name"].iloc[0], pdf["list"].iloc[0], pdf["block"].iloc[0]
-        model = shared.value[name]
-        listed = np.frombuffer(b"".join(pdf["rows"]), packed_type(model["c"].shape[1], len(model["books"])))
-        own = (listed["home"] == at) & (listed["h"].view(np.uint64) % np.uint64(model["blocks"][at]) == np.uint64(block))
-        ha, hb = search(model, listed[own], listed, min_cosine)
-        return pd.DataFrame({"collection_name": name, "ha": ha, "hb": hb})
+        for batch in batches:
+            c, region, number, role, at, h = (batch.column(i).to_numpy() for i in range(6))
+            offsets = np.frombuffer(batch.column(6).buffers()[1], np.int32)[batch.column(6).offset :]
+            raw = batch.column(6).buffers()[2]
+            change = (c[1:] != c[:-1]) | (region[1:] != region[:-1]) | (number[1:] != number[:-1]) | (role[1:] != role[:-1]) | ((role[1:] == ROW) & (at[1:] != at[:-1]))
+            edges = np.flatnonzero(change) + 1
+            for a, b in zip([0, *edges], [*edges, len(h)], strict=True):
+                if a == b:
+                    continue
+                key = (int(c[a]), int(region[a]), int(number[a]))
+                if key != held:
+                    if held is not None:
+                        yield from closed()
+                    held, block, waiting = key, None, []
+                x = unit_rows(np.frombuffer(raw, np.int16, (offsets[b] - offsets[a]) // 2, offsets[a]).reshape(b - a, -1))
+                if role[a] != ROW:
+                    waiting.append((h[a:b], x, at[a:b], np.full(b - a, role[a] == BOTH)))
+                    continue
+                if waiting:
+                    block, waiting = built(), []
+                if block is not None:
+                    for s in range(0, b - a, LIST_AT_ONCE):
+                        block.show(int(at[a]), h[a:b][s : s + LIST_AT_ONCE], x[s : s + LIST_AT_ONCE])
+        if held is not None:
+            yield from closed()
 
-    packed = rows.select("collection_name", "h", "vector_values").mapInArrow(index, "collection_name string, list int, block int, rows binary")
-    pairs = packed.groupBy("collection_name", "list", "block").applyInPandas(look, "collection_name string, ha bigint, hb bigint")
-    return written(pairs)
+    places = ["c", "region", "block"]
+    sent = rows if wanted is None else taken
+    parts = sent.select("c", "k", "vector_values").mapInArrow(index, SHIPPED_DDL)
+    return parts.repartition(*places).sortWithinPartitions(*places, "role", "list").mapInArrow(search, "c bigint, me bigint, other bigint, near float")
 
 
 def bit_table(hashes: DataFrame) -> np.ndarray:
@@ -246,71 +409,71 @@ def bit_test(used: Broadcast):
     return maybe
 
 
-def only_named(writes: DataFrame, h: Column, pairs: DataFrame) -> DataFrame:
-    """The rows of `writes` whose hash may occur in pairs (ha, hb), by a bit filter."""
-    return writes.where(bit_filter(pairs.select(F.explode(F.array("ha", "hb"))))(h))
-
+def nearest(writes: DataFrame, collections: DataFrame, k: int, at_least: float = -1.0, asks: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(collection_name, me, other, cosine, rank): the k most similar other live vectors of
+    its collection of every live vector, by cosine in DOUBLE rounded to six decimals, ties to
+    the smaller id.
 
-def similar_pairs(writes: DataFrame, collections: DataFrame, min_cosine: float, rows_where: Column | None = None) -> DataFrame:
-    """(id_a, id_b, cosine), id_a < id_b: pairs of live vectors of one collection with at
-    least this cosine, computed in DOUBLE; recall is that of the index, precision 1.
-
-    rows_where: which rows to index, all usable ones if None.
-    """
-    dims = collections.groupBy("collection_name").agg(F.max("dimension").alias("dimension"))
-    h = F.xxhash64("vector_id")
-    rows = writes.where((F.col("deleted") == F.lit(False)) & F.col("vector_id").isNotNull()).join(dims, "collection_name")
-    # rows with NaN or zeros only get no direction here and are no live vectors later
-    rows = rows.where(F.size("vector_values") == F.col("dimension"))
-    if rows_where is not None:
-        rows = rows.where(rows_where)
-    pairs = candidates(rows.select("collection_name", h.alias("h"), "vector_values"), min_cosine)
-    live = live_vectors(only_named(writes.where("vector_id is not null"), h, pairs), collections)
-    live = written(live.select("collection_name", h.alias("h"), "vector_id", "vector_values", norm(F.col("vector_values")).alias("norm")))
-    pairs = pairs.select("ha", "hb").distinct()
-    a = live.select(F.col("h").alias("ha"), F.col("collection_name").alias("ca"), F.col("vector_id").alias("a"), F.col("vector_values").alias("va"), F.col("norm").alias("na"))
-    b = live.select(F.col("h").alias("hb"), F.col("collection_name").alias("cb"), F.col("vector_id").alias("b"), F.col("vector_values").alias("vb"), F.col("norm").alias("nb"))
-    scored = pairs.join(a, "ha").join(b, "hb").where("ca = cb and a <> b").select(
-        F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), (dot_product(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb"))).alias("cosine"))
-    return written(scored).where(F.col("cosine") >= min_cosine)
-
-
-def neighbour_pairs(writes: DataFrame, collections: DataFrame, min_cosine: float, k: int) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: pairs of which one is among the k nearest of the other.
-
-    Neighbours are the live vectors of the collection with the greatest cosine rounded to
-    six decimals, at least min_cosine, ties to the smaller id. Deleted, unusable and
-    superseded rows are neither; an empty table gives no rows.
+    The search is for k neighbours whatever their cosine; at_least drops pairs below it from
+    the result. asks: from vector_id whether a vector is a query, all are if None.
+    Deleted, unusable and superseded rows are neither; an empty table gives no rows, a
+    collection of n vectors n - 1 neighbours at most. Precision is that of DOUBLE, recall that
+    of the index: see the README. Of more than KEPT rows that differ in cosine to a query by
+    less than 2e-4 at its k-th place, KEPT are compared exactly.
 
     Exact copies: of more than k + 1 live vectors with the same values only the k + 1
     smallest ids are indexed. They include all that can be a neighbour of anything, and
     the others have the neighbours of the smallest one, and that one.
     """
-    keys = written(live_keys(writes, collections))
-    crowds = keys.groupBy("collection_name", "content").count().where(F.col("count") > k + 1).select("collection_name", "content")
-    crowds = written(crowds)
+    key, c = F.xxhash64("vector_id", "ts_ns", F.xxhash64("vector_values")), F.xxhash64("collection_name")
+    live = live_keys(writes, collections).select("vector_id", "collection_name", "content", c.alias("c"), F.xxhash64("vector_id", "ts_ns", "content").alias("k"))
+    live = written(live)
+    crowds = written(live.groupBy("collection_name", "content").count().where(F.col("count") > k + 1).select("collection_name", "content"))
     crowded = not crowds.isEmpty()
-    where = None
+    indexed = live
     if crowded:
-        members = keys.join(crowds, ["collection_name", "content"]).select("collection_name", "content", "vector_id")
-        kept = written(top_n(members, ["collection_name", "content"], [("vector_id", "ascending")], k + 1))
+        members = written(live.join(crowds, ["collection_name", "content"]))
+        kept = written(top_n(members.select("collection_name", "content", "vector_id", "k"), ["collection_name", "content"], [("vector_id", "ascending")], k + 1))
         surplus = written(members.join(kept.select("vector_id"), "vector_id", "left_anti"))
-        h = F.xxhash64("vector_id")
-        maybe = bit_filter(surplus.select(h))
-        # the filter also takes ids that are no surplus; these, found exactly, are indexed
-        taken = keys.where(maybe(h)).join(surplus.select("vector_id"), "vector_id", "left_anti")
-        where = ~maybe(h) | bit_filter(taken.select(h))(h)
-    pairs = similar_pairs(writes, collections, min_cosine, where)
-    r = F.round("cosine", 6).alias("r")
-    ways = F.explode(F.array(F.struct(F.col("id_a").alias("me"), F.col("id_b").alias("other")), F.struct(F.col("id_b").alias("me"), F.col("id_a").alias("other"))))
-    each = pairs.select(r, ways.alias("s")).select("r", "s.*")
-    rank = F.row_number().over(Window.partitionBy("me").orderBy(F.col("r").desc(), "other"))
-    ordered = lambda rows: rows.withColumn("n", rank).where(F.col("n") <= k).select("me", "other")
-    out = ordered(each)
+        indexed = written(live.join(surplus.select("vector_id"), "vector_id", "left_anti"))
+    counts = {r[0]: r[1] for r in indexed.groupBy("c").count().collect()}
+    dims = collections.groupBy("collection_name").agg(F.max("dimension").alias("dimension"))
+    versions = writes.where("vector_id is not null and deleted = false").join(dims, "collection_name").where(F.size("vector_values") == F.col("dimension"))
+    versions = versions.select(c.alias("c"), key.alias("k"), "vector_values")
+    exact = sum(counts.values()) > FILTER_BITS // 4  # the bits would let too many pass
+    rows = versions.join(indexed.select("k"), "k", "left_semi") if exact else versions
+    wanted = None if exact else bit_table(indexed.select("k"))
+    keys_asked = None
+    if asks is not None:
+        asking = indexed.where(asks(F.col("vector_id")))
+        if crowded:
+            # the smallest copy answers for the others
+            stand = kept.groupBy("collection_name", "content").agg(F.min("vector_id").alias("vector_id"))
+            asking = asking.select("k").unionByName(indexed.join(stand.select("vector_id"), "vector_id", "left_semi").select("k"))
+        sent = writes.sparkSession.sparkContext.broadcast(bit_table(asking.select("k")))
+        keys_asked = lambda h: in_table(sent.value, h)
+    pairs = written(candidates(rows, counts, k, wanted, keys_asked, at_least).select("me", "other"))
+    some = versions.where(bit_filter(pairs.select(F.explode(F.array("me", "other"))))(F.col("k"))).dropDuplicates(["k"])
+    held = written(some.join(indexed.select("k", "vector_id", "collection_name"), "k").select("k", "vector_id", "collection_name", "vector_values", norm(F.col("vector_values")).alias("norm")))
+    mine = held.select(F.col("k").alias("me"), "collection_name", F.col("vector_id").alias("a"), F.col("vector_values").alias("va"), F.col("norm").alias("na"))
+    theirs = held.select(F.col("k").alias("other"), F.col("vector_id").alias("b"), F.col("vector_values").alias("vb"), F.col("norm").alias("nb"))
+    cosine = dot_product(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb"))
+    scored = written(pairs.join(mine, "me").join(theirs, "other").select("collection_name", F.col("a").alias("me"), F.col("b").alias("other"), cosine.alias("cosine")).dropDuplicates(["me", "other"]))
+    order = [F.round("cosine", 6).desc(), F.col("other")]
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(Window.partitionBy("me").orderBy(*order))).where((F.col("rank") <= k) & (F.col("cosine") >= at_least))
+    out = ranked(scored)
     if crowded:
         first = kept.groupBy("collection_name", "content").agg(F.min("vector_id").alias("first"))
         rest = surplus.join(first, ["collection_name", "content"]).select("vector_id", "first")
-        own = first.select(F.lit(1.0).alias("r"), F.col("first").alias("me"), F.col("first").alias("other"))
-        lists = ordered(each.join(first.select(F.col("first").alias("me")), "me", "left_semi").select("r", "me", "other").unionByName(own))
-        out = out.unionByName(rest.join(lists, rest["first"] == lists["me"]).select(F.col("vector_id").alias("me"), "other"))
+        own = first.select("collection_name", F.col("first").alias("me"), F.col("first").alias("other"), F.lit(1.0).alias("cosine"))
+        lists = ranked(scored.join(first.select(F.col("first").alias("me")), "me", "left_semi").select("collection_name", "me", "other", "cosine").unionByName(own))
+        copies = rest if asks is None else rest.where(asks(F.col("vector_id")))
+        out = out.unionByName(copies.join(lists, copies["first"] == lists["me"]).select("collection_name", F.col("vector_id").alias("me"), "other", "cosine", "rank"))
+    return out if asks is None else out.where(asks(F.col("me")))
+
+
+def neighbour_pairs(writes: DataFrame, collections: DataFrame, min_cosine: float, k: int) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: pairs of at least min_cosine of which one is among the k
+    nearest of the other, see nearest."""
+    out = nearest(writes, collections, k, min_cosine)
     return out.select(F.least("me", "other").alias("id_a"), F.greatest("me", "other").alias("id_b")).distinct()
