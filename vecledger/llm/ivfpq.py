@@ -33,7 +33,7 @@ from vecledger.sources.tables import written
 
 EXACT_ROWS, MOST_LISTS, SAMPLE_PER_LIST, ALL_SAMPLES = 4096, 4096, 32, 1 << 18
 CODES, TRAIN_CODES_ROWS, ELEMENTS = 16, 8192, 2
-VISIT, SLACK, ROUNDING, NEAREST, FARTHEST = 1.35, 1.5, 1e-4, 0.5, 1.2
+VISIT, SLACK, ROUNDING, NEAREST, FARTHEST = 1.3, 1.5, 1e-4, 0.5, 1.2
 QUERY_ELEMENTS, REGION_ROWS, LIST_AT_ONCE, QUERIES_AT_ONCE = 1 << 22, 1 << 18, 2048, 256
 TIGHT = 0.7
 SPARE, KEPT = 3, 64
@@ -64,22 +64,22 @@ def kmeans(x: np.ndarray, k: int, rounds: int, spherical: bool, rng: np.random.G
     return c
 
 
-def spans(dim: int) -> list[tuple[int, int]]:
-    """Subspaces of ELEMENTS elements each."""
-    edges = np.linspace(0, dim, -(-dim // ELEMENTS) + 1).astype(int)
-    return list(zip(edges[:-1], edges[1:], strict=True))
+def split(x: np.ndarray) -> np.ndarray:
+    """Rows by subspace: (subspaces, rows, ELEMENTS), the last one filled up with zeros."""
+    x = np.pad(x, ((0, 0), (0, -x.shape[1] % ELEMENTS)))
+    return np.ascontiguousarray(x.reshape(len(x), -1, ELEMENTS).transpose(1, 0, 2))
 
 
 def fit(values: np.ndarray, rows: int) -> dict:
     """Centroids, regions and codebooks of one collection of `rows` rows from a sample of it."""
     rng = np.random.default_rng(7)
     x = unit_rows(values)
-    # lists grow with the root of the rows; few rows are one list, without codes
-    c = kmeans(x, int(np.clip(round(rows**0.5 / 2), 1, MOST_LISTS)) if rows > EXACT_ROWS else 1, 6, True, rng)
+    # lists grow with the root of the rows
+    c = kmeans(x, int(np.clip(round(rows**0.5 / 2), 1, MOST_LISTS)), 6, True, rng)
     home = (x @ c.T).argmax(1)
     part = rng.permutation(len(x))[:TRAIN_CODES_ROWS]
     res = (x - c[home])[part]
-    books = [] if len(c) == 1 else [kmeans(np.ascontiguousarray(res[:, a:b]), min(CODES, max(1, len(res) // 4)), 5, False, rng) for a, b in spans(x.shape[1])]
+    books = np.stack([kmeans(r, min(CODES, len(res)), 5, False, rng) for r in split(res)])
     share = np.bincount(home, minlength=len(c)) / len(x) * rows
     many = -(-rows // REGION_ROWS)
     region = (c @ kmeans(c, many, 4, True, rng).T).argmax(1) if many > 1 else np.zeros(len(c), int)
@@ -88,32 +88,35 @@ def fit(values: np.ndarray, rows: int) -> dict:
 
 
 def fit_all(rows: DataFrame, counts: dict[int, int]) -> dict[int, dict]:
-    """Models of all collections {c: live rows} of rows (c, k, vector_values).
+    """Models of the collections {c: live rows} of more than EXACT_ROWS of rows (c, k, vector_values).
 
     The sample has SAMPLE_PER_LIST rows a list, expected, and ALL_SAMPLES in all at most
     (but 64 a collection); a model has at most MOST_LISTS centroids.
     """
-    want = {c: min(n, SAMPLE_PER_LIST * float(np.clip(round(n**0.5 / 2), 32, MOST_LISTS))) for c, n in counts.items()}
-    share = min(1.0, ALL_SAMPLES / max(1.0, sum(want.values())))
-    rates = {c: min(1.0, max(w * share, 64.0) / counts[c]) for c, w in want.items()}
-    if not rates:
+    large = {c: n for c, n in counts.items() if n > EXACT_ROWS}
+    if not large:
         return {}
-    sent = rows.sparkSession.sparkContext.broadcast((rates, counts))
-
-    @F.pandas_udf("boolean")
-    def drawn(c: pd.Series, k: pd.Series) -> pd.Series:
-        mixed = (k.to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-        return pd.Series(mixed < c.map(sent.value[0]).fillna(0.0).to_numpy() * (1 << 20))
+    want = {c: min(n, SAMPLE_PER_LIST * float(np.clip(round(n**0.5 / 2), 32, MOST_LISTS))) for c, n in large.items()}
+    share = min(1.0, ALL_SAMPLES / sum(want.values()))
+    spark = rows.sparkSession
+    rates = spark.createDataFrame([(c, int(min(1.0, max(w * share, 64.0) / large[c]) * (1 << 20))) for c, w in want.items()], "c bigint, rate bigint")
+    sent = spark.sparkContext.broadcast(large)
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         c = int(pdf["c"].iloc[0])
-        model = fit(np.stack(pdf.sort_values("k")["vector_values"].to_numpy()), sent.value[1][c])
+        model = fit(np.stack(pdf.sort_values("k")["vector_values"].to_numpy()), sent.value[c])
         return pd.DataFrame({"c": [c], "model": [pickle.dumps(model)]})
 
-    fitted = rows.where(drawn("c", "k")).groupBy("c").applyInPandas(train, "c bigint, model binary").collect()
+    drawn = rows.join(F.broadcast(rates), "c").where(F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1 << 20)) < F.col("rate"))  # one row a large collection
+    fitted = drawn.select("c", "k", "vector_values").groupBy("c").applyInPandas(train, "c bigint, model binary").collect()
     return {r[0]: pickle.loads(r[1]) for r in fitted}
 
 
+def whole(dim: int) -> dict:
+    """The model of a small collection: one list, searched exactly."""
+    return {"c": np.zeros((1, dim), np.float32), "books": None, "region": np.zeros(1, int), "blocks": np.ones(1, int), "far": np.zeros((1, 1), np.float32)}
+
+
 def reached(model: dict, x: np.ndarray, distance: np.ndarray) -> np.ndarray:
     """Which lists (columns) a row's neighbours at `distance` may have as home."""
     sims = x @ model["c"].T
@@ -160,17 +163,16 @@ class Block:
         one scale: (codes of all subspaces, queries)."""
         self.place = np.full(len(self.x), -1)
         books = self.model["books"]
-        if not books:
+        if books is None:
             return
         tight = np.flatnonzero(self.worst >= TIGHT)
         self.place[tight] = np.arange(len(tight))
-        self.high = [float(np.linalg.norm(book, axis=1).max()) + 1e-6 for book in books]
-        self.scale = 60000 / (2 * sum(self.high) + 2.0)
-        self.table = np.empty((len(books), max(len(b) for b in books), len(tight)), np.uint16)
+        self.high = np.linalg.norm(books, axis=2).max(1) + 1e-6
+        self.scale = 60000 / (2 * float(self.high.sum()) + 2.0)
+        self.table = np.empty((*books.shape[:2], len(tight)), np.uint16)
         for s in range(0, len(tight), 4096):
-            q = self.x[tight[s : s + 4096]]
-            for m, ((a, b), book, high) in enumerate(zip(spans(q.shape[1]), books, self.high, strict=True)):
-                self.table[m, : len(book), s : s + 4096] = (book @ q[:, a:b].T + high) * self.scale + 0.5
+            q = split(self.x[tight[s : s + 4096]])
+            self.table[:, :, s : s + 4096] = (books @ q.transpose(0, 2, 1) + self.high[:, None, None]) * self.scale + 0.5
 
     def show(self, at: int, h: np.ndarray, x: np.ndarray) -> None:
         """Rows of list `at`, at most LIST_AT_ONCE."""
@@ -192,28 +194,30 @@ class Block:
             self.compact()
 
     def look_up(self, c: np.ndarray, mine: np.ndarray, h: np.ndarray, x: np.ndarray) -> None:
-        res = x - c
-        codes, e = [], res.copy()
-        for (a, b), book in zip(spans(x.shape[1]), self.model["books"], strict=True):
-            code = (res[:, a:b] @ book.T - 0.5 * (book * book).sum(1)).argmax(1)
-            codes.append(code)
-            e[:, a:b] -= book[code]
-        xe, spread = (x * e).sum(1), (SLACK / np.sqrt(x.shape[1])) * np.linalg.norm(e, axis=1)
+        books, res = self.model["books"], split(x - c)
+        codes = (res @ books.transpose(0, 2, 1) - 0.5 * (books * books).sum(2)[:, None, :]).argmax(2)
+        e = res - books[np.arange(len(books))[:, None], codes]
+        xe, spread = np.einsum("mni,mni->n", split(x), e), (SLACK / np.sqrt(x.shape[1])) * np.sqrt(np.einsum("mni,mni->n", e, e))
         for s in range(0, len(mine), QUERIES_AT_ONCE):
             part = mine[s : s + QUERIES_AT_ONCE]
             q, worst = self.x[part], self.worst[part]
             own = np.clip(xe + spread * np.sqrt(max(0.0, 2 - 2 * float(worst.min()))), -1, 1)
             estimate = np.repeat(((own + 1) * self.scale).astype(np.uint16)[:, None], len(part), axis=1)
             buffer = np.empty_like(estimate)
-            table = self.table[:, :, self.place[part]]
+            at = self.place[part]
+            # queries of one home lie side by side
+            table = self.table[:, :, at[0] : at[-1] + 1] if at[-1] - at[0] + 1 == len(at) else self.table[:, :, at]
             for t, code in zip(table, codes, strict=True):
                 np.take(t, code, axis=0, out=buffer, mode="clip")
                 estimate += buffer
-            least = (worst - q @ c + sum(self.high) + 1) * self.scale - 4  # what rounding may lose
+            least = (worst - q @ c + self.high.sum() + 1) * self.scale - 4  # what rounding may lose
             hits = np.flatnonzero((estimate >= np.clip(least, 0, 65535).astype(np.uint16)).ravel())
-            for u in range(0, len(hits), 1 << 16):  # rerank
-                r, i = np.divmod(hits[u : u + (1 << 16)], len(part))
-                self.keep(part[i], h[r], np.einsum("ij,ij->i", x[r], q[i]))
+            if not len(hits):
+                continue
+            r, i = np.divmod(hits, len(part))
+            # rerank; for many rows one product is cheaper than gathering them
+            cosine = np.einsum("ij,ij->i", x[r], q[i]) if len(hits) < estimate.size // 256 else (x @ q.T).ravel()[hits]
+            self.keep(part[i], h[r], cosine)
 
     def keep(self, row: np.ndarray, h: np.ndarray, cosine: np.ndarray) -> None:
         some = (cosine >= self.worst[row]) & (h != self.h[row])
@@ -270,8 +274,9 @@ def candidates(rows: DataFrame, counts: dict[int, int], k: int, wanted: np.ndarr
     asks: which keys are queries, all if None. at_least only drops pairs from the result.
     """
     spark = rows.sparkSession
-    taken = rows if wanted is None else rows.where(bit_test(spark.sparkContext.broadcast(wanted))(F.col("k")))
-    shared = spark.sparkContext.broadcast(fit_all(taken, counts))
+    # rows that are not live may be drawn for the sample; they are not indexed
+    shared = spark.sparkContext.broadcast(fit_all(rows, counts))
+    wanted = spark.sparkContext.broadcast(wanted)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,12 +284,12 @@ def candidates(rows: DataFrame, counts: dict[int, int], k: int, wanted: np.ndarr
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             starts = lists.offsets.to_numpy() - lists.offsets.to_numpy()[0]
             size = np.diff(starts)
-            for name in np.unique(c).tolist():
-                model = shared.value.get(name)
-                if model is None:
+            live = np.ones(len(h), bool) if wanted.value is None else in_table(wanted.value, h)
+            for name, dim in np.unique(np.column_stack([c[live], size[live]]), axis=0).tolist():
+                model = shared.value.get(name) or whole(dim)
+                if model["c"].shape[1] != dim:
                     continue
-                dim = model["c"].shape[1]
-                mine = np.flatnonzero((c == name) & (size == dim))
+                mine = np.flatnonzero(live & (c == name) & (size == dim))
                 for s in range(0, len(mine), 2048):
                     part = mine[s : s + 2048]
                     yield from given(model, name, h[part], unit_rows(flat[starts[part][:, None] + np.arange(dim)]))
@@ -324,7 +329,7 @@ def candidates(rows: DataFrame, counts: dict[int, int], k: int, wanted: np.ndarr
                 return None
             h, x, home, both = (np.concatenate(parts) for parts in zip(*waiting, strict=True))
             h, first = np.unique(h, return_index=True)
-            made = Block(shared.value[held[0]], held[1], k, h, x[first], home[first])
+            made = Block(shared.value.get(held[0]) or whole(x.shape[1]), held[1], k, h, x[first], home[first])
             mine = first[both[first]]
             mine = mine[np.argsort(home[mine], kind="stable")]
             ids = dict(zip(first.tolist(), h.tolist(), strict=True))
@@ -373,9 +378,9 @@ def candidates(rows: DataFrame, counts: dict[int, int], k: int, wanted: np.ndarr
             yield from closed()
 
     places = ["c", "region", "block"]
-    sent = rows if wanted is None else taken
-    parts = sent.select("c", "k", "vector_values").mapInArrow(index, SHIPPED_DDL)
-    return parts.repartition(*places).sortWithinPartitions(*places, "role", "list").mapInArrow(search, "c bigint, me bigint, other bigint, near float")
+    parts = rows.select("c", "k", "vector_values").mapInArrow(index, SHIPPED_DDL)
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number, so that heavy blocks are not put together
+    return parts.repartition(tasks, *places).sortWithinPartitions(*places, "role", "list").mapInArrow(search, "c bigint, me bigint, other bigint, near float")
 
 
 def bit_table(hashes: DataFrame) -> np.ndarray:
