@@ -94,7 +94,84 @@ def test_query_kinds(engine):
     assert sorted((r["group_rank"], r["hit_rank"], r["id"]) for r in groups) == [(1, 1, "v1"), (1, 2, "v5"), (2, 1, "v8")]
     full = c.query(QueryRequest(vector=[1.0, 0.0, 0.0], limit=1, with_vectors=True, with_payload=["category"])).first()
     assert full["metadata"] == '{"category":"electronics"}' and list(full["values"]) == [1, 0, 0]
-    assert len(c.query_batch([q, q])) == 2
+    batch = c.query_batch([q, QueryRequest(scroll=ScrollParams("", 2)), QueryRequest(vector=[0.0, 1.0, 0.0], limit=2, params=SearchParams(score_threshold=0.9))]).collect()
+    assert [r["id"] for r in sorted((r for r in batch if r["request"] == 0), key=lambda r: (-r["distance"], r["id"]))] == ids(c.query(q))
+    assert sorted(r["id"] for r in batch if r["request"] == 1) == ["v1", "v2"] and {r["id"] for r in batch if r["request"] == 2} == {"v2", "v6"}
+    with pytest.raises(ValueError):
+        c.query_batch([q, QueryRequest()])
+    assert c.query_batch([]).count() == 0
+
+
+def test_scroll_cursor(engine):
+    import json
+
+    seen, cursor = [], ""
+    while cursor is not None:
+        answer = json.loads(engine.respond("sample", {"scroll": {"offset": cursor, "limit": 3}}))["result"]
+        seen += [p["id"] for p in answer["points"]]
+        cursor = answer["next"]
+    assert seen == [f"v{i}" for i in range(1, 9)]
+
+
+def test_recommend_strategies(engine):
+    c = engine.collection("sample")
+    best = c.query(QueryRequest(recommend=RecommendParams(["v1", "v3"], ["v2"], "best"), limit=8)).collect()
+    assert [r["id"] for r in best][:2] == ["v5", "v7"] and {r["id"] for r in best if r["distance"] == float("-inf")} == {"v4", "v6", "v8"}
+    with pytest.raises(ValueError, match="strategy"):
+        c.query(QueryRequest(recommend=RecommendParams(["v1"], [], "worst")))
+
+
+def test_reopen_and_drop(spark, tmp_path):
+    import os
+
+    folder = str(tmp_path)
+    e = Engine.opened(spark, folder)
+    c = e.create("a/b", 2, "l2", {"price": "number", "tag": "string"}, {"title": 3})
+    row = "id string, values array<float>, metadata string, title array<float>"
+    c.insert(spark.createDataFrame([("x", [1.0, 0.0], '{"price": 5, "tag": "t"}', [1.0, 0.0, 0.0]), ("y", [0.0, 1.0], '{"price": 9, "o": {"p": 1, "q": 2}}', [0.0, 1.0, 0.0]), ("z", [5.0, 5.0], None, None)], row))
+    c.delete(["z"])
+    with pytest.raises(ValueError, match="title"):
+        c.insert(spark.createDataFrame([("w", [1.0, 0.0], None, [1.0])], row))
+    f = {"conditions": [{"field": "price", "operator": "gt", "value": 6}]}
+    for compact in (False, True):
+        e = Engine.opened(spark, folder)
+        if compact:
+            e.compact("a/b")
+            e = Engine.opened(spark, folder)
+            c = e.collection("a/b")
+            assert c.unique and "GreaterThan(m_price,6.0)" in c.query(QueryRequest.of({"vector": [1.0, 0.0], "filter": f}))._jdf.queryExecution().toString().replace(" ", "")
+        assert e.list() == [{"name": "a/b", "dimension": 2, "metric": "Euclidean", "count": 2}]
+        assert ids(e.query("a/b", {"vector": [1.0, 0.0], "filter": f})) == ["y"]
+        assert ids(e.query("a/b", {"vector": [0.0, 1.0, 0.0], "using": "title", "limit": 1})) == ["y"]
+        got = e.query("a/b", {"pointid": "y", "limit": 1, "withpayload": {"exclude": ["o.p", "price"]}}).first()
+        assert got["metadata"] == '{"o":{"q":2}}'
+        assert e.query("a/b", {"pointid": "y", "limit": 1, "withpayload": ["o.q", "none"]}).first()["metadata"] == '{"o":{"q":2}}'
+        with pytest.raises(ValueError, match="no vector"):
+            e.query("a/b", {"vector": [1.0, 1.0], "using": "nothing"})
+    c = e.collection("a/b")
+    c.insert(spark.createDataFrame([("x", [3.0, 3.0], '{"price": 7}', None)], row))
+    for e in (e, Engine.opened(spark, folder)):
+        assert not e.collection("a/b").unique and ids(e.query("a/b", {"vector": [3.0, 3.0], "filter": f})) == ["x", "y"]
+    assert len(os.listdir(folder)) == 1
+    e.drop("a/b")
+    assert os.listdir(folder) == [] and Engine.opened(spark, folder).list() == []
+
+
+def test_index_of_a_collection(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(f"{i:03d}", [rng.gauss(i % 4 * 6, 1) for _ in range(5)]) for i in range(200)], "id string, values array<float>")
+    c = Engine(spark).register("r", rows, 5, "l2", unique=True)
+    v = [6.0] * 5
+    exact = ids(c.query(QueryRequest(vector=v)))
+    c.build_index("ivf", 8)
+    assert ids(c.query(QueryRequest(vector=v, params=SearchParams(search_strategy=SearchStrategy.EXACT)))) == exact
+    for s in (SearchStrategy.DEFAULT, SearchStrategy.FAST, SearchStrategy.PRECISE):
+        request = QueryRequest(vector=v, params=SearchParams(search_strategy=s))
+        assert "cell" in c.query(request)._jdf.queryExecution().toString() and len(set(ids(c.query(request))) & set(exact)) >= 9
+    c.insert(spark.createDataFrame([("new", v)], "id string, values array<float>"))
+    assert ids(c.query(QueryRequest(vector=v)))[0] == "new"
 
 
 def test_request_rules():
@@ -103,6 +180,7 @@ def test_request_rules():
     assert (r.group_size, r.group_limit) == (1, 7)
     ef = lambda s, e=0: SearchParams(hnsw_ef=e, search_strategy=s).adjusted()
     assert [ef(s).hnsw_ef for s in SearchStrategy] == [100, 0, 40, 300, 0]
+    assert [ef(s, 7).hnsw_ef for s in SearchStrategy] == [7, 0, 7, 7, 7] and not SearchParams(exact=True).adjusted().exact
     assert ef(SearchStrategy.EXACT).exact and ef(SearchStrategy.DEFAULT, 7).hnsw_ef == 7
     assert [SearchParams.default().hnsw_ef, SearchParams.fast().hnsw_ef, SearchParams.precise().hnsw_ef] == [100, 40, 300]
     shows = lambda p: QueryRequest(with_payload=p).payload_fields()

@@ -132,8 +132,10 @@ DISTANCES = {
 }
 
 
-def distance_function(metric: DistanceMetric):
-    """The Column function of a metric; ValueError if there is none."""
+def distance_function(metric):
+    """The Column function of a metric, or a function of two Columns as it is; ValueError if there is none."""
+    if callable(metric) and not isinstance(metric, DistanceMetric):
+        return metric
     try:
         return DISTANCES[DistanceMetric(metric)]
     except (KeyError, ValueError):
@@ -173,5 +175,23 @@ def sparse_dot(a: Column, b: Column) -> Column:
     return _fold(F.transform(shared, lambda k: F.element_at(a, k).cast("double") * F.element_at(b, k).cast("double")))
 
 
+def sparse_norm(a: Column) -> Column:
+    return F.sqrt(_fold(F.transform(F.map_values(a), lambda x: x.cast("double") * x.cast("double"))))
+
+
+def sparse_distance(a: Column, b: Column, metric: DistanceMetric) -> Column:
+    """Distance of MAP<INT, FLOAT> vectors, whose missing indices are zeros."""
+    if metric == DistanceMetric.DOT_PRODUCT:
+        return sparse_dot(a, b)
+    if metric == DistanceMetric.COSINE:
+        n = sparse_norm(a) * sparse_norm(b)
+        return F.when(n == 0, 0.0).otherwise(sparse_dot(a, b) / F.nullif(n, F.lit(0.0)))
+    at = lambda m, k: F.coalesce(F.try_element_at(m, k).cast("double"), F.lit(0.0))
+    gaps = F.transform(F.array_union(F.map_keys(a), F.map_keys(b)), lambda k: at(a, k) - at(b, k))
+    if metric == DistanceMetric.EUCLIDEAN:
+        return F.sqrt(_fold(F.transform(gaps, lambda x: x * x)))
+    return _fold(F.transform(gaps, F.abs))
+
+
 def to_sparse(indices: Column, values: Column) -> Column:
     return F.map_from_arrays(indices, values)

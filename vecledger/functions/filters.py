@@ -9,7 +9,6 @@ are one domain, DOUBLE. Fields are dotted paths through nested objects.
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -58,8 +57,20 @@ def any_of(*conditions: Condition) -> MetadataFilter:
     return MetadataFilter(list(conditions), OR)
 
 
-def _path(dotted: str) -> str:
-    return "$" + "".join(f"['{p}']" for p in dotted.split("."))
+def field_at(v: Column, dotted: str) -> Column:
+    """The variant at a dotted path; null where a step is missing or no object.
+
+    Steps whose names a path cannot quote, such as empty ones, are looked up in a map.
+    """
+    steps = ""
+    for name in dotted.split("."):
+        quote = next((q for q in "'\"" if name and q not in name), None)
+        if quote:
+            steps += f"[{quote}{name}{quote}]"
+        else:
+            v = F.try_variant_get(v, "$" + steps, "map<string,variant>")
+            v, steps = F.try_element_at(v, F.lit(name)), ""
+    return F.try_variant_get(v, "$" + steps, "variant") if steps else v
 
 
 class _Value:
@@ -83,7 +94,17 @@ class _Value:
             return self.is_number & (self.number == float(value))
         if isinstance(value, str):
             return self.is_string & (self.string == value)
-        return F.to_json(self.v) == json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        if isinstance(value, (list, tuple)):
+            parts = F.try_variant_get(self.v, "$", "array<variant>")
+            same = [F.coalesce(_Value(F.get(parts, F.lit(i))).same(x), F.lit(False)) for i, x in enumerate(value)]
+            return reduce(lambda a, b: a & b, same, self.type.startswith("ARRAY") & (F.size(parts) == len(value)))
+        parts = F.try_variant_get(self.v, "$", "map<string,variant>")
+        same = [F.coalesce(_Value(F.try_element_at(parts, F.lit(k))).same(x), F.lit(False)) for k, x in value.items()]
+        return reduce(lambda a, b: a & b, same, self.type.startswith("OBJECT") & (F.size(parts) == len(value)))
+
+    def same(self, value: Any) -> Column:
+        """equals inside arrays and objects, where null equals null."""
+        return self.v.isNotNull() & F.is_variant_null(self.v) if value is None else self.equals(value)
 
     def compare(self, value: Any, mismatch: Column) -> Column:
         """-1, 0 or 1; mismatch where the types differ or have no order."""
@@ -99,7 +120,7 @@ class _Value:
 
 
 def condition_column(metadata: Column, c: Condition, on_type_mismatch: str = "equal") -> Column:
-    x = _Value(F.try_variant_get(metadata, _path(c.field), "variant"))
+    x = _Value(field_at(metadata, c.field))
     mismatch = F.lit(0 if on_type_mismatch == "equal" else None).cast("int")
     op = c.operator
     if op == "eq":
@@ -154,6 +175,6 @@ def schema_violations(metadata: Column, schema: dict[str, str]) -> Column:
     """ARRAY<STRING> of declared fields that are present with another type."""
     checks = []
     for name, expected in schema.items():
-        v = F.try_variant_get(metadata, f"$['{name}']", "variant")
+        v = field_at(metadata, name)
         checks.append(F.when(v.isNotNull() & (field_type(v) != expected), F.lit(name)))
     return F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")

@@ -16,10 +16,3 @@ def size_estimate(values: Column, metadata: Column) -> Column:
         return F.octet_length(e.key) + F.coalesce(F.when(x.is_string, F.octet_length(x.string)).when(x.type == "BOOLEAN", 1), F.lit(8))
 
     return F.lit(49) + 4 * F.size(values) + F.aggregate(entries, F.lit(0), lambda n, e: n + of(e))
-
-
-def mean_vector(values: Column) -> Column:
-    """Aggregate: mean by dimension of ARRAY<DOUBLE> values of one length."""
-    n = F.count(values)
-    total = F.array_agg(values)
-    return F.transform(F.sequence(F.lit(0), F.size(F.first(values)) - 1), lambda i: F.aggregate(total, F.lit(0.0), lambda s, v: s + F.get(v, i)) / n)

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecledger.functions.distance import DistanceMetric, distance_function, euclidean, vector_literal
 from vecledger.operators.knn import knn
-from vecledger.plans.request import SearchStrategy
+from vecledger.plans.request import SearchParams, SearchStrategy
 
-#: Probed cells by strategy; Exact scans everything.
 RANGES = 4096
-PROBES = {SearchStrategy.FAST: 2, SearchStrategy.DEFAULT: 4, SearchStrategy.BATCH: 4, SearchStrategy.PRECISE: 12}
+
+
+def probes(cells: int, ef: int) -> int:
+    """How many of `cells` a search of effort ef probes: a share of ef / (ef + 100), so that
+    recall does not fall as cells grow; the efforts 40, 100 and 300 probe 29, 50 and 75 %."""
+    return max(1, min(cells, -(-cells * ef // (ef + 100))))
 
 
 def centroids(points: DataFrame, cells: int, sample_rows: int = 20_000, rounds: int = 8) -> list[list[float]]:
@@ -37,13 +43,56 @@ def with_cell(points: DataFrame, cs: list[list[float]]) -> DataFrame:
     return points.withColumn("__near", near).withColumn("cell", F.col("__near.cell")).withColumn("error", F.col("__near.error")).drop("__near")
 
 
-def ivf_knn(indexed: DataFrame, cs: list[list[float]], query: list[float], metric: DistanceMetric, k: int, strategy: SearchStrategy = SearchStrategy.DEFAULT) -> DataFrame:
+def probed(cs: list[list[float]], query: list[float], metric: DistanceMetric, n: int) -> list[int]:
+    """The n cells closest to the query, by the metric's idea of close."""
+    c, q = np.array(cs), np.array(query)
+    if metric == DistanceMetric.DOT_PRODUCT:
+        d = -(c @ q)
+    elif metric == DistanceMetric.COSINE:
+        d = -(c @ q) / np.maximum(np.linalg.norm(c, axis=1), 1e-12)
+    elif metric == DistanceMetric.MANHATTAN:
+        d = np.abs(c - q).sum(1)
+    else:
+        d = np.linalg.norm(c - q, axis=1)
+    return np.argsort(d, kind="stable")[:n].tolist()
+
+
+def ivf_knn(indexed: DataFrame, cs: list[list[float]], query: list[float], metric: DistanceMetric, k: int, strategy: SearchStrategy = SearchStrategy.DEFAULT, ef: int = 0) -> DataFrame:
     """k nearest points in the probed cells; `cell` is a partition column when stored so."""
-    if strategy == SearchStrategy.EXACT or not cs:
-        return knn(indexed, query, metric, k)
-    d = np.linalg.norm(np.array(cs) - np.array(query), axis=1)
-    probed = np.argsort(d, kind="stable")[: PROBES[strategy]].tolist()
-    return knn(indexed.where(F.col("cell").isin(probed)), query, metric, k)
+    return InvertedFile(indexed, cs).search(query, metric, k, SearchParams(hnsw_ef=ef, search_strategy=strategy).adjusted())
+
+
+class VectorIndex(Protocol):
+    """What a collection can search with: hits (id, distance, score, keep...), best first."""
+
+    def search(self, query: list[float], metric: DistanceMetric, k: int, params: SearchParams, where: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame: ...
+
+
+class InvertedFile:
+    """Points with `cell` and the cells' centroids."""
+
+    def __init__(self, indexed: DataFrame, cs: list[list[float]]):
+        self.indexed, self.centroids = indexed, cs
+
+    @staticmethod
+    def built(points: DataFrame, cells: int, path: str | None = None) -> InvertedFile:
+        """From points (id, values, ...); stored below `path`, partitioned by cell, if given."""
+        cs = centroids(points, cells)
+        if not cs:
+            return InvertedFile(points.withColumn("cell", F.lit(0)), [])
+        if path is None:
+            return InvertedFile(with_cell(points, cs), cs)
+        save_index(with_cell(points, cs), cs, path)
+        return InvertedFile(*load_index(points.sparkSession, path))
+
+    def search(self, query: list[float], metric: DistanceMetric, k: int, params: SearchParams, where: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+        """Exact over all cells if params say so, else over the cells its effort probes; a
+        batch without an effort is searched as by default."""
+        rows = self.indexed
+        if self.centroids and not params.exact:
+            at = probed(self.centroids, query, metric, probes(len(self.centroids), params.hnsw_ef or 100))
+            rows = rows.where(F.col("cell").isin(at))
+        return knn(rows, query, metric, k, where, None, keep)
 
 
 def save_index(indexed: DataFrame, cs: list[list[float]], path: str) -> None:
@@ -80,6 +129,30 @@ def ring_hash(key):
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 
+def ring_replicas(keys: DataFrame, tokens: DataFrame, replicas: int = 3) -> DataFrame:
+    """(key, nodes): the owner of each key and the next other nodes along the ring, `replicas`
+    in all or as many as there are.
+
+    The walk from each token is worked out once, over the tokens: they are nodes times virtual
+    nodes, a list that every member of a ring holds.
+    """
+    ring = [(r[0], r[1]) for r in tokens.groupBy("token").agg(F.min("node").alias("node")).orderBy("token").collect()]
+    walks = []
+    for i, (token, _) in enumerate(ring):
+        nodes: list[str] = []
+        for step in range(len(ring)):
+            node = ring[(i + step) % len(ring)][1]
+            if node not in nodes:
+                nodes.append(node)
+                if len(nodes) == replicas:
+                    break
+        walks.append((token, nodes))
+    spark = keys.sparkSession
+    walk = spark.createDataFrame(walks, "token bigint, nodes array<string>")
+    owned = ring_owner(keys, tokens.select("token", F.col("token").cast("string").alias("node")))
+    return owned.join(F.broadcast(walk), owned["node"].cast("bigint") == walk["token"]).select("key", "nodes")  # one row a token
+
+
 def ring_owner(keys: DataFrame, tokens: DataFrame) -> DataFrame:
     """(key, node): the node of the first token at or after the key's hash, wrapping.
 

@@ -16,6 +16,14 @@ from vecledger.functions.distance import DistanceMetric, distance_function, dist
 QUERIES_AT_ONCE = 4096
 
 
+def distances(points: DataFrame, query: list[float] | Column, metric: DistanceMetric, where: Column | None = None, keep: tuple[str, ...] = (), id_col: str = "id", values_col: str = "values") -> DataFrame:
+    """(id, distance, keep...) of all points with values, unordered; `where` reaches the scan."""
+    rows = points if where is None else points.where(where)
+    v = F.col(values_col)
+    d = distance_to(v, query, metric) if isinstance(query, list) else distance_function(metric)(v, query)
+    return rows.where(v.isNotNull()).select(F.col(id_col).alias("id"), d.alias("distance"), *keep)
+
+
 def knn(points: DataFrame, query: list[float] | Column, metric: DistanceMetric, k: int = 10, where: Column | None = None, threshold: float | None = None, keep: tuple[str, ...] = (), id_col: str = "id", values_col: str = "values") -> DataFrame:
     """The k points nearest to `query`, best first: id, distance, score and `keep`.
 
@@ -24,13 +32,9 @@ def knn(points: DataFrame, query: list[float] | Column, metric: DistanceMetric,
     the same as filtering before, and the distance is computed once. k <= 0 means 10.
     Equal distances are ordered by id. Points with null values are not found.
     """
-    rows = points if where is None else points.where(where)
-    rows = rows.where(F.col(values_col).isNotNull())
-    v = F.col(values_col)
-    d = distance_to(v, query, metric) if isinstance(query, list) else distance_function(metric)(v, query)
-    cols = [F.col(id_col).alias("id"), d.alias("distance"), *keep]
+    rows = distances(points, query, metric, where, keep, id_col, values_col)
     order = F.col("distance").desc() if is_higher_better(metric) else F.col("distance").asc()
-    top = rows.select(*cols).orderBy(order, "id").limit(k if k > 0 else 10)
+    top = rows.orderBy(order, "id").limit(k if k > 0 else 10)
     top = top.withColumn("score", normalized_score(F.col("distance"), metric))
     if threshold is not None and threshold > 0:
         top = top.where(F.col("score") >= threshold)

@@ -39,16 +39,16 @@ class SearchParams:
         return SearchParams(hnsw_ef=300, search_strategy=SearchStrategy.PRECISE)
 
     def adjusted(self) -> SearchParams:
-        """Parameters as the strategy sets them; exact search gives the same rows for all."""
+        """Parameters as the strategy sets them: an ef of 0 is filled in, a given one stays."""
         s = self.search_strategy
         if s == SearchStrategy.EXACT:
             return replace(self, exact=True, hnsw_ef=0)
         if s == SearchStrategy.FAST:
-            return replace(self, hnsw_ef=40)
+            return replace(self, exact=False, hnsw_ef=self.hnsw_ef or 40)
         if s == SearchStrategy.PRECISE:
-            return replace(self, hnsw_ef=300)
-        if s == SearchStrategy.DEFAULT and self.hnsw_ef == 0:
-            return replace(self, hnsw_ef=100)
+            return replace(self, exact=False, hnsw_ef=self.hnsw_ef or 300)
+        if s == SearchStrategy.DEFAULT:
+            return replace(self, exact=False, hnsw_ef=self.hnsw_ef or 100)
         return self
 
 
@@ -99,7 +99,7 @@ class QueryRequest:
         return out
 
     def payload_fields(self) -> list[str] | bool:
-        """True for all metadata, False for none, or the list of fields to include."""
+        """True for all metadata, False for none, or the list of dotted fields to include."""
         p = self.with_payload
         if isinstance(p, bool) or p is None:
             return bool(p)
@@ -109,6 +109,10 @@ class QueryRequest:
             return list(p["include"]) if p.get("include") else True
         return isinstance(p, str)
 
+    def payload_excluded(self) -> list[str]:
+        """Dotted fields to leave out of the metadata."""
+        return list(self.with_payload.get("exclude") or []) if isinstance(self.with_payload, dict) else []
+
     @staticmethod
     def of(raw: dict) -> QueryRequest:
         """From JSON, with keys such as WithVectors, withvectors or with_vectors."""
