@@ -234,6 +234,59 @@ def test_stream_dedup_is_by_client(spark, tmp_path):
     assert got == dict(kvlog.state(spark.createDataFrame(ops, LOG)).collect())
 
 
+def test_snapshot_keeps_the_deduplication_table(spark, tmp_path):
+    rng = random.Random(4)
+    ops = [(i, rng.choice(["Put", "Append", "Append", "Get"]), rng.choice("abc"), f"{i};", rng.randrange(3), max(0, i // 2 - rng.choice([0, 0, 20]))) for i in range(300)]
+    first, rest = spark.createDataFrame(ops[:140], LOG), spark.createDataFrame(ops[140:], LOG)
+    kvlog.snapshot(kvlog.state(first), kvlog.applied_table(first), str(tmp_path / "snap"))
+    assert dict(kvlog.resumed(*kvlog.restore(spark, str(tmp_path / "snap")), rest).collect()) == model(ops)
+
+
+def test_vector_commands_as_a_stream(spark, tmp_path):
+    from vecledger.streaming import vector_stream as v
+
+    p = lambda i, x: (i, [x], None)
+    log = [
+        (1, "CollectionCreate", "c", None, None, None, None), (2, "VectorPut", "c", "a", [1.0], "{}", None), (3, "VectorBatchPut", "c", None, None, None, [p("b", 2.0), p("a", 3.0), p("b", 4.0)]),
+        (4, "VectorDelete", "c", "a", None, None, None), (5, "VectorPut", "d", "x", [9.0], None, None), (6, "VectorSearch", "c", None, [1.0], None, None),
+        (7, "CollectionDelete", "d", None, None, None, None), (8, "VectorPut", "d", "y", [1.0], None, None), (9, "VectorPut", "c", "a", [5.0], None, None), (10, "VectorBatchPut", "c", None, None, None, None),
+        (11, "CollectionDelete", "c", None, None, None, None), (12, "CollectionCreate", "c", None, None, None, None), (13, "VectorPut", "c", "z", [7.0], None, None),
+    ]
+    source, path, check = (str(tmp_path / n) for n in ("in", "rows", "check"))
+    for upto, want in ((6, {("c", "b"): [4.0], ("d", "x"): [9.0]}), (10, {("c", "b"): [4.0], ("c", "a"): [5.0]}), (13, {("c", "z"): [7.0]})):
+        done = 0 if upto == 6 else 6 if upto == 10 else 10
+        spark.createDataFrame(log[done:upto], v.COMMANDS).coalesce(1).write.mode("append").parquet(source)
+        v.kept_in(spark.readStream.schema(v.COMMANDS).parquet(source), path, check).awaitTermination()
+        written = spark.read.parquet(path)
+        for rows in (written, written.unionByName(written)):  # a batch written twice
+            assert {(r["collection"], r["id"]): list(r["values"]) for r in v.live_points(rows).collect()} == want
+
+
+def test_shard_life_cycle(spark):
+    c = shards.Controller()
+    c.join({1: ["x"]})
+    c.join({2: ["y"]})
+    configs = c.frame(spark)
+    at = shards.statuses(configs).where("num = 2")
+    data = spark.createDataFrame([(1, k, "v" + k) for k in "0123456789"] + [(2, "stale", "s")], "gid int, key string, value string")
+    assert {(r["gid"], r["shard"]) for r in shards.serves(at).collect()} == {(1, s) for s in range(5, 10)}
+    asked = at.where("status = 'MoveIn'").select(F.col("gid").alias("to_gid"), F.lit(1).alias("from_gid"), "shard", "num")
+    behind = spark.createDataFrame([(1, 1), (2, 2)], "gid int, num int")
+    rows, late = shards.pulled(data, behind, asked)
+    assert rows.count() == 0 and late.count() == 5
+    current = spark.createDataFrame([(1, 2), (2, 2)], "gid int, num int")
+    rows, late = shards.pulled(data, current, asked)
+    assert late.count() == 0 and {r["shard"] for r in rows.collect()} == {0, 1, 2, 3, 4}
+    assert shards.next_config(current, at, configs).count() == 0
+    new, at = shards.installed(data, at, rows)
+    assert {(r["gid"], r["shard"]) for r in shards.serves(at).collect()} == {(1, s) for s in range(5, 10)} | {(2, s) for s in range(5)}
+    new, at = shards.garbage_collected(new, at)
+    owner = {r["shard"]: r["gid"] for r in at.where("owned").collect()}
+    kept = {(r["gid"], r["key"]) for r in new.collect()}
+    assert kept == {(owner[ord(k) % 10], k) for k in "0123456789"} | {(2, "stale")}
+    assert {r["status"] for r in at.collect()} == {"Normal"}
+
+
 def test_index_files(spark, tmp_path):
     from vecledger.functions.distance import DistanceMetric
     from vecledger.operators import approximate as a

@@ -16,9 +16,9 @@ RANGES = 4096
 
 
 def probes(cells: int, ef: int) -> int:
-    """How many of `cells` a search of effort ef probes: a share of ef / (ef + 100), so that
-    recall does not fall as cells grow; the efforts 40, 100 and 300 probe 29, 50 and 75 %."""
-    return max(1, min(cells, -(-cells * ef // (ef + 100))))
+    """How many of `cells` a search of effort ef probes: a share of ef / (ef + 50), so that
+    recall does not fall as cells grow; the efforts 40, 100 and 300 probe 44, 67 and 86 %."""
+    return max(1, min(cells, -(-cells * ef // (ef + 50))))
 
 
 def centroids(points: DataFrame, cells: int, sample_rows: int = 20_000, rounds: int = 8) -> list[list[float]]:

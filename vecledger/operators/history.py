@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,11 +19,6 @@ def kv_step(state: str, op: int, value: str, output: str) -> tuple[bool, str]:
     return True, value if op == PUT else state + value
 
 
-def entries(calls: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(time, 0 call / 1 return, operation) in order of time, calls first on ties."""
-    return sorted([(c, 0, i) for i, (c, _) in enumerate(calls)] + [(r, 1, i) for i, (_, r) in enumerate(calls)])
-
-
 def check(ops: list[tuple[int, str, str, int, int]], step=kv_step, start: str = "", budget: int = 1_000_000) -> tuple[str, list[int]]:
     """Verdict on operations (op, value, output, call, return), and the longest order found."""
     verdict, partial = partial_orders(ops, step, start, budget)
@@ -40,6 +35,7 @@ def partial_orders(ops: list[tuple[int, str, str, int, int]], step=kv_step, star
     """
     n = len(ops)
     by_call = sorted(range(n), key=lambda i: (ops[i][3], i))
+    by_return = sorted(range(n), key=lambda i: ops[i][4])
     seen: set[tuple[int, str]] = set()
     best: dict[int, list[int]] = {}
     path: list[int] = []
@@ -54,7 +50,7 @@ def partial_orders(ops: list[tuple[int, str, str, int, int]], step=kv_step, star
                 best[i] = order
 
     def choices(done: int) -> Iterator[int]:
-        first_return = min((ops[i][4] for i in range(n) if not done >> i & 1), default=0)
+        first_return = next((ops[i][4] for i in by_return if not done >> i & 1), 0)
         for i in by_call:
             if ops[i][3] > first_return:
                 break
@@ -87,22 +83,23 @@ def partial_orders(ops: list[tuple[int, str, str, int, int]], step=kv_step, star
     return ILLEGAL, partial()
 
 
-def linearizable(history: DataFrame, budget: int = 1_000_000) -> DataFrame:
-    """(key, verdict, operations, longest) of a history (client_id, op, key, value, output, call_ns, return_ns).
+def linearizable(history: DataFrame, budget: int = 1_000_000, step: Callable = kv_step, start: str = "") -> DataFrame:
+    """(key, verdict, operations, longest, partials) of a history (client_id, op, key, value, output, call_ns, return_ns).
 
     Keys are independent, so each is checked on its own; a key's operations come into one
     task, as the search needs them all. Null values and outputs count as ''. `longest` is
-    the longest prefix of an order, as positions by call time.
+    the longest prefix of an order, as positions by call time; `partials` has for each operation
+    found a longest one with it. step and start are the model, as kv_step.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["call_ns", "return_ns", "client_id"])
         ops = list(zip(pdf["op"].astype(int), pdf["value"].fillna(""), pdf["output"].fillna(""), pdf["call_ns"], pdf["return_ns"], strict=True))
-        verdict, longest = check(ops, budget=budget)
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "verdict": [verdict], "operations": [len(ops)], "longest": [longest]})
+        verdict, partials = partial_orders(ops, step, start, budget)
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "verdict": [verdict], "operations": [len(ops)], "longest": [max(partials, key=len, default=[])], "partials": [partials]})
 
     rows = history.where("key is not null").select("client_id", "op", "key", "value", "output", "call_ns", "return_ns")
-    return rows.groupBy("key").applyInPandas(run, "key string, verdict string, operations bigint, longest array<int>")
+    return rows.groupBy("key").applyInPandas(run, "key string, verdict string, operations bigint, longest array<int>, partials array<array<int>>")
 
 
 def history_verdict(verdicts: DataFrame) -> DataFrame:

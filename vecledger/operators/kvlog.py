@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecledger.operators.changefeed import APPEND, PUT, current_state
@@ -50,9 +50,34 @@ def majority_index(match: DataFrame, group: list[str], index: str) -> DataFrame:
     return match.groupBy(*group).agg(median.cast(match.schema[index].dataType).alias("majority_index"))
 
 
-def snapshot(state: DataFrame, path: str) -> None:
-    state.write.mode("overwrite").parquet(path)
+def applied_table(log: DataFrame) -> DataFrame:
+    """(client_id, seq_id): the last write of each client that took effect."""
+    named = log.where("op <> 'Get' and client_id is not null and seq_id is not null")
+    return named.groupBy("client_id").agg(F.max("seq_id").alias("seq_id"))
 
 
-def restore(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def snapshot(state: DataFrame, applied: DataFrame, path: str) -> None:
+    """Write the state (key, value) and the deduplication table (client_id, seq_id)."""
+    state.write.mode("overwrite").parquet(f"{path}/state")
+    applied.write.mode("overwrite").parquet(f"{path}/applied")
+
+
+def restore(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The state and the deduplication table of a snapshot."""
+    return spark.read.parquet(f"{path}/state"), spark.read.parquet(f"{path}/applied")
+
+
+def resumed(state_before: DataFrame, applied: DataFrame, log: DataFrame) -> DataFrame:
+    """State (key, value) after the part of a log that follows a snapshot."""
+    last = applied.select("client_id", F.col("seq_id").alias("__seq"))
+    rest = log.join(last, "client_id", "left").where("op = 'Get' or __seq is null or seq_id is null or seq_id > __seq").select(*log.columns)
+    writes = once(rest).where(F.col("op").isin("Put", "Append") & F.col("key").isNotNull())
+    op = F.when(F.col("op") == "Put", PUT).otherwise(APPEND)
+    return current_state(writes.select("key", "log_index", op.alias("op"), "value"), ["key"], "log_index", state_before)
+
+
+def moments(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, n, mean, variance, deviation) of a column, of the population; merged from
+    partial moments of the tasks. Nulls do not count, NaN makes all but n NaN."""
+    v = F.col(value)
+    return df.groupBy(*group).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance"), F.stddev_pop(v).alias("deviation"))

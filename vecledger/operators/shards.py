@@ -162,9 +162,60 @@ def config_changes(configs: DataFrame) -> DataFrame:
     return gained.unionByName(lost)
 
 
+def statuses(configs: DataFrame) -> DataFrame:
+    """(num, gid, shard, owned, status) just after each configuration: of every group the
+    shards it owns and those it lost.
+
+    A group takes the next configuration only when all its shards are Normal (see next_config),
+    so what it kept is Normal, and what a change concerns is as in config_changes.
+    """
+    rows = configs.select("num", F.posexplode("shards").alias("shard", "gid"))
+    before = F.lag("gid").over(Window.partitionBy("shard").orderBy("num"))
+    kept = rows.withColumn("old", before).where("gid <> 0 and (old is null or old = gid)").select("num", "gid", "shard", F.lit(True).alias("owned"), F.lit(NORMAL).alias("status"))
+    changed = config_changes(configs).join(rows.withColumnRenamed("gid", "owner"), ["num", "shard"])
+    return kept.unionByName(changed.select("num", "gid", "shard", (F.col("owner") == F.col("gid")).alias("owned"), "status"))
+
+
 def serves(statuses: DataFrame) -> DataFrame:
-    """Shards (gid, shard, status) that may be served: Normal or GC."""
-    return statuses.where(F.col("status").isin(NORMAL, GC))
+    """Shards (gid, shard, owned, status) that a group may serve: its own, Normal or GC."""
+    return statuses.where(F.col("owned") & F.col("status").isin(NORMAL, GC))
+
+
+def next_config(current: DataFrame, statuses: DataFrame, configs: DataFrame) -> DataFrame:
+    """(gid, num) that each group of `current` (gid, num) takes next: the following
+    configuration if there is one and none of its shards (gid, shard, status) is being moved."""
+    busy = statuses.where(F.col("status") != NORMAL).select("gid").distinct()
+    ready = current.join(busy, "gid", "left_anti").select("gid", (F.col("num") + 1).alias("num"))
+    return ready.join(configs.select("num"), "num", "left_semi").select("gid", "num")
+
+
+def pulled(data: DataFrame, current: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Shard data (to_gid, shard, key, value) for requests (to_gid, from_gid, shard, num), and
+    the requests (to_gid, from_gid, shard) not ready, whose source has an older configuration.
+
+    data: (gid, key, value) of all groups; current: (gid, num).
+    """
+    at = requests.join(current.select(F.col("gid").alias("from_gid"), F.col("num").alias("have")), "from_gid", "left")
+    ready = F.coalesce(F.col("have") >= F.col("num"), F.lit(False))
+    rows = data.select(F.col("gid").alias("from_gid"), "key", "value").withColumn("shard", key_to_shard(F.col("key")))
+    return rows.join(at.where(ready), ["from_gid", "shard"]).select("to_gid", "shard", "key", "value"), at.where(~ready).select("to_gid", "from_gid", "shard")
+
+
+def installed(data: DataFrame, statuses: DataFrame, moved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Data (gid, key, value) and statuses (gid, shard, ..., status) after pulled rows came in:
+    they are put over those of shards that are MoveIn, which are GC then; others are left alone."""
+    open_ = statuses.where(F.col("status") == MOVE_IN).select("gid", "shard")
+    new = moved.select(F.col("to_gid").alias("gid"), "shard", "key", F.col("value").alias("__new"), F.lit(True).alias("__in")).join(open_, ["gid", "shard"], "left_semi").drop("shard")
+    merged = data.join(new, ["gid", "key"], "full").select("gid", "key", F.when(F.col("__in"), F.col("__new")).otherwise(F.col("value")).alias("value"))
+    return merged, statuses.withColumn("status", F.when(F.col("status") == MOVE_IN, GC).otherwise(F.col("status")))
+
+
+def garbage_collected(data: DataFrame, statuses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Data and statuses after a collection: the rows of shards moved out are deleted, and
+    these shards and those that were GC are Normal."""
+    gone = statuses.where(F.col("status") == MOVE_OUT).select("gid", F.col("shard").alias("__shard"))
+    kept = data.withColumn("__shard", key_to_shard(F.col("key"))).join(gone, ["gid", "__shard"], "left_anti").select("gid", "key", "value")
+    return kept, collected(statuses).drop("emptied")
 
 
 def merge_migrated(receiver: DataFrame, moved: DataFrame) -> DataFrame:

@@ -7,19 +7,20 @@ metadata of mixed types.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecledger.functions.distance import (
-    DistanceMetric, cosine_normalized, cosine_with_norms, distance_function, dot_product, euclidean, manhattan, metric_name, norm, normalize, normalized_score, sparse_dot, to_sparse, vector_literal,
+    DistanceMetric, cosine_normalized, cosine_with_norms, distance_function, dot_product, euclidean, manhattan, metric_name, norm, normalize, normalized_score, sparse_distance, sparse_dot, to_sparse, vector_literal,
 )
 from vecledger.functions.filters import Condition, MetadataFilter, all_of, any_of, equals, filter_column, in_range, schema_violations
 from vecledger.functions.vectors import size_estimate
-from vecledger.operators.approximate import centroids, ivf_knn, quantization_error, with_cell
-from vecledger.operators.collection import Engine, grouped, paged, recommended
+from vecledger.operators.approximate import InvertedFile, centroids, ivf_knn, quantization_error, with_cell
+from vecledger.operators.collection import Engine, grouped, latest, paged, recommended
 from vecledger.operators.knn import batch_knn, knn
-from vecledger.operators.liverows import latest_versions
-from vecledger.plans.request import QueryRequest, RecommendParams, ScrollParams, SearchStrategy
+from vecledger.plans.request import QueryRequest, RecommendParams, ScrollParams, SearchParams, SearchStrategy
 from vecledger.sources.tables import table
 
 COS, DOT, L2, L1 = DistanceMetric.COSINE, DistanceMetric.DOT_PRODUCT, DistanceMetric.EUCLIDEAN, DistanceMetric.MANHATTAN
@@ -216,7 +217,8 @@ _INFO = """WITH w AS (SELECT * FROM vectors QUALIFY row_number() OVER (PARTITION
 
 
 def catalog(spark: SparkSession, sf: str) -> DataFrame:
-    n = latest_versions(table(spark, sf, "vectors")).where("not deleted").groupBy("collection_name").count()
+    last = latest(table(spark, sf, "vectors").withColumnRenamed("vector_id", "id"), ["collection_name"])
+    n = last.where("not deleted").groupBy("collection_name").count()
     rows = table(spark, sf, "collections").join(n, "collection_name", "left")
     return rows.select(F.col("collection_name").alias("name"), "dimension", metric_name(F.col("metric")).alias("metric"), F.coalesce("count", F.lit(0)).alias("count"))
 
@@ -228,7 +230,8 @@ query("collection_info", _INFO + " WHERE collection_name = 'audio_clips'")(lambd
 @query("live_count", """WITH w AS (SELECT * FROM vectors QUALIFY row_number() OVER (PARTITION BY vector_id ORDER BY ts_ns DESC) = 1)
     SELECT count(*) FILTER (WHERE NOT deleted) AS live, count(*) FILTER (WHERE deleted) AS dead FROM w""")
 def _(spark, sf):
-    return latest_versions(table(spark, sf, "vectors")).agg(F.count_if(~F.col("deleted")).alias("live"), F.count_if("deleted").alias("dead"))
+    last = latest(table(spark, sf, "vectors").withColumnRenamed("vector_id", "id"), [])
+    return last.agg(F.count_if(~F.col("deleted")).alias("live"), F.count_if("deleted").alias("dead"))
 
 
 @query("upsert_latest", """SELECT vector_id, collection_name, ts_ns, deleted, len(vector_values) AS length FROM
@@ -242,7 +245,8 @@ def _(spark, sf):
 @query("soft_delete", """WITH w AS (SELECT * FROM vectors QUALIFY row_number() OVER (PARTITION BY vector_id ORDER BY ts_ns DESC) = 1)
     SELECT vector_id, collection_name FROM w WHERE NOT deleted""")
 def _(spark, sf):
-    return latest_versions(table(spark, sf, "vectors")).where("not deleted").select("vector_id", "collection_name")
+    last = latest(table(spark, sf, "vectors").withColumnRenamed("vector_id", "id"), ["collection_name"])
+    return last.where("not deleted").select(F.col("id").alias("vector_id"), "collection_name")
 
 
 @query("get_vector", "SELECT vec_id AS id, label, len(embedding) AS dimension FROM embeddings WHERE vec_id = 42")
@@ -331,10 +335,99 @@ def engine(spark: SparkSession, sf: str, metric: str = "cosine") -> Engine:
     meta = F.to_json(F.struct(F.concat(F.lit("c"), F.col("label")).alias("category"), "label"))
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("values"), meta.alias("metadata"))
     found = Engine(spark)
-    found.register("embeddings", rows, 64, metric)
+    found.register("embeddings", rows, 64, metric, unique=True)
     return found
 
 
+def versions(spark: SparkSession, sf: str, *names: str, schema: dict[str, str] | None = None) -> Engine:
+    """Collections of `vectors`, with all their writes, as registered tables."""
+    rows = table(spark, sf, "vectors").select("collection_name", F.col("vector_id").alias("id"), F.col("vector_values").alias("values"), "metadata", "ts_ns", "deleted")
+    found = Engine(spark)
+    for r in table(spark, sf, "collections").select("collection_name", "dimension", "metric").collect():  # the catalog
+        if not names or r[0] in names:
+            found.register(r[0], rows.where(F.col("collection_name") == r[0]).drop("collection_name"), r[1], r[2], schema)
+    return found
+
+
+_W = """w AS (SELECT * FROM vectors WHERE collection_name = 'audio_clips' QUALIFY row_number() OVER (PARTITION BY vector_id ORDER BY ts_ns DESC) = 1)"""
+
+
+@query("engine_list", _INFO)
+def _(spark, sf):
+    return versions(spark, sf).listed()
+
+
+@query("engine_info", _INFO + " WHERE collection_name = 'audio_clips'")
+def _(spark, sf):
+    info = versions(spark, sf, "audio_clips").info("audio_clips")
+    return spark.createDataFrame([tuple(info.values())], "name string, dimension int, metric string, count bigint")
+
+
+@query("engine_get", f"WITH {_W} SELECT vector_id AS id, metadata, ts_ns, len(vector_values) AS length FROM w WHERE NOT deleted AND vector_id = (SELECT min(vector_id) FROM w WHERE NOT deleted AND vector_values IS NOT NULL)")
+def _(spark, sf):
+    c = versions(spark, sf, "audio_clips").collection("audio_clips")
+    first = c.points().where("values is not null").agg(F.min("id")).first()[0]
+    return c.get(first).select("id", "metadata", "ts_ns", F.size("values").cast("bigint").alias("length"))
+
+
+@query("engine_list_vectors", f"WITH {_W} SELECT vector_id AS id, metadata FROM w WHERE NOT deleted ORDER BY vector_id LIMIT 20 OFFSET 7")
+def _(spark, sf):
+    return versions(spark, sf, "audio_clips").collection("audio_clips").list_vectors(20, 7)
+
+
+@query("engine_scroll_cursor", f"WITH {_W} SELECT vector_id AS id, 'after:' || max(vector_id) OVER () AS next FROM (SELECT * FROM w WHERE NOT deleted AND json_extract_string(metadata, '$.category') = 'toys' ORDER BY vector_id LIMIT 5) t")
+def _(spark, sf):
+    page, cursor = versions(spark, sf, "audio_clips").collection("audio_clips").scroll(QueryRequest(scroll=ScrollParams("", 5), filter=all_of(equals("category", "toys"))))
+    return page.select("id", F.lit(cursor).alias("next"))
+
+
+@query("engine_sample", f"WITH {_W} SELECT vector_id AS id FROM w WHERE NOT deleted ORDER BY md5('7:' || vector_id), vector_id LIMIT 15")
+def _(spark, sf):
+    return versions(spark, sf, "audio_clips").collection("audio_clips").query(QueryRequest(sample=True, seed=7, limit=15)).select("id")
+
+
+@query("engine_filter", f"WITH {_W} SELECT vector_id AS id, ts_ns FROM w WHERE NOT deleted AND json_extract_string(metadata, '$.category') = 'garden'")
+def _(spark, sf):
+    return versions(spark, sf, "audio_clips").collection("audio_clips").points(all_of(equals("category", "garden"))).select("id", "ts_ns")
+
+
+@query("engine_violations", """SELECT vector_id AS id, ts_ns, CASE WHEN vector_values IS NULL OR len(vector_values) <> 72 THEN 'dimension is not 72' ELSE 'wrong type: price' END AS problem FROM vectors
+    WHERE collection_name = 'audio_clips' AND (vector_values IS NULL OR len(vector_values) <> 72 OR json_type(metadata, '$.price') NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE'))""")
+def _(spark, sf):
+    c = versions(spark, sf, "audio_clips", schema={"price": "number"}).collection("audio_clips")
+    return c.violations(c.writes()).select("id", "ts_ns", "problem")
+
+
+@query("engine_delete", f"WITH {_W}, d AS (SELECT vector_id FROM w WHERE NOT deleted ORDER BY vector_id LIMIT 3) SELECT vector_id AS id FROM w WHERE NOT deleted AND vector_id NOT IN (SELECT vector_id FROM d)")
+def _(spark, sf):
+    c = versions(spark, sf, "audio_clips").collection("audio_clips")
+    c.delete([r[0] for r in c.list_vectors(3).collect()])
+    return c.points().select("id")
+
+
+@query("engine_upsert", f"WITH {_W}, l AS (SELECT * FROM w WHERE NOT deleted), f AS (SELECT min(vector_id) AS id FROM l) SELECT vector_id AS id, CASE WHEN vector_id = id THEN 'new' ELSE metadata END AS metadata FROM l, f UNION ALL SELECT 'zzz', 'new'")
+def _(spark, sf):
+    c = versions(spark, sf, "audio_clips").collection("audio_clips")
+    ids = [r[0] for r in c.list_vectors(1).collect()] + ["zzz"]
+    c.insert(spark.createDataFrame([(i, [0.5] * 72, "new") for i in ids], "id string, values array<float>, metadata string"))
+    return c.points().select("id", "metadata")
+
+
+@query("engine_batch", _E + """, d AS (SELECT list_cosine_similarity(v, qv) AS d, id, label FROM p, q), e AS (SELECT list_cosine_similarity(p.v, b.v) AS d, p.id FROM p, (SELECT v FROM p WHERE id = '2') b)
+    SELECT 0 AS request, id, round(d, 5) AS distance FROM (SELECT * FROM d ORDER BY d DESC, id LIMIT 4) a UNION ALL SELECT 1, id, round(d, 5) FROM (SELECT * FROM e ORDER BY d DESC, id LIMIT 7) b
+    UNION ALL SELECT 2, id, round(d, 5) FROM (SELECT * FROM d WHERE label = 3 ORDER BY d DESC, id LIMIT 6) c""")
+def _(spark, sf):
+    c = engine(spark, sf).collection("embeddings")
+    a, b = (list(c.get(i).first()["values"]) for i in "12")
+    batch = c.query_batch([QueryRequest(vector=a, limit=4), QueryRequest(vector=b, limit=7), QueryRequest(vector=a, limit=6, filter=all_of(equals("label", 3)))])
+    return batch.select("request", "id", F.round("distance", 5).alias("distance"))
+
+
+@query("engine_payload", "SELECT vec_id::VARCHAR AS id, '{\"label\":' || label || '}' AS metadata FROM embeddings ORDER BY 1 LIMIT 6")
+def _(spark, sf):
+    return engine(spark, sf).query("embeddings", {"scroll": {"limit": 6}, "with_payload": {"exclude": ["category"]}}).select("id", "metadata")
+
+
 @query("engine_query", _E + """, d AS (SELECT id, list_cosine_similarity(v, qv) AS d FROM p, q WHERE label IN (2, 3))
     SELECT id, round(d, 5) AS distance, round((d + 1) / 2, 5) AS score FROM (SELECT * FROM d ORDER BY d DESC, id LIMIT 8)""")
 def _(spark, sf):
@@ -359,9 +452,19 @@ def _(spark, sf):
     return engine(spark, sf).query("embeddings", QueryRequest(scroll=ScrollParams("after:2", 12))).select("id")
 
 
-@query("engine_recommend")
+@query("engine_recommend", _E + """, r AS (SELECT list_transform(list_zip(list_transform(list_zip(a.v, b.v), lambda x: (x[1] + x[2]) / 2), c.v), lambda x: x[1] - 0.5 * x[2]) AS qv
+      FROM p a, p b, p c WHERE a.id = '1' AND b.id = '2' AND c.id = '3'),
+    d AS (SELECT id, list_inner_product(v, r.qv) AS d FROM p, r WHERE id NOT IN ('1', '2', '3'))
+    SELECT id, round(d, 5) AS distance FROM (SELECT * FROM d ORDER BY d DESC, id LIMIT 5) t""")
+def _(spark, sf):
+    return engine(spark, sf, "dot").query("embeddings", QueryRequest(recommend=RecommendParams(["1", "2"], ["3"]), limit=5)).select("id", F.round("distance", 5).alias("distance"))
+
+
+@query("engine_recommend_best", _E + """, d AS (SELECT p.id, greatest(list_inner_product(p.v, a.v), list_inner_product(p.v, b.v)) AS d, list_inner_product(p.v, c.v) AS bad FROM p, p a, p b, p c
+      WHERE a.id = '1' AND b.id = '2' AND c.id = '3' AND p.id NOT IN ('1', '2', '3'))
+    SELECT id, round(d, 5) AS distance FROM (SELECT * FROM d WHERE d > bad ORDER BY d DESC, id LIMIT 5) t""")
 def _(spark, sf):
-    return engine(spark, sf, "dot").query("embeddings", QueryRequest(recommend=RecommendParams(["1", "2"], ["3"]), limit=5))
+    return engine(spark, sf, "dot").query("embeddings", QueryRequest(recommend=RecommendParams(["1", "2"], ["3"], "best"), limit=5)).select("id", F.round("distance", 5).alias("distance"))
 
 
 @query("sparse_dot", """WITH s AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: CASE WHEN abs(x) > 0.1 THEN x ELSE 0 END) AS v FROM embeddings),
@@ -375,6 +478,19 @@ def _(spark, sf):
     return rows.select("id", (F.round(sparse_dot(F.col("m"), literal), 6) + 0.0).alias("dot"))
 
 
+@query("sparse_distances", """WITH s AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: CASE WHEN abs(x) > 0.1 THEN x ELSE 0 END) AS v FROM embeddings),
+    q AS (SELECT v AS qv FROM s WHERE id = 1) SELECT id, round(list_cosine_similarity(v, qv), 6) + 0.0 AS cosine, round(list_distance(v, qv), 6) AS euclidean,
+      round(list_sum(list_transform(list_zip(v, qv), lambda x: abs(x[1] - x[2]))), 6) AS manhattan FROM s, q""")
+def _(spark, sf):
+    e = table(spark, sf, "embeddings")
+    kept = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: F.abs(s.x) > 0.1)
+    rows = e.select(F.col("vec_id").alias("id"), to_sparse(F.transform(kept, lambda s: s.i), F.transform(kept, lambda s: s.x)).alias("m"))
+    q = rows.where("id = 1").first()["m"]
+    literal = F.map_from_arrays(F.array(*[F.lit(k) for k in q]), F.array(*[F.lit(v) for v in q.values()]))
+    of = lambda m: F.round(sparse_distance(F.col("m"), literal, m), 6) + 0.0
+    return rows.select("id", of(COS).alias("cosine"), of(L2).alias("euclidean"), of(L1).alias("manhattan"))
+
+
 @query("quantization_error", """WITH p AS (SELECT label, embedding::DOUBLE[] AS v FROM embeddings),
     c AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM p) GROUP BY label, i) GROUP BY label)
     SELECT label AS code, count(*) AS points, round(avg(list_distance(v, c)), 6) AS error FROM p JOIN c USING (label) GROUP BY label""")
@@ -390,3 +506,20 @@ def _(spark, sf):
     rows = points(spark, sf)
     cs = centroids(rows, 16)
     return shown(ivf_knn(with_cell(rows, cs), cs, point(spark, sf, 1), L2, 10, SearchStrategy.PRECISE))
+
+
+@query("ivf_recall", "SELECT * FROM (VALUES ('DEFAULT', true), ('PRECISE', true), ('EXACT', true)) AS t(strategy, enough)")
+def _(spark, sf):
+    """Whether the index finds 0.9 of the ten nearest of the points whose id is divisible by 100, by strategy."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("values"))
+    index = InvertedFile.built(rows, 16)
+    asked = rows.where("id % 100 = 0")
+    true = batch_knn(rows, asked.withColumnRenamed("id", "query_id"), COS, 10).select("query_id", "id")
+    vectors = [(r[0], list(r[1])) for r in asked.select("id", "values").collect()]  # one in a hundred
+    parts = []
+    for s in (SearchStrategy.DEFAULT, SearchStrategy.PRECISE, SearchStrategy.EXACT):
+        params = SearchParams(search_strategy=s).adjusted()
+        hits = reduce(DataFrame.unionByName, [index.search(v, COS, 10, params).select(F.lit(i).cast("bigint").alias("query_id"), "id") for i, v in vectors])
+        share = true.join(hits.withColumn("hit", F.lit(1)), ["query_id", "id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+        parts.append(share.select(F.lit(s.name).alias("strategy"), (F.col("recall") >= 0.9).alias("enough")))
+    return reduce(DataFrame.unionByName, parts)
