@@ -86,14 +86,50 @@ def test_hamming_search_is_complete():
     rng = np.random.default_rng(1)
     p = leaks.Passages([(i, " ".join(f"{i}a{k}" for k in range(20))) for i in range(50)])
     near = p.prints[rng.integers(0, len(p.prints), 500)].copy()
-    for b in rng.integers(0, 64, (500, 3)).T:
+    for b in rng.integers(0, 48, (500, 12)).T:  # no difference in the last block
         near ^= np.uint64(1) << b.astype(np.uint64)
     q = np.concatenate([near, rng.integers(0, 2**63, 500).astype(np.uint64)])
     at, w = p.near(q)
-    brute = {(i, j) for i, x in enumerate(q) for j in np.flatnonzero(np.bitwise_count(p.prints ^ x) <= leaks.RADIUS)}
+    agree = lambda x: sum(((p.prints ^ x) >> np.uint64(16 * b)) & np.uint64(0xFFFF) == 0 for b in range(4)) > 0
+    brute = {(i, j) for i, x in enumerate(q) for j in np.flatnonzero((np.bitwise_count(p.prints ^ x) <= leaks.RADIUS) & agree(x))}
     assert set(zip(at.tolist(), w.tolist(), strict=True)) == brute and len(brute) >= 500
 
 
+def test_edited_passages_are_found(spark):
+    """Recall for passages of twelve words with one or two words replaced, and with one added or left out."""
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=40))) for i in range(200)]
+    docs, planted = [], {}
+    for d in range(600):
+        passage = items[d % 200][1].split()[3:15]
+        kind = d % 4
+        for at in rng.sample(range(12), 2 if kind == 1 else 1):
+            if kind < 2:
+                passage[at] = f"new{d}"
+        if kind == 2:
+            passage.insert(rng.randrange(1, 11), "added")
+        if kind == 3:
+            del passage[rng.randrange(1, 11)]
+        docs.append((d, " ".join(rng.choices(vocabulary, k=60) + passage + rng.choices(vocabulary, k=60)), "x"))
+        planted[d] = kind
+    docs += [(1000 + d, " ".join(rng.choices(vocabulary, k=150)), "x") for d in range(200)]
+    found = leaks.leaked(spark.createDataFrame(docs, SCHEMA), "doc_id", "body", spark.createDataFrame(items, "item_id bigint, item_text string"), "item_id", "item_text", 0.4)
+    got = {tuple(r) for r in found.collect()}
+    for kind in range(4):
+        mine = [d for d, k in planted.items() if k == kind]
+        assert sum((d, d % 200) in got for d in mine) >= 0.9 * len(mine), kind
+    assert not {d for d, i in got if d >= 1000 or i != d % 200}
+
+
+def test_items_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "ITEM_WINDOWS_AT_ONCE", 100)
+    items = [(i, " ".join(f"{i}a{k}" for k in range(20))) for i in range(40)]
+    docs = [(i, f"before {t} after", "x") for i, t in items]
+    found = leaks.leaked(spark.createDataFrame(docs, SCHEMA), "doc_id", "body", spark.createDataFrame(items, "item_id bigint, item_text string"), "item_id", "item_text")
+    assert {tuple(r) for r in found.collect()} == {(i, i) for i, _ in items}
+
+
 PROSE = "When the old bridge was opened, nobody in the town knew about it. She said that they would be back before the end of the week, and he did not believe her."
 KINDS = {
     "prose": [PROSE, "Sorry, the page you asked for could not be found. It may have been moved or removed.", "Als der alte Turm geräumt wurde, war niemand in der Stadt. Wir haben die Leiter nicht gefunden.",

@@ -1,12 +1,14 @@
 """Evaluation passages inside corpus documents, by SimHash windows.
 
-Every window of WIDTH consecutive words of an item and of a document has a 64-bit
-SimHash: the signs of the sums of its words' hash bits. Fingerprints within RADIUS bits
-agree in at least one of RADIUS + 1 blocks, so tables of the items' blocks find every
-such item window (multi-index Hamming search, no false dismissals). A candidate is then
-verified by the weighted similarity of its words, rare words weighing more, and, for
-exact passages, word by word. Documents are read once and never shuffled; only the items'
-windows, in slices of bounded size, are sent to the tasks.
+Every window of WIDTH consecutive words of an item and of a document, the size of a passage,
+has a 64-bit fingerprint of BLOCKS blocks: block b is the SimHash, the majority of the hash
+bits, of the window's words 3b to 3b + 2. So a changed word touches one block, and windows
+with up to BLOCKS - 1 changed words agree in a block: tables of the items' blocks find all of
+them (multi-index Hamming search), as they find all fingerprints whose differences leave a
+block alone. Those within RADIUS bits are candidates. A candidate is verified by the weighted
+similarity of its shingles, rare ones weighing more; for exact passages that similarity must
+be 1 and the words the same in order. Documents are never shuffled; only the items' windows,
+in slices of bounded size, are sent to the tasks.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-WIDTH, RADIUS, BLOCKS = 12, 3, 4
-ITEMS_AT_ONCE = 20_000
+WIDTH, RADIUS, BLOCKS = 12, 18, 4
+SHINGLE = 2
+ITEM_WINDOWS_AT_ONCE = 1 << 20
 WINDOWS_AT_ONCE = 1 << 17
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -74,20 +77,15 @@ class TokenHashes(dict):
 
 
 def fingerprints(hashes: np.ndarray) -> np.ndarray:
-    """SimHash of each window of WIDTH = 12 consecutive words, by their hashes."""
+    """Fingerprint of each window of WIDTH = 12 consecutive words, by their hashes."""
     n = len(hashes) - WIDTH + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.empty(n, np.uint64)
-    tie = (np.arange(64) % 2).astype(np.uint8)  # ties are settled by the parity of the bit's place
-    raw = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
-    for s in range(0, n, 8192):  # stays in the cache
-        m = min(8192, n - s)
-        bits = np.unpackbits(raw[s : s + m + WIDTH - 1], axis=1)
-        two = bits[:-1] + bits[1:]
-        four = two[:-2] + two[2:]
-        total = four[:m] + four[4 : m + 4] + four[8 : m + 8]
-        out[s : s + m] = np.packbits(total + tie > WIDTH // 2, axis=1).view("<u8").ravel()
+    a, b, c = hashes[:-2], hashes[1:-1], hashes[2:]
+    most = (a & b) | (a & c) | (b & c)
+    out = np.zeros(n, np.uint64)
+    for block in range(BLOCKS):
+        out |= most[3 * block : 3 * block + n] & np.uint64(0xFFFF << 16 * block)
     return out
 
 
@@ -95,20 +93,26 @@ class Passages:
     """Windows of evaluation items and their block tables."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        prints, self.item, self.words, known = [], [], [], TokenHashes()
-        seen: set[tuple] = set()
-        count: Counter = Counter()
+        known, prints, at, seen = TokenHashes(), [], [], set()
+        self.items, self.of, self.texts = [], [], []
+        self.hashes, total, count = [], 0, Counter()
         for item, text in items:
-            words = words_of(text)
-            count.update(set(words))
-            for i, f in enumerate(fingerprints(np.array(known.of(text or ""), np.uint64))):
-                window = tuple(words[i : i + WIDTH])
-                if (item, window) not in seen:
-                    seen.add((item, window))
-                    prints.append(f)
-                    self.item.append(item)
-                    self.words.append(window)
-        self.prints = np.array(prints, np.uint64)
+            words, hashes = words_of(text), np.array(known.of(text or ""), np.uint64)
+            count.update(set(shingles(words)))
+            f = fingerprints(hashes)
+            # a passage repeated within the item is one
+            new = [i for i in range(len(f)) if (item, key := hashes[i : i + WIDTH].tobytes()) not in seen and not seen.add((item, key))]
+            if not new:
+                continue
+            prints.append(f[new])
+            at.append(np.array(new) + total)
+            self.of.append(np.full(len(new), len(self.items)))
+            self.items.append(item)
+            self.texts.append((total, words))
+            self.hashes.append(hashes)
+            total += len(hashes)
+        joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.prints, self.at, self.of, self.hashes = joined(prints, np.uint64), joined(at, np.int64), joined(self.of, np.int64), joined(self.hashes, np.uint64)
         self.weight = {w: 1 / n for w, n in count.items()}
         self.tables = []
         for b in range(BLOCKS):
@@ -120,45 +124,63 @@ class Passages:
     def _block(prints: np.ndarray, b: int) -> np.ndarray:
         return prints.astype("<u8", copy=False).view("<u2").reshape(-1, 4)[:, b]
 
+    def words(self, window: int) -> tuple[str, ...]:
+        first, words = self.texts[self.of[window]]
+        return tuple(words[self.at[window] - first :][:WIDTH])
+
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (window, item window) whose fingerprints differ in at most RADIUS bits."""
+        """All pairs (window, item window) whose fingerprints agree in a block and differ in at most RADIUS bits."""
         at, windows = [], []
         for b, (order, starts, sizes) in enumerate(self.tables):
             value = self._block(prints, b)
-            n = sizes[value]
-            some = np.flatnonzero(n)
-            n = n[some]
-            row = np.repeat(some, n)
-            inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            other = order[np.repeat(starts[value[some]], n) + inside]
-            close = np.bitwise_count(prints[row] ^ self.prints[other]) <= RADIUS
-            at.append(row[close])
-            windows.append(other[close])
-        both = np.unique(np.column_stack([np.concatenate(at), np.concatenate(windows)]), axis=0)
-        return both[:, 0], both[:, 1]
+            some = np.flatnonzero(sizes[value])
+            for s in range(0, len(some), 1 << 14):
+                part = some[s : s + (1 << 14)]
+                n = sizes[value[part]]
+                row = np.repeat(part, n)
+                inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                other = order[np.repeat(starts[value[part]], n) + inside]
+                close = np.bitwise_count(prints[row] ^ self.prints[other]) <= RADIUS
+                at.append(row[close])
+                windows.append(other[close])
+        if not at:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # a pair that agrees in several blocks is found by each
+        pairs = np.unique(np.concatenate(at) * len(self.prints) + np.concatenate(windows))
+        return np.divmod(pairs, len(self.prints))
 
     def similarity(self, a: tuple[str, ...], b: tuple[str, ...]) -> float:
-        """Weighted Jaccard similarity of the words of two windows as multisets."""
+        """Weighted Jaccard similarity of the shingles of two windows as multisets."""
         if a == b:
             return 1.0
-        x, y = Counter(a), Counter(b)
+        x, y = Counter(shingles(a)), Counter(shingles(b))
         w = self.weight
         low = sum(min(x[t], y[t]) * w.get(t, 1) for t in x.keys() & y.keys())
         high = sum(max(x[t], y[t]) * w.get(t, 1) for t in x.keys() | y.keys())
         return low / high
 
 
+def shingles(words: list[str] | tuple[str, ...]) -> list[tuple[str, ...]]:
+    """Runs of SHINGLE words."""
+    return list(zip(*(words[i:] for i in range(SHINGLE)), strict=False))
+
+
 def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, least: float = 1.0) -> DataFrame:
     """(doc_id, item_id): documents holding WIDTH consecutive words of an item.
 
-    least: smallest weighted similarity of a document's window to an item's; 1.0 asks
-    for the same words in the same order. Items and documents of fewer than WIDTH words,
+    least: smallest weighted similarity of the shingles of a document's window to those of an
+    item's; 1.0 asks for the same words in the same order. With less, passages of which a word
+    or two were replaced, added or left out are found: of twelve words, one replaced in the
+    middle leaves about 0.7, two at least 0.45. The corpus is read once for every
+    ITEM_WINDOWS_AT_ONCE windows of items. Items and documents of fewer than WIDTH words,
     null and empty texts never match; repeated rows do not repeat results.
     """
     spark = docs.sparkSession
     doc_kind, item_kind = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     item_type = to_arrow_type(items.schema[item_id].dataType)
-    slices = -(-max(1, items.count()) // ITEMS_AT_ONCE)
+    # a word has two characters at least with its space
+    size = items.agg(F.sum(F.length(item_text) / 2)).first()[0] or 0
+    slices = int(-(-max(1, size) // ITEM_WINDOWS_AT_ONCE))
     result = None
     for s in range(slices):
         part = items.where(F.pmod(F.xxhash64(item_id), F.lit(slices)) == s) if slices > 1 else items
@@ -200,18 +222,22 @@ def matches(passages: Passages, docs: list[tuple[int, str, list[int]]], least: f
     words: dict[int, list[str]] = {}
     found: set[tuple] = set()
     for s in range(0, max(0, len(hashes) - WIDTH + 1), WINDOWS_AT_ONCE):
-        at, windows = passages.near(fingerprints(hashes[s : s + WINDOWS_AT_ONCE + WIDTH - 1]))
+        part = hashes[s : s + WINDOWS_AT_ONCE + WIDTH - 1]
+        at, windows = passages.near(fingerprints(part))
         at += s
         doc = np.searchsorted(ends, at, side="right")
-        inside = at + WIDTH <= ends[doc]
-        for a, w, d in zip(at[inside].tolist(), windows[inside].tolist(), doc[inside].tolist(), strict=True):
-            pair = (docs[d][0], passages.item[w])
+        good = at + WIDTH <= ends[doc]
+        if least >= 1:  # similarity 1 needs the same words
+            for k in range(WIDTH):
+                good[good] = hashes[at[good] + k] == passages.hashes[passages.at[windows[good]] + k]
+        for a, w, d in zip(at[good].tolist(), windows[good].tolist(), doc[good].tolist(), strict=True):
+            pair = (docs[d][0], passages.items[passages.of[w]])
             if pair in found:
                 continue
             if d not in words:
                 words[d] = words_of(docs[d][1])
             first = a - int(ends[d]) + len(words[d])
-            window = tuple(words[d][first : first + WIDTH])
-            if window == passages.words[w] or (least < 1 and passages.similarity(window, passages.words[w]) >= least):
+            window, passage = tuple(words[d][first : first + WIDTH]), passages.words(w)
+            if passages.similarity(window, passage) >= least and (least < 1 or window == passage):
                 found.add(pair)
     return found
