@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from vecledger.llm import leaks, textstats, tokens
-from vecledger.llm.textstats import statistics, text_statistics, text_types, votes
+from vecledger.llm.textstats import statistics, text_statistics, text_types
 from vecledger.llm.topn import top_n
 
 TEXTS = [
@@ -169,9 +169,23 @@ def test_types(spark):
     kinds = {n: k for n, k in enumerate(k for k, ts in KINDS.items() for t in ts for _ in range(5))}
     stats = text_statistics(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), "doc_id", "text")
     assert {r[0] for r in stats.where("votes is null").collect()} == {900, 901}
-    got = {r["doc_id"]: r["p_prose"] for r in text_types(stats).collect()}
-    assert all((got[n] > 0.5) == (k == "prose") for n, k in kinds.items())
-    assert text_types(stats.where("false")).count() == 0
+    types = text_types(stats, "doc_id")
+    got = {r["doc_id"]: r["p_prose"] for r in types.collect()}
+    wrong = [n for n, k in kinds.items() if (got[n] > 0.5) != (k == "prose")]
+    assert not wrong, wrong
+    assert all(abs(sum(r[1:]) - 1) < 1e-9 for r in types.collect())
+    assert text_types(stats.where("false"), "doc_id").count() == 0
+
+
+def test_the_model_decides():
+    """Labellers that agree with each other overrule one that does not, and one that is mostly alone counts little."""
+    counts = {"pppp------": 900, "llll------": 900, "plll------": 60, "lppp------": 60, "jppp------": 40, "p---------": 20}
+    post = textstats.posteriors(counts)
+    assert post["plll------"][1] > 0.9 and post["lppp------"][0] > 0.9 and post["jppp------"][0] > 0.9 and post["p---------"][0] > 0.5
+    # the first one's votes are random here, so what it says alone is not worth much
+    noise = {a + b: 200 for a in "pltj" for b in ("ppp------", "lll------")} | {"p---------": 10}
+    post = textstats.posteriors(noise)
+    assert post["p---------"][0] < 0.7 and post["lppp------"][0] > 0.9
 
 
 def test_types_against_labels(spark):
@@ -183,13 +197,15 @@ def test_types_against_labels(spark):
     for r in table(spark, d, "page_labels").where("kind_label is not null").distinct().collect():
         labels[r["doc_id"]][r["kind_label"]] += 1
     stats = text_statistics(table(spark, d, "documents"), "doc_id", "text")
-    prose = {r["doc_id"]: r["p_prose"] > 0.5 for r in text_types(stats).collect()}
+    prose = {r["doc_id"]: r["p_prose"] > 0.5 for r in text_types(stats, "doc_id").collect()}
     sure = {i: c.most_common(1)[0][0] == "prose" for i, c in labels.items() if len(c) == 1 and i in prose}
     assert sum(prose[i] == v for i, v in sure.items()) >= 0.93 * len(sure) > 50
 
 
 def test_votes_are_letters():
-    assert set(votes(statistics(PROSE))) <= set(textstats.LETTERS)
+    patterns = {}
+    statistics(PROSE + "\n- a\n1;2;3", patterns)
+    assert set("".join(patterns)) <= set(textstats.LETTERS) and {len(p) for p in patterns} == {10} and sum(patterns.values()) == len(PROSE) + 8
 
 
 @pytest.mark.parametrize("buffer", [3, 10_000])

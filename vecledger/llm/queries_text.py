@@ -45,12 +45,12 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return text_statistics(table(spark, sf, "documents"), "doc_id", "text")
+    return text_statistics(table(spark, sf, "documents"), "doc_id", "text").drop("votes")
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    stats = written(p8_statistics(spark, sf).select("doc_id", "votes"))
-    return text_types(stats).where("p_prose < 0.5").select("doc_id")
+    stats = written(text_statistics(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "votes"))
+    return text_types(stats, "doc_id").where("p_prose < 0.5").select("doc_id")
 
 
 QUERIES = {"p3_found": p3_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_statistics": p8_statistics, "p8_found": p8_found}

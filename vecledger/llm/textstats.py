@@ -1,10 +1,12 @@
 """Per-document text statistics and text types from thresholds as noisy labellers.
 
-Statistics of a text are sums over its lines. Thresholds on them are labelling functions
-that vote for a type (prose, list, table, junk) or abstain. How often each is right is
-not told but learned: expectation-maximization over all documents' vote patterns, whose
-counts Spark adds up, fits for every labeller the distribution of its votes given the
-type. The posterior type of each pattern is then joined back to its documents.
+Statistics of a text are sums over its lines. Thresholds on the statistics of a line are
+labelling functions that vote for its type (prose, list, table, junk) or abstain; each reads
+another property: known words, end, length, bullets, cells, digits, symbols, word lengths,
+repetition, and one a decision rule over several. How often each is right is not told but
+learned: expectation-maximization over the vote patterns of all lines of all documents, whose
+characters Spark adds up, fits for every labeller the distribution of its votes given the
+type. A document's posterior is that of its lines' patterns, weighted by characters.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ TYPES = ("prose", "list", "table", "junk")
 #: Frequent function words of the languages that are told apart.
 COMMON = {
     "en": "the of and to a in is that it was for on are as with his they i at be this have from or had by not but what all were we when your can said there an each which she do how their if will up other about out many then them these so some her would him has two more no could my than been who its now did get made after back only years where most before because too any same also very while one our even as up again twice although later until us whose whenever beside every between while near only if".split(),
-    "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde wenn ich wir warum niemand gab muss immer keine diese dieser sagte sondern blieb wer den".split(),
-    "fr": "le la les de des du un une et à en est que qui dans ce il pas pour sur au avec ne se par plus ou son mais nous ont été cette était on sa ses leur elle y comme si tout aux d l n c s qu a dit fait sans avant encore où quand pourquoi personne je vous avons".split(),
-    "es": "el la los las de que y a en un una ser se no por con su para como estar tener le lo todo pero más o este ya está era del al sus muy sin sobre me hay donde quien desde nos durante uno ni contra ese eso había antes cuando nadie porque qué quién ha han fue es dijo después todavía aunque mi sino ella él".split(),
-    "ru": "и в не на я быть он с что а по это она этот к но они мы весь который из у который то за свой от со для о же так вы все его как только или ещё бы был до если чтобы когда нет тот мой через никто всё снова об под чем уже было была были где кто этом стоял похож".split(),
-    "el": "και το να του η της με που την από για τα είναι των σε ο οι στο θα τη στην τον τους δεν τις ένα μια ότι ή στα αυτό κι αν μου στον όταν πριν μετά ήταν κανείς δε πως αλλά γιατί είπε ακόμα μας τι ποιος στις στη ενώ όμως".split(),
+    "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde wenn ich wir warum niemand muss immer keine diese dieser sondern wer den".split(),
+    "fr": "le la les de des du un une et à en est que qui dans ce il pas pour sur au avec ne se par plus ou son mais nous ont été cette était on sa ses leur elle y comme si tout aux d l n c s qu a sans avant encore où quand pourquoi personne je vous avons".split(),
+    "es": "el la los las de que y a en un una ser se no por con su para como estar tener le lo todo pero más o este ya está era del al sus muy sin sobre me hay donde quien desde nos durante uno ni contra ese eso había antes cuando nadie porque qué quién ha han fue es después todavía aunque mi sino ella él".split(),
+    "ru": "и в не на я быть он с что а по это она этот к но они мы весь который из у который то за свой от со для о же так вы все его как только или ещё бы был до если чтобы когда нет тот мой через никто всё снова об под чем уже было была были где кто этом".split(),
+    "el": "και το να του η της με που την από για τα είναι των σε ο οι στο θα τη στην τον τους δεν τις ένα μια ότι ή στα αυτό κι αν μου στον όταν πριν μετά ήταν κανείς δε πως αλλά γιατί ακόμα μας τι ποιος στις στη ενώ όμως".split(),
 }
 ANY_COMMON = frozenset(w for ws in COMMON.values() for w in ws if len(w) > 1 or w in "aàyoивскуяηο")
 
@@ -110,19 +112,24 @@ def line_kind(line: str, words: list[str], symbols: int, digits: int) -> str:
     return "junk"
 
 
-def statistics(text: str) -> tuple[float, ...] | None:
-    """The STATS of a text; None if it is null or blank."""
+def statistics(text: str, patterns: dict[str, int] | None = None) -> tuple[float, ...] | None:
+    """The STATS of a text; None if it is null or blank. patterns: takes the characters of
+    its lines by their votes."""
     lines = joined_lines(text or "")
     if not lines:
         return None
-    share = dict.fromkeys(("prose", "list", "table", "junk", "short"), 0)
-    total = words_n = letters = symbols_n = digits_n = ended = common = 0
+    share = dict.fromkeys("pltj", 0)
+    short = total = words_n = letters = symbols_n = digits_n = ended = common = 0
     seen: dict[str, int] = {}
     for line in lines:
         n = len(line)
         words = WORD.findall(line.lower())
         symbols, digits = len(SYMBOL.findall(line)), len(DIGIT.findall(line))
-        share[line_kind(line, words, symbols, digits)] += n
+        cast = votes(line, words, symbols, digits)
+        if patterns is not None:
+            patterns[cast] = patterns.get(cast, 0) + n
+        share[cast[0]] += n
+        short += n if len(words) <= 4 and n <= 48 else 0
         total += n
         words_n += len(words)
         letters += sum(map(len, words))
@@ -141,25 +148,34 @@ def statistics(text: str) -> tuple[float, ...] | None:
     punctuated = sum(SENTENCE_END.search(line) is not None for line in physical)
     return (
         float(words_n), letters / max(1, words_n), symbols_n / solid, digits_n / solid, punctuated / len(physical), common / max(1, words_n),
-        share["prose"] / total, share["list"] / total, share["table"] / total, share["junk"] / total, share["short"] / total, again / max(1, spoken), ended / total,
+        share["p"] / total, share["l"] / total, share["t"] / total, share["j"] / total, short / total, again / max(1, spoken), ended / total,
     )
 
 
-def votes(s: tuple[float, ...]) -> str:
+def votes(line: str, words: list[str], symbols: int, digits: int) -> str:
     """One letter for each labelling function: p, l, t, j for a type, - for no vote."""
-    words, length, symbol, digit, _, common, prose, items, table, junk, short, again, ended = s
-    most = max((items + short, "l"), (table, "t"), (junk, "j"))[1]
+    n, many = len(line), len(words)
+    common = sum(w in ANY_COMMON for w in words)
+    east = 0 if line.isascii() else len(EAST.findall(line))
+    listed = east < 0.3 * n and (line.isascii() or len(UNLISTED.findall(line)) < 0.3 * n)
+    # a semicolon asks in Greek and ends statements of programs in ASCII
+    ended = SENTENCE_END.search(line) is not None and not (line.isascii() and line.endswith(";"))
+    cells = len(CELLS.findall(line))
+    distinct = len(set(words))
+    length = sum(map(len, words)) / many if many else 0.0
+    width = n + east  # characters without spaces between words are worth two
+    rule = line_kind(line, words, symbols, digits)
     return "".join((
-        "p" if prose > 0.5 else most,
-        "p" if prose > 0.7 else "-" if prose > 0.3 else most,
-        "p" if common >= 0.2 else "-" if common >= 0.1 or prose > 0.4 else most,
-        "p" if ended > 0.6 and prose > 0.3 else "-" if ended > 0.2 else most,
-        "j" if not 2 <= length <= 14 and prose < 0.5 else "-",
-        "j" if symbol > 0.35 else "t" if symbol > 0.15 and table > junk else "-",
-        "t" if digit > 0.25 and table > items else "-",
-        "l" if items + short > 0.5 else "-",
-        "t" if table > 0.5 else "-",
-        "j" if junk > 0.5 or again > 0.6 else "-",
+        "l" if rule == "short" else rule[0],
+        "-" if not listed or many < 4 else "p" if common >= 0.2 * many and common > 1 else "j" if common == 0 and many >= 6 else "-",
+        "p" if ended and (many >= 5 or east >= 10) else "l" if not ended and many <= 4 and east < 10 else "-",
+        "l" if BULLET.match(line) else "-",
+        "t" if line.count("|") > 1 or "\t" in line or (cells >= 2 and cells >= 0.3 * many and digits) else "-",
+        "t" if digits > 0.3 * n and symbols <= 0.3 * n else "p" if digits <= 0.05 * n and width >= 40 else "-",
+        "j" if symbols > 0.3 * n else "p" if symbols <= 0.08 * n and width >= 40 else "-",
+        "j" if many and listed and not 2 <= length <= 14 else "-",
+        "j" if many >= 8 and distinct <= 0.3 * min(many, 40) else "-",
+        "p" if many >= 8 and many >= 2.5 * (cells + 1) or width >= 40 and east and cells < 3 else "l" if width < 24 else "-",
     ))
 
 
@@ -169,56 +185,64 @@ LETTERS = "pltj-"
 def posteriors(counts: dict[str, int], rounds: int = 30) -> dict[str, np.ndarray]:
     """Posterior over TYPES of each vote pattern, by expectation-maximization.
 
-    counts: documents by pattern. Every labeller has, given the type, a distribution of
-    its votes; it starts at mostly right or silent and keeps that as a weak prior.
+    counts: characters of lines by pattern. Every labeller that votes has, given the type, a
+    distribution of its votes; it starts at mostly right and keeps that as a weak prior.
+    What a labeller does not vote on is left out.
     """
     if not counts:
         return {}
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
     v = np.array([[LETTERS.index(c) for c in p] for p in patterns])
-    start = np.full((len(TYPES), len(LETTERS)), 0.05)
-    start[:, len(TYPES)] = 0.3
-    start[np.arange(len(TYPES)), np.arange(len(TYPES))] = 0.55
+    start = np.full((len(TYPES), len(TYPES)), 0.1)
+    np.fill_diagonal(start, 0.7)
     table = np.repeat(start[None], v.shape[1], 0)
     prior = np.full(len(TYPES), 1 / len(TYPES))
     weight = 0.02 * n.sum() + 1
     for _ in range(rounds):
-        log = np.log(prior) + sum(np.log(table[k][:, v[:, k]].T) for k in range(v.shape[1]))
+        likely = np.concatenate([np.log(table), np.zeros((*table.shape[:2], 1))], 2)  # silence says nothing
+        log = np.log(prior) + sum(likely[k][:, v[:, k]].T for k in range(v.shape[1]))
         post = np.exp(log - log.max(1, keepdims=True))
         post /= post.sum(1, keepdims=True)
         prior = (post * n[:, None]).sum(0) + 1
         prior /= prior.sum()
         for k in range(v.shape[1]):
-            got = np.stack([(post * n[:, None] * (v[:, k] == c)[:, None]).sum(0) for c in range(len(LETTERS))], 1)
+            got = np.stack([(post * n[:, None] * (v[:, k] == c)[:, None]).sum(0) for c in range(len(TYPES))], 1)
             table[k] = got + weight * start
             table[k] /= table[k].sum(1, keepdims=True)
     return dict(zip(patterns, post, strict=True))
 
 
 def text_statistics(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, STATS..., votes): statistics are null for null and blank texts."""
+    """(doc_id, STATS..., votes): statistics are null for null and blank texts, votes are
+    the characters of a text's lines by vote pattern."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [statistics(t.as_py()) for t in batch.column(1)]
+            rows, cast = [], []
+            for t in batch.column(1):
+                patterns: dict[str, int] = {}
+                rows.append(statistics(t.as_py(), patterns))
+                cast.append(list(patterns.items()) if patterns else None)
             columns = [pa.array([None if r is None else r[k] for r in rows], pa.float64()) for k in range(len(STATS))]
-            cast = pa.array([None if r is None else votes(r) for r in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, cast], ["doc", *STATS, "votes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(cast, pa.map_(pa.string(), pa.int64()))], ["doc", *STATS, "votes"])
 
     fields = ", ".join(f"{s} double" for s in STATS)
-    out = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body")).mapInArrow(run, f"doc {kind}, {fields}, votes string")
+    out = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body")).mapInArrow(run, f"doc {kind}, {fields}, votes map<string,bigint>")
     return out.withColumnRenamed("doc", doc_id)
 
 
-def text_types(stats: DataFrame) -> DataFrame:
-    """Rows of text_statistics with votes, and the posteriors p_prose, p_list, p_table, p_junk.
+def text_types(stats: DataFrame, doc_id: str) -> DataFrame:
+    """(doc_id, p_prose, p_list, p_table, p_junk) of the rows of text_statistics with votes:
+    the posterior types of their characters.
 
-    There are at most len(LETTERS) ** 10 patterns and in practice hundreds, so their
-    counts fit the driver; they come from all documents.
+    There are fewer than 4 ** 10 patterns and in practice hundreds, so their counts fit the
+    driver; they come from all lines of all documents. Documents are told apart by doc_id.
     """
-    counts = {r[0]: r[1] for r in stats.where("votes is not null").groupBy("votes").count().collect()}
-    rows = [(p, *map(float, post)) for p, post in posteriors(counts).items()]
-    found = stats.sparkSession.createDataFrame(rows, "votes string, " + ", ".join(f"p_{t} double" for t in TYPES))
-    return stats.join(found, "votes")
+    lines = stats.where("votes is not null").select(doc_id, F.explode("votes").alias("pattern", "characters"))
+    counts = {r[0]: r[1] for r in lines.groupBy("pattern").agg(F.sum("characters")).collect()}
+    found = {p: [float(x) for x in post] for p, post in posteriors(counts).items()}
+    shared = stats.sparkSession.createDataFrame([(p, *post) for p, post in found.items()], "pattern string, " + ", ".join(f"p_{t} double" for t in TYPES))
+    weighted = [(F.sum(F.col("characters") * F.col(f"p_{t}")) / F.sum("characters")).alias(f"p_{t}") for t in TYPES]
+    return lines.join(F.broadcast(shared), "pattern").groupBy(doc_id).agg(*weighted)  # hundreds of patterns
