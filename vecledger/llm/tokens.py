@@ -8,16 +8,15 @@ found in a bounded table. This keeps the corpus out of any shuffle.
 Joins: the pre-tokenizer never puts a non-space character and a following space into one
 piece and never looks back, so a chunk that ends between the two joins exactly. Where a
 text has no such place for LONG bytes, a chunk ends at a hashed character boundary
-instead; there the pieces around the join are split again over the joined text, from the
-first piece that could see the end of its chunk until the split agrees with that of the
-next chunk, and the tokens in between are encoded anew.
+instead; there the joined text is split again, and between the pieces in which that agrees
+with the split of the chunks alone, the tokens are encoded anew.
 """
 
 from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -83,23 +82,31 @@ def chunk_ends(data: np.ndarray, bounds: np.ndarray, mask: int = MASK, long: int
     return ends, ~np.isin(ends, exact)
 
 
-def join_repaired(left: str, left_ids: list[int], right: str, right_ids: list[int], encode) -> list[int]:
-    """Ids of left + right, where left_ids and right_ids are right for the parts alone."""
-    pieces = [m.span() for m in PIECES.finditer(left)]
-    first = next((a for a, b in pieces if b >= len(left) - 2), 0)
-    tail = left[first:]
-    kept = len(left_ids) - sum(len(encode(left[a:b])) for a, b in pieces if a >= first)
-    starts = {a for a, _ in (m.span() for m in PIECES.finditer(right))} | {len(right)}
-    between: list[int] = []
-    joined = tail + right
-    at = 0
-    for m in PIECES.finditer(joined):
-        between += encode(m.group())
-        at = m.end() - len(tail)
-        if at >= 0 and at in starts:
-            break
-    dropped = sum(len(encode(m.group())) for m in PIECES.finditer(right) if m.end() <= at)
-    return left_ids[:kept] + between + right_ids[dropped:]
+def joined(chunks: list[str], ids_of: Callable[[str], Sequence[int]], encode: Callable[[str], list[int]]) -> Iterator[Sequence[int]]:
+    """Ids of chunks laid end to end, of which the joins may cut pieces, in parts.
+
+    The whole is split into pieces once. Of each chunk the pieces that it has alone and in
+    the whole keep their ids; the pieces around joins are encoded anew, each once, so the
+    cost is linear whatever their length.
+    """
+    whole = [m.span() for m in PIECES.finditer("".join(chunks))]
+    text, number = "".join(chunks), {span: i for i, span in enumerate(whole)}
+    done, at = 0, 0  # pieces of the whole that have ids; characters of earlier chunks
+    for chunk in chunks:
+        alone = [(a + at, b + at) for a, b in (m.span() for m in PIECES.finditer(chunk))]
+        shared = [i for i, span in enumerate(alone) if span in number]
+        if shared and alone[shared[0] : shared[-1] + 1] == whole[number[alone[shared[0]]] : number[alone[shared[-1]]] + 1]:
+            first, last = shared[0], shared[-1]
+            for a, b in whole[done : number[alone[first]]]:
+                yield encode(text[a:b])
+            ids = ids_of(chunk)
+            before = sum(len(encode(text[a:b])) for a, b in alone[:first])
+            after = sum(len(encode(text[a:b])) for a, b in alone[last + 1 :])
+            yield ids[before : len(ids) - after]
+            done = number[alone[last]] + 1
+        at += len(chunk)
+    for a, b in whole[done:]:
+        yield encode(text[a:b])
 
 
 def encode_texts(texts: pa.Array, path: str = VOCABULARY, cache: list[dict] | None = None, mask: int = MASK, long: int = LONG) -> pa.Array:
@@ -116,8 +123,9 @@ def encode_texts(texts: pa.Array, path: str = VOCABULARY, cache: list[dict] | No
     sizes = np.zeros(len(ends), dtype=np.int64)  # ids before each end
     ends_list, i = ends.tolist(), 0
     repair_list = repair.tolist()
-    while i + 1 < len(ends_list):
-        chunk = raw[ends_list[i] : ends_list[i + 1]]
+
+    def ids_of(chunk: bytes) -> array:
+        nonlocal young, old
         ids = young.get(chunk)
         if ids is None:
             ids = old.get(chunk)
@@ -127,23 +135,18 @@ def encode_texts(texts: pa.Array, path: str = VOCABULARY, cache: list[dict] | No
                 young[chunk] = ids
                 if len(young) >= KEPT:
                     young, old = {}, young
+        return ids
+
+    while i + 1 < len(ends_list):
         j = i + 1
-        if repair_list[j]:
-            text, ids = chunk.decode(), list(ids)
+        if not repair_list[j]:
+            flat.extend(ids_of(raw[ends_list[i] : ends_list[j]]))
+        else:
             while repair_list[j]:
-                more = raw[ends_list[j] : ends_list[j + 1]].decode()
-                # what is far to the left cannot change any more
-                keep = max(0, len(text) - LONG)
-                if keep:
-                    spans = [m.span() for m in PIECES.finditer(text)]
-                    cut = next((a for a, _ in spans if a >= keep), 0)
-                    done = sum(len(encode(text[a:b])) for a, b in spans if a < cut)
-                    flat.extend(ids[:done])
-                    text, ids = text[cut:], ids[done:]
-                ids = join_repaired(text, ids, more, encode(more), encode)
-                text += more
                 j += 1
-        flat.extend(ids if isinstance(ids, array) else array("i", ids))
+            chunks = [raw[a:b].decode() for a, b in zip(ends_list[i:j], ends_list[i + 1 : j + 1], strict=True)]
+            for ids in joined(chunks, lambda chunk: ids_of(chunk.encode()), encode):
+                flat.extend(ids if isinstance(ids, array) else array("i", ids))
         sizes[i + 1 : j + 1] = len(flat)
         i = j
     if cache is not None:
