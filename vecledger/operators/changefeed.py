@@ -62,51 +62,68 @@ def effective_writes(entries: DataFrame) -> DataFrame:
     return first.unionByName(w.where(~named).select("gid", "command_index", "op", "key", "value"))
 
 
-def _merged(parts: Column) -> Column:
-    """Fold of an array of struct(pos, has_reset, live, text) in order of pos."""
-    parts = F.array_sort(parts)
-    last = F.array_max(F.transform(F.filter(parts, lambda p: p.has_reset), lambda p: p.pos))
-    return F.filter(parts, lambda p: last.isNull() | (p.pos >= last))
+def _image(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, has_reset, live, text) of the fold of rows (keys, pos, has_reset, live, text) in order of pos.
+
+    What comes before the last reset is left out before anything is sorted."""
+    row = F.struct("pos", "live", "text")
+    grouped = rows.groupBy(*keys).agg(F.collect_list(row).alias("parts"), F.max(F.when(F.col("has_reset"), F.col("pos"))).alias("reset"))
+    kept = grouped.withColumn("parts", F.array_sort(F.filter("parts", lambda p: F.col("reset").isNull() | (p.pos >= F.col("reset")))))
+    return kept.select(
+        *keys, F.col("reset").isNotNull().alias("has_reset"), F.exists("parts", lambda p: p.live).alias("live"), F.array_join(F.transform("parts", lambda p: p.text), "").alias("text"))
 
 
 def segment_images(writes: DataFrame, keys: list[str], position: str) -> DataFrame:
     """(keys, segment, has_reset, live, text) of ordered writes (op, value)."""
-    row = F.struct(F.col(position).alias("pos"), F.col("op").isin(PUT, DELETE).alias("has_reset"), (F.col("op") != DELETE).alias("live"), F.when(F.col("op") != DELETE, F.col("value")).otherwise("").alias("text"))
-    grouped = writes.groupBy(*keys, F.floor(F.col(position) / SEGMENT).cast("bigint").alias("segment")).agg(F.collect_list(row).alias("parts"))
-    return _image(grouped, [*keys, "segment"])
+    rows = writes.select(
+        *keys, F.floor(F.col(position) / SEGMENT).cast("bigint").alias("segment"), F.col(position).alias("pos"), F.col("op").isin(PUT, DELETE).alias("has_reset"),
+        (F.col("op") != DELETE).alias("live"), F.when(F.col("op") != DELETE, F.col("value")).otherwise("").alias("text"))
+    return _image(rows, [*keys, "segment"])
 
 
-def _image(grouped: DataFrame, keys: list[str]) -> DataFrame:
-    return grouped.withColumn("parts", _merged(F.col("parts"))).select(
-        *keys,
-        F.exists("parts", lambda p: p.has_reset).alias("has_reset"),
-        F.exists("parts", lambda p: p.live).alias("live"),
-        F.array_join(F.transform("parts", lambda p: p.text), "").alias("text"),
-    )
+def _wider(images: DataFrame, keys: list[str]) -> DataFrame:
+    """Images of SEGMENT segments each."""
+    rows = images.withColumnRenamed("segment", "pos").withColumn("segment", F.floor(F.col("pos") / SEGMENT).cast("bigint"))
+    return _image(rows, [*keys, "segment"])
+
+
+def folded_state(writes: DataFrame, keys: list[str], position: str, first: int, last: int, base: DataFrame | None = None) -> DataFrame:
+    """current_state in one pass without intermediate tables, for positions from `first` to `last`.
+
+    Segments are folded into wider ones until a key has SEGMENT of them at most."""
+    images = segment_images(writes.withColumn("value", F.coalesce("value", F.lit(""))), keys, position)
+    first, last = first // SEGMENT, last // SEGMENT
+    while last - first >= SEGMENT:
+        images = _wider(images, keys)
+        first, last = first // SEGMENT, last // SEGMENT
+    if base is not None:
+        old = base.select(*keys, F.lit(first - 1).cast("bigint").alias("segment"), F.lit(False).alias("has_reset"), F.lit(True).alias("live"), F.coalesce("value", F.lit("")).alias("text"))
+        images = images.unionByName(old)
+    final = _image(images.withColumnRenamed("segment", "pos"), keys)
+    return final.where("live").select(*keys, F.col("text").alias("value"))
 
 
 def current_state(writes: DataFrame, keys: list[str], position: str, base: DataFrame | None = None, batches: int = 4) -> DataFrame:
     """Current (keys, value) after ordered writes with columns keys, `position`, op, value.
 
     base: the table (keys, value) before the first write; its rows must be unique by key.
-    Positions are unique within a key. Keys that end deleted, or that only had deletes,
-    are absent; an append to a missing key starts from ''. Null values count as ''.
+    Positions are unique within a key and may begin anywhere. Keys that end deleted, or that
+    only had deletes, are absent; an append to a missing key starts from ''. Null values count as ''.
     """
     images = written(segment_images(writes.withColumn("value", F.coalesce("value", F.lit(""))), keys, position))
-    last = images.agg(F.max("segment")).first()[0]
-    while (last or 0) >= batches * SEGMENT:  # so a batch has at most SEGMENT segments of a key
-        row = F.struct(F.col("segment").alias("pos"), "has_reset", "live", "text")
-        wider = images.groupBy(*keys, F.floor(F.col("segment") / SEGMENT).cast("bigint").alias("segment")).agg(F.collect_list(row).alias("parts"))
-        images = written(_image(wider, [*keys, "segment"]))
-        last //= SEGMENT
-    per_batch = max(1, -(-((last or 0) + 1) // batches))
+    first, last = images.agg(F.min("segment"), F.max("segment")).first()
+    first, last = first or 0, last or 0
+    while last - first >= batches * SEGMENT:  # so a batch has at most SEGMENT segments of a key
+        images = written(_wider(images, keys))
+        first, last = first // SEGMENT, last // SEGMENT
+    per_batch = -(-(last - first + 1) // batches)
     resolved, out = None, []
     for b in reversed(range(batches)):
-        part = images.where((F.col("segment") >= b * per_batch) & (F.col("segment") < (b + 1) * per_batch))
+        start = first + b * per_batch
+        part = images.where((F.col("segment") >= start) & (F.col("segment") < start + per_batch))
         if resolved is not None:
             part = part.join(resolved, keys, "left_anti")
-        row = F.struct(F.col("segment").alias("pos"), "has_reset", "live", "text")
-        part = _image(part.groupBy(*keys).agg(F.collect_list(row).alias("parts")), keys)
+        part = _image(part.withColumnRenamed("segment", "pos"), keys)
         part = written(part.withColumn("batch", F.lit(b).cast("bigint")))
         out.append(part)
         done = part.where("has_reset").select(*keys)
@@ -114,11 +131,10 @@ def current_state(writes: DataFrame, keys: list[str], position: str, base: DataF
     whole = out[0]
     for part in out[1:]:
         whole = whole.unionByName(part)
-    row = F.struct(F.col("batch").alias("pos"), "has_reset", "live", "text")
     if base is not None:
         kept = base.select(*keys, F.coalesce("value", F.lit("")).alias("text")).join(resolved, keys, "left_anti")
         whole = whole.unionByName(kept.select(*keys, F.lit(False).alias("has_reset"), F.lit(True).alias("live"), "text", F.lit(-1).cast("bigint").alias("batch")))
-    final = _image(whole.groupBy(*keys).agg(F.collect_list(row).alias("parts")), keys)
+    final = _image(whole.withColumnRenamed("batch", "pos"), keys)
     return final.where("live").select(*keys, F.col("text").alias("value"))
 
 

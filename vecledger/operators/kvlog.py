@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecledger.operators.changefeed import APPEND, PUT, current_state
+from vecledger.operators.changefeed import APPEND, PUT, folded_state
 
 OPS = ("Get", "Put", "Append")
 BLOCK = 1 << 16
@@ -34,9 +34,14 @@ def once(log: DataFrame) -> DataFrame:
 
 def state(log: DataFrame) -> DataFrame:
     """(key, value) after the log: Put replaces, Append extends, a missing key starts at ''."""
+    return _folded(log, None)
+
+
+def _folded(log: DataFrame, base: DataFrame | None) -> DataFrame:
+    first, last = log.agg(F.min("log_index"), F.max("log_index")).first()
     writes = once(log).where(F.col("op").isin("Put", "Append") & F.col("key").isNotNull())
     op = F.when(F.col("op") == "Put", PUT).otherwise(APPEND)
-    return current_state(writes.select("key", "log_index", op.alias("op"), "value"), ["key"], "log_index")
+    return folded_state(writes.select("key", "log_index", op.alias("op"), "value"), ["key"], "log_index", first or 0, last or 0, base)
 
 
 def get(keys: DataFrame, state: DataFrame) -> DataFrame:
@@ -71,9 +76,7 @@ def resumed(state_before: DataFrame, applied: DataFrame, log: DataFrame) -> Data
     """State (key, value) after the part of a log that follows a snapshot."""
     last = applied.select("client_id", F.col("seq_id").alias("__seq"))
     rest = log.join(last, "client_id", "left").where("op = 'Get' or __seq is null or seq_id is null or seq_id > __seq").select(*log.columns)
-    writes = once(rest).where(F.col("op").isin("Put", "Append") & F.col("key").isNotNull())
-    op = F.when(F.col("op") == "Put", PUT).otherwise(APPEND)
-    return current_state(writes.select("key", "log_index", op.alias("op"), "value"), ["key"], "log_index", state_before)
+    return _folded(rest, state_before)
 
 
 def moments(df: DataFrame, group: list[str], value: str) -> DataFrame:

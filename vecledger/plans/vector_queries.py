@@ -44,9 +44,19 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), scaled.alias("values"), "label", (F.col("vec_id") % 100).alias("price"))
 
 
+def values_of(rows: DataFrame, vec_id: int) -> list[float]:
+    return list(rows.where(F.col("id") == vec_id).select("values").first()[0])
+
+
 def point(spark: SparkSession, sf: str, vec_id: int) -> list[float]:
     """The values of one stored point."""
-    return list(points(spark, sf).where(F.col("id") == vec_id).select("values").first()[0])
+    return values_of(points(spark, sf), vec_id)
+
+
+def nearest_to(spark: SparkSession, sf: str, vec_id: int, *args, **more) -> DataFrame:
+    """knn around a stored point; its table is opened once."""
+    rows = points(spark, sf)
+    return shown(knn(rows, values_of(rows, vec_id), *args, **more))
 
 
 P = """p AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: x * (1 + vec_id % 3)) AS v, label, vec_id % 100 AS price FROM embeddings),
@@ -72,17 +82,17 @@ def shown(hits: DataFrame, *more) -> DataFrame:
 
 
 for _name, _metric in (("knn_cosine", COS), ("knn_dot", DOT), ("knn_euclidean", L2), ("knn_manhattan", L1)):
-    query(_name, knn_sql(_metric))(lambda spark, sf, m=_metric: shown(knn(points(spark, sf), point(spark, sf, 1), m)))
+    query(_name, knn_sql(_metric))(lambda spark, sf, m=_metric: nearest_to(spark, sf, 1, m))
 
 
 @query("knn_filtered", knn_sql(COS, 10, "label = 3"))
 def _(spark, sf):
-    return shown(knn(points(spark, sf), point(spark, sf, 1), COS, 10, F.col("label") == 3))
+    return nearest_to(spark, sf, 1, COS, 10, F.col("label") == 3)
 
 
 @query("knn_threshold", knn_sql(COS, 50, after="s >= 0.6"))
 def _(spark, sf):
-    return shown(knn(points(spark, sf), point(spark, sf, 1), COS, 50, threshold=0.6))
+    return nearest_to(spark, sf, 1, COS, 50, threshold=0.6)
 
 
 @query("knn_offset", knn_sql(L2, 10).replace("FROM t WHERE true", "FROM (SELECT *, row_number() OVER (ORDER BY d, id) AS n FROM t) WHERE n > 4"))
