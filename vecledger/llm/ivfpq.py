@@ -34,7 +34,7 @@ from vecledger.sources.tables import written
 EXACT_ROWS, MOST_LISTS, SAMPLE_PER_LIST, ALL_SAMPLES = 4096, 4096, 32, 1 << 18
 CODES, TRAIN_CODES_ROWS, ELEMENTS = 16, 8192, 2
 VISIT, SLACK, ROUNDING, NEAREST, FARTHEST = 1.3, 1.5, 1e-4, 0.5, 1.2
-QUERY_ELEMENTS, REGION_ROWS, LIST_AT_ONCE, QUERIES_AT_ONCE = 1 << 22, 1 << 18, 2048, 256
+QUERY_ELEMENTS, REGION_ROWS, LIST_AT_ONCE, QUERIES_AT_ONCE = 1 << 23, 1 << 18, 2048, 256
 TIGHT = 0.7
 SPARE, KEPT = 3, 64
 FILTER_BITS = 1 << 26
@@ -46,6 +46,15 @@ def unit_rows(values: np.ndarray) -> np.ndarray:
         return np.nan_to_num(values / n).astype(np.float32)
 
 
+def unit_from(small: np.ndarray) -> np.ndarray:
+    """Unit rows from the integers of sixteen; cheaper than unit_rows."""
+    x = small.astype(np.float32)
+    n = np.sqrt(np.einsum("ij,ij->i", x, x))
+    n[n == 0] = 1
+    x /= n[:, None]
+    return x
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int, spherical: bool, rng: np.random.Generator) -> np.ndarray:
     k = min(k, len(x))
     c = x[rng.choice(len(x), k, replace=False)].copy()
@@ -230,7 +239,8 @@ class Block:
         if not self.found:
             return
         row, h, cosine = (np.concatenate(parts) for parts in zip(*self.found, strict=True))
-        order = np.lexsort((h, -cosine, row))
+        # by row, then the greatest cosine, in one number
+        order = np.argsort((row << 32) + ((2 - cosine) * (1 << 29)).astype(np.int64))
         row, h, cosine = row[order], h[order], cosine[order]
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])  # a row repeated in the table
@@ -365,7 +375,7 @@ def candidates(rows: DataFrame, counts: dict[int, int], k: int, wanted: np.ndarr
                     if held is not None:
                         yield from closed()
                     held, block, waiting = key, None, []
-                x = unit_rows(np.frombuffer(raw, np.int16, (offsets[b] - offsets[a]) // 2, offsets[a]).reshape(b - a, -1))
+                x = unit_from(np.frombuffer(raw, np.int16, (offsets[b] - offsets[a]) // 2, offsets[a]).reshape(b - a, -1))
                 if role[a] != ROW:
                     waiting.append((h[a:b], x, at[a:b], np.full(b - a, role[a] == BOTH)))
                     continue
@@ -433,11 +443,11 @@ def nearest(writes: DataFrame, collections: DataFrame, k: int, at_least: float =
     key, c = F.xxhash64("vector_id", "ts_ns", F.xxhash64("vector_values")), F.xxhash64("collection_name")
     live = live_keys(writes, collections).select("vector_id", "collection_name", "content", c.alias("c"), F.xxhash64("vector_id", "ts_ns", "content").alias("k"))
     live = written(live)
-    crowds = written(live.groupBy("collection_name", "content").count().where(F.col("count") > k + 1).select("collection_name", "content"))
-    crowded = not crowds.isEmpty()
+    crowds = live.groupBy("collection_name", "content").count().where(F.col("count") > k + 1).select("collection_name", "content")
+    members = written(live.join(crowds, ["collection_name", "content"]))
+    crowded = not members.isEmpty()
     indexed = live
     if crowded:
-        members = written(live.join(crowds, ["collection_name", "content"]))
         kept = written(top_n(members.select("collection_name", "content", "vector_id", "k"), ["collection_name", "content"], [("vector_id", "ascending")], k + 1))
         surplus = written(members.join(kept.select("vector_id"), "vector_id", "left_anti"))
         indexed = written(live.join(surplus.select("vector_id"), "vector_id", "left_anti"))
