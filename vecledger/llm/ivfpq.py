@@ -468,7 +468,8 @@ def nearest(writes: DataFrame, collections: DataFrame, k: int, at_least: float =
         sent = writes.sparkSession.sparkContext.broadcast(bit_table(asking.select("k")))
         keys_asked = lambda h: in_table(sent.value, h)
     pairs = written(candidates(rows, counts, k, wanted, keys_asked, at_least).select("me", "other"))
-    some = versions.where(bit_filter(pairs.select(F.explode(F.array("me", "other"))))(F.col("k"))).dropDuplicates(["k"])
+    # repeated rows give repeated pairs, which are dropped without their vectors
+    some = versions.where(bit_filter(pairs.select(F.explode(F.array("me", "other"))))(F.col("k")))
     held = written(some.join(indexed.select("k", "vector_id", "collection_name"), "k").select("k", "vector_id", "collection_name", "vector_values", norm(F.col("vector_values")).alias("norm")))
     mine = held.select(F.col("k").alias("me"), "collection_name", F.col("vector_id").alias("a"), F.col("vector_values").alias("va"), F.col("norm").alias("na"))
     theirs = held.select(F.col("k").alias("other"), F.col("vector_id").alias("b"), F.col("vector_values").alias("vb"), F.col("norm").alias("nb"))
