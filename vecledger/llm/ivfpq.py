@@ -396,9 +396,9 @@ def candidates(rows: DataFrame, counts: dict[int, int], k: int, wanted: np.ndarr
 def bit_table(hashes: DataFrame) -> np.ndarray:
     """The bits, by value mod FILTER_BITS, of all values of `hashes` (one column)."""
     bits = hashes.toDF("h").where("h is not null").select(F.pmod(F.col("h"), F.lit(FILTER_BITS)).alias("bit"))
-    found = bits.groupBy(F.expr("cast(shiftright(bit, 5) as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 as int)))").alias("bits")).toPandas()
+    found = bits.groupBy(F.expr("cast(shiftright(bit, 5) as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 as int)))").alias("bits")).toArrow()
     table = np.zeros(FILTER_BITS // 32, np.uint32)
-    table[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
     return table
 
 
