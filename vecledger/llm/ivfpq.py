@@ -37,7 +37,7 @@ VISIT, SLACK, ROUNDING, NEAREST, FARTHEST = 1.3, 1.5, 1e-4, 0.5, 1.2
 QUERY_ELEMENTS, REGION_ROWS, LIST_AT_ONCE, QUERIES_AT_ONCE = 1 << 23, 1 << 18, 2048, 256
 TIGHT = 0.7
 SPARE, KEPT = 3, 64
-FILTER_BITS = 1 << 26
+FILTER_BITS, BROADCAST_KEYS = 1 << 26, 1 << 20
 
 
 def unit_rows(values: np.ndarray) -> np.ndarray:
@@ -454,7 +454,7 @@ def nearest(writes: DataFrame, collections: DataFrame, k: int, at_least: float =
     counts = {r[0]: r[1] for r in indexed.groupBy("c").count().collect()}
     dims = collections.groupBy("collection_name").agg(F.max("dimension").alias("dimension"))
     versions = writes.where("vector_id is not null and deleted = false").join(dims, "collection_name").where(F.size("vector_values") == F.col("dimension"))
-    versions = versions.select(c.alias("c"), key.alias("k"), "vector_values")
+    versions = versions.select(c.alias("c"), key.alias("k"), "vector_values", "vector_id", "collection_name")
     exact = sum(counts.values()) > FILTER_BITS // 4  # the bits would let too many pass
     rows = versions.join(indexed.select("k"), "k", "left_semi") if exact else versions
     wanted = None if exact else bit_table(indexed.select("k"))
@@ -468,9 +468,14 @@ def nearest(writes: DataFrame, collections: DataFrame, k: int, at_least: float =
         sent = writes.sparkSession.sparkContext.broadcast(bit_table(asking.select("k")))
         keys_asked = lambda h: in_table(sent.value, h)
     pairs = written(candidates(rows, counts, k, wanted, keys_asked, at_least).select("me", "other"))
+    keys = pairs.select(F.explode(F.array("me", "other")).alias("k")).distinct().join(indexed.select("k"), "k", "left_semi")
     # repeated rows give repeated pairs, which are dropped without their vectors
-    some = versions.where(bit_filter(pairs.select(F.explode(F.array("me", "other"))))(F.col("k")))
-    held = written(some.join(indexed.select("k", "vector_id", "collection_name"), "k").select("k", "vector_id", "collection_name", "vector_values", norm(F.col("vector_values")).alias("norm")))
+    if 2 * pairs.count() <= BROADCAST_KEYS:
+        some = versions.join(F.broadcast(keys), "k", "left_semi")
+    else:
+        keys = written(keys)
+        some = versions.where(bit_filter(keys)(F.col("k"))).join(keys, "k", "left_semi")
+    held = written(some.select("k", "vector_id", "collection_name", "vector_values", norm(F.col("vector_values")).alias("norm")))
     mine = held.select(F.col("k").alias("me"), "collection_name", F.col("vector_id").alias("a"), F.col("vector_values").alias("va"), F.col("norm").alias("na"))
     theirs = held.select(F.col("k").alias("other"), F.col("vector_id").alias("b"), F.col("vector_values").alias("vb"), F.col("norm").alias("nb"))
     cosine = dot_product(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb"))
