@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from vecledger.llm import ivfpq, pivots
@@ -305,3 +307,45 @@ def test_nearest_of_isolated_rows(spark):
     assert set(got) == set(want) and all(abs(s[k[0], got[k]] - s[k[0], want[k]]) <= 1e-6 for k in near_ties) and len(near_ties) < 6
     some = {(int(r["me"]), r["rank"]): int(r["other"]) for r in ivfpq.nearest(writes, collections, 4, asks=lambda v: v.endswith("1")).collect()}
     assert some == {k: v for k, v in got.items() if k[0] % 10 == 1}
+
+
+def test_blocks_of_visitors_stay_bounded(monkeypatch):
+    """A region with many more visitors than rows: blocks are bounded, also when the rows lie in a file, and all are answered."""
+    rng = np.random.default_rng(8)
+    x = ivfpq.unit_rows(rng.normal(size=(5400, 8)))
+    x[1] = x[0]
+    h, role = np.arange(len(x)), np.where(np.arange(len(x)) < 400, ivfpq.BOTH, ivfpq.QUERY)
+    h[1] = 0  # repeated in the table
+    small = [pa.array(np.zeros(len(x), np.int32)) for _ in range(2)]
+    columns = [pa.array(np.full(len(x), 5)), *small, pa.array(role.astype(np.int32)), small[0], pa.array(h), pa.array([v.tobytes() for v in ivfpq.sixteen(x)], pa.binary())]
+    shipped = pa.RecordBatch.from_arrays(columns, schema=ivfpq.SHIPPED)
+    sizes, made = [], ivfpq.Block.__init__
+    monkeypatch.setattr(ivfpq.Block, "__init__", lambda self, model, region, k, h, *rest: (sizes.append(len(h)), made(self, model, region, k, h, *rest))[1])
+    monkeypatch.setattr(ivfpq, "BLOCK_ELEMENTS", 8 * 200)
+    answers = []
+    for most in (1 << 25, 100):
+        monkeypatch.setattr(ivfpq, "HELD_ELEMENTS", most)
+        found = {}
+        for batch in ivfpq.searched(iter([shipped.slice(s, 300) for s in range(0, len(x), 300)]), {}, 5, -1.0):
+            for _, me, other, near in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                found.setdefault(me, []).append((-near, other))
+        answers.append({me: [o for _, o in sorted(of)[:5]] for me, of in found.items()})
+    assert max(sizes) <= 300 + 200
+    assert answers[0] == answers[1] and set(range(2, 400)) <= set(answers[0])
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    s[:, 1] = -2
+    assert np.mean([answers[0][i] == np.argsort(-s[i, :400])[:5].tolist() for i in range(2, 400)]) >= 0.99
+    # visitors are bounded by each other: they find what is among the nearest of all
+    near = [(i, o) for i in range(400, len(x)) for o in np.argsort(-s[i])[:5].tolist() if o < 400]
+    assert len(near) > 1000 and np.mean([o in answers[0].get(i, []) for i, o in near]) >= 0.99
+
+
+def test_fit_is_bounded():
+    """The products of a sample with its centroids are never held at once."""
+    x = np.random.default_rng(4).normal(size=(16000, 8)).astype(np.float32)
+    tracemalloc.start()
+    model = ivfpq.fit(x, 4_000_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model["c"]) == 1000 and peak < 16000 * 1000 * 4

@@ -3,10 +3,10 @@
 Fitting, on a bounded sample of each collection: spherical k-means centroids of lists, lists
 grouped into regions, and per subspace a codebook of residuals. Indexing covers every live
 row: it goes to the region of its nearest centroid, and as a visitor to other regions with
-lists that its neighbours may have as home. A region's rows are shared out to blocks of
-queries; each block sees all rows of the region, one list after the other. Of each list it
-probes with those queries whose neighbours may lie there: asymmetric distance tables of
-the query and the codes estimate the cosines, rows that may be among the k nearest so far
+lists that its neighbours may have as home. A region's queries are shared out to tasks, which
+hold all rows of the region in 16 bits, by list, and take bounded blocks of queries, visitors
+too. A block probes each list with those queries whose neighbours may lie there: asymmetric
+distance tables of the query and the codes estimate the cosines, rows that may be among the k nearest so far
 are reranked by 16-bit vectors, and a bounded number of the best stays with each query.
 What leaves the regions is at most KEPT rows a query, compared in DOUBLE on the stored values.
 
@@ -17,6 +17,7 @@ q within distance D of x, q.e = x.e + (q-x).e, where (q-x).e is about D|e|/sqrt(
 from __future__ import annotations
 
 import pickle
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,6 +36,7 @@ EXACT_ROWS, MOST_LISTS, SAMPLE_PER_LIST, ALL_SAMPLES = 4096, 4096, 32, 1 << 18
 CODES, TRAIN_CODES_ROWS, ELEMENTS = 16, 8192, 2
 VISIT, SLACK, ROUNDING, NEAREST, FARTHEST = 1.3, 1.5, 1e-4, 0.5, 1.2
 QUERY_ELEMENTS, REGION_ROWS, LIST_AT_ONCE, QUERIES_AT_ONCE = 1 << 23, 1 << 18, 2048, 256
+BLOCK_ELEMENTS, HELD_ELEMENTS, SCORES_AT_ONCE = 1 << 21, 1 << 25, 1 << 22
 TIGHT = 0.7
 SPARE, KEPT = 3, 64
 FILTER_BITS, BROADCAST_KEYS = 1 << 26, 1 << 20
@@ -55,14 +57,20 @@ def unit_from(small: np.ndarray) -> np.ndarray:
     return x
 
 
+def closest(x: np.ndarray, c: np.ndarray, spherical: bool = True) -> np.ndarray:
+    """The row of c closest to each of x, SCORES_AT_ONCE products at a time."""
+    at, step = np.empty(len(x), np.int64), max(1, SCORES_AT_ONCE // len(c))
+    half = 0 if spherical else 0.5 * (c * c).sum(1)
+    for s in range(0, len(x), step):
+        at[s : s + step] = (x[s : s + step] @ c.T - half).argmax(1)
+    return at
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int, spherical: bool, rng: np.random.Generator) -> np.ndarray:
     k = min(k, len(x))
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        score = x @ c.T
-        if not spherical:
-            score -= 0.5 * (c * c).sum(1)
-        at = score.argmax(1)
+        at = closest(x, c, spherical)
         n = np.bincount(at, minlength=k)
         order = np.argsort(at, kind="stable")
         filled = np.flatnonzero(n)
@@ -85,13 +93,13 @@ def fit(values: np.ndarray, rows: int) -> dict:
     x = unit_rows(values)
     # lists grow with the root of the rows
     c = kmeans(x, int(np.clip(round(rows**0.5 / 2), 1, MOST_LISTS)), 6, True, rng)
-    home = (x @ c.T).argmax(1)
+    home = closest(x, c)
     part = rng.permutation(len(x))[:TRAIN_CODES_ROWS]
     res = (x - c[home])[part]
     books = np.stack([kmeans(r, min(CODES, len(res)), 5, False, rng) for r in split(res)])
     share = np.bincount(home, minlength=len(c)) / len(x) * rows
     many = -(-rows // REGION_ROWS)
-    region = (c @ kmeans(c, many, 4, True, rng).T).argmax(1) if many > 1 else np.zeros(len(c), int)
+    region = closest(c, kmeans(c, many, 4, True, rng)) if many > 1 else np.zeros(len(c), int)
     blocks = np.maximum(1, np.ceil(np.bincount(region, weights=share, minlength=region.max() + 1) * x.shape[1] / QUERY_ELEMENTS)).astype(int)
     return {"c": c, "books": books, "region": region, "blocks": blocks, "far": np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)).astype(np.float32)}
 
@@ -126,12 +134,85 @@ def whole(dim: int) -> dict:
     return {"c": np.zeros((1, dim), np.float32), "books": None, "region": np.zeros(1, int), "blocks": np.ones(1, int), "far": np.zeros((1, 1), np.float32)}
 
 
-def reached(model: dict, x: np.ndarray, distance: np.ndarray) -> np.ndarray:
-    """Which lists (columns) a row's neighbours at `distance` may have as home."""
-    sims = x @ model["c"].T
-    home = sims.argmax(1)
-    gap = sims[np.arange(len(x)), home][:, None] - sims
-    return gap <= (VISIT * np.maximum(distance, NEAREST) / np.sqrt(x.shape[1]))[:, None] * model["far"][home]
+def true_places(test: np.ndarray) -> np.ndarray:
+    """np.flatnonzero of booleans that are rarely true, eight at a time."""
+    flat = test.ravel()
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    eight = np.flatnonzero(flat.view(np.uint64) != 0)
+    at = np.flatnonzero(flat.reshape(-1, 8)[eight].ravel())
+    return eight[at >> 3] * 8 + (at & 7)
+
+
+def reached(model: dict, x: np.ndarray, home: np.ndarray, lists: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Which of `lists` (columns) a row's neighbours at `distance` may have as home."""
+    c = model["c"]
+    gap = np.einsum("ij,ij->i", x, c[home])[:, None] - x @ c[lists].T
+    wide = VISIT * np.maximum(distance, NEAREST) / np.sqrt(x.shape[1])
+    return (gap <= wide[:, None] * model["far"][:, lists][home]) | (lists == home[:, None])
+
+
+class Rows:
+    """The rows of a region by list, in 16 bits; those of a region beyond HELD_ELEMENTS lie in a file."""
+
+    def __init__(self, model: dict, region: int):
+        self.model, self.region = model, region
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.bodies: list[np.ndarray] = []
+        self.size, self.file = 0, None
+        self.coded: dict[int, tuple] = {}
+
+    def add(self, at: np.ndarray, h: np.ndarray, asked: np.ndarray, body: np.ndarray) -> None:
+        """Rows in the order of their lists."""
+        self.parts.append((at.copy(), h.copy(), asked))
+        self.size += body.size
+        self.dim = body.shape[1]
+        if self.file is None and self.size > HELD_ELEMENTS:
+            self.file = tempfile.TemporaryFile()
+            for held in self.bodies:
+                self.file.write(held.tobytes())
+            self.bodies = []
+        if self.file is None:
+            self.bodies.append(body.copy())
+        else:
+            self.file.write(body.tobytes())
+
+    def close(self) -> None:
+        at, h, asked = (np.concatenate(v) for v in zip(*self.parts, strict=True))
+        if self.file is None:
+            self.body = np.concatenate(self.bodies)
+        else:
+            self.file.flush()
+            self.body = np.memmap(self.file, np.int16, "r", shape=(len(h), self.dim))
+        self.parts, self.bodies = [], []
+        self.place = np.sort(np.unique(h, return_index=True)[1])  # a row may be repeated in the table
+        self.at, self.h, self.asked = at[self.place], h[self.place], asked[self.place]
+        self.lists, first = np.unique(self.at, return_index=True)
+        self.bounds = dict(zip(self.lists.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(self.h)], strict=True), strict=True))
+
+    def chunks(self, at: int) -> Iterator[tuple[int, int]]:
+        """From where to where the rows of list `at` lie, at most LIST_AT_ONCE each."""
+        a, b = self.bounds[at]
+        for s in range(a, b, LIST_AT_ONCE):
+            yield s, min(b, s + LIST_AT_ONCE)
+
+    def vectors(self, some: np.ndarray | slice) -> np.ndarray:
+        return unit_from(self.body[self.place[some]])
+
+    def codes(self, first: int, c: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """encoded() of a chunk whose first key is `first`, kept if the rows are."""
+        made = self.coded.get(first) or encoded(self.model, c, x)
+        if self.file is None:
+            self.coded[first] = made
+        return made
+
+
+def encoded(model: dict, c: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the rows' residuals from c, products of the rows with their errors, spread of the errors."""
+    books, res = model["books"], split(x - c)
+    codes = (res @ books.transpose(0, 2, 1) - 0.5 * (books * books).sum(2)[:, None, :]).argmax(2).astype(np.uint8)
+    e = res - books[np.arange(len(books))[:, None], codes]
+    return codes, np.einsum("mni,mni->n", split(x), e), (SLACK / np.sqrt(x.shape[1])) * np.sqrt(np.einsum("mni,mni->n", e, e))
 
 
 class Block:
@@ -141,7 +222,7 @@ class Block:
         self.model, self.k = model, k
         order = np.argsort(home, kind="stable")
         self.h, self.x, self.home = h[order], x[order], home[order]
-        self.lists = np.flatnonzero(model["region"] == region)
+        lists = np.flatnonzero(model["region"] == region)
         n, dim = x.shape
         self.worst = np.full(n, -1.0, np.float32)  # the k-th best cosine so far
         edges = np.flatnonzero(np.diff(self.home)) + 1
@@ -158,15 +239,23 @@ class Block:
         probe: dict[int, list[np.ndarray]] = {}
         for s in range(0, n, 4096):
             distance = np.sqrt(np.maximum(0, 2 - 2 * self.worst[s : s + 4096]))
-            at, row = np.nonzero(reached(model, self.x[s : s + 4096], np.minimum(distance, FARTHEST))[:, self.lists].T)
+            at, row = np.nonzero(reached(model, self.x[s : s + 4096], self.home[s : s + 4096], lists, np.minimum(distance, FARTHEST)).T)
             for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at)) + 1):
                 if len(part):
-                    probe.setdefault(int(self.lists[at[part[0]]]), []).append(row[part] + s)
+                    probe.setdefault(int(lists[at[part[0]]]), []).append(row[part] + s)
         self.probe = {at: np.concatenate(rows) for at, rows in probe.items()}
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.waiting = 0
         self.tables()
 
+    def search(self, rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """result() after all of the region's rows."""
+        for at in rows.lists.tolist():
+            if at in self.probe:
+                for a, b in rows.chunks(at):
+                    self.show(at, rows.h[a:b], rows.vectors(slice(a, b)), rows)
+        return self.result()
+
     def tables(self) -> None:
         """Asymmetric distance tables of the queries that have close neighbours, in 16 bits of
         one scale: (codes of all subspaces, queries)."""
@@ -183,30 +272,31 @@ class Block:
             q = split(self.x[tight[s : s + 4096]])
             self.table[:, :, s : s + 4096] = (books @ q.transpose(0, 2, 1) + self.high[:, None, None]) * self.scale + 0.5
 
-    def show(self, at: int, h: np.ndarray, x: np.ndarray) -> None:
-        """Rows of list `at`, at most LIST_AT_ONCE."""
+    def show(self, at: int, h: np.ndarray, x: np.ndarray, rows: Rows | None = None) -> None:
+        """Rows of list `at`, at most LIST_AT_ONCE; `rows` keeps their codes."""
         mine = self.probe.get(at)
         if mine is None or not len(h):
             return
         tight = self.place[mine] >= 0
         if tight.any():
-            self.look_up(self.model["c"][at], mine[tight], h, x)
+            c = self.model["c"][at]
+            codes = encoded(self.model, c, x) if rows is None else rows.codes(int(h[0]), c, x)
+            self.look_up(c, mine[tight], h, x, *codes)
         # neighbours of the others are far: the error of the codes would let too many rows pass
-        far = mine[~tight]
+        far, scores, test = mine[~tight], np.empty(0, np.float32), np.empty(0, bool)
         for s in range(0, len(far), QUERIES_AT_ONCE):
             part = far[s : s + QUERIES_AT_ONCE]
-            sims = x @ self.x[part].T
-            hits = np.flatnonzero((sims >= self.worst[part]).ravel())
+            n = len(x) * len(part)
+            if len(scores) < n:  # used again, as new memory costs more than the comparison
+                scores, test = np.empty(n, np.float32), np.empty(n, bool)
+            sims = np.matmul(x, self.x[part].T, out=scores[:n].reshape(len(x), -1))
+            hits = true_places(np.greater_equal(sims, self.worst[part], out=test[:n].reshape(sims.shape)))
             r, i = np.divmod(hits, len(part))
-            self.keep(part[i], h[r], sims.ravel()[hits])
+            self.keep(part[i], h[r], scores[hits])
         if self.waiting > 8 * len(self.x):
             self.compact()
 
-    def look_up(self, c: np.ndarray, mine: np.ndarray, h: np.ndarray, x: np.ndarray) -> None:
-        books, res = self.model["books"], split(x - c)
-        codes = (res @ books.transpose(0, 2, 1) - 0.5 * (books * books).sum(2)[:, None, :]).argmax(2)
-        e = res - books[np.arange(len(books))[:, None], codes]
-        xe, spread = np.einsum("mni,mni->n", split(x), e), (SLACK / np.sqrt(x.shape[1])) * np.sqrt(np.einsum("mni,mni->n", e, e))
+    def look_up(self, c: np.ndarray, mine: np.ndarray, h: np.ndarray, x: np.ndarray, codes: np.ndarray, xe: np.ndarray, spread: np.ndarray) -> None:
         for s in range(0, len(mine), QUERIES_AT_ONCE):
             part = mine[s : s + QUERIES_AT_ONCE]
             q, worst = self.x[part], self.worst[part]
@@ -220,7 +310,7 @@ class Block:
                 np.take(t, code, axis=0, out=buffer, mode="clip")
                 estimate += buffer
             least = (worst - q @ c + self.high.sum() + 1) * self.scale - 4  # what rounding may lose
-            hits = np.flatnonzero((estimate >= np.clip(least, 0, 65535).astype(np.uint16)).ravel())
+            hits = true_places(estimate >= np.clip(least, 0, 65535).astype(np.uint16))
             if not len(hits):
                 continue
             r, i = np.divmod(hits, len(part))
@@ -277,6 +367,66 @@ def sixteen(x: np.ndarray) -> np.ndarray:
     return np.round(x / scale).astype(np.int16)
 
 
+def searched(batches: Iterator[pa.RecordBatch], models: dict[int, dict], k: int, at_least: float) -> Iterator[pa.RecordBatch]:
+    """FOUND rows of SHIPPED rows, which come by region and block: its rows by list, then the visitors."""
+    held, rows, waiting = None, None, []
+
+    def answered(h: np.ndarray, x: np.ndarray, home: np.ndarray) -> Iterator[pa.RecordBatch]:
+        me, other, near = Block(rows.model, rows.region, k, h, x, home).search(rows)
+        some = near >= at_least - ROUNDING
+        if some.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), held[0])), pa.array(me[some]), pa.array(other[some]), pa.array(near[some])], schema=FOUND)
+
+    def complete() -> Iterator[pa.RecordBatch]:
+        """All rows are there: answers its own queries."""
+        rows.close()
+        own, most = np.flatnonzero(rows.asked), max(1, BLOCK_ELEMENTS // rows.dim)
+        for s in range(0, len(own), most):
+            some = own[s : s + most]
+            yield from answered(rows.h[some], rows.vectors(some), rows.at[some])
+
+    def visited() -> Iterator[pa.RecordBatch]:
+        nonlocal waiting
+        if waiting:
+            h, x, home = (np.concatenate(parts) for parts in zip(*waiting, strict=True))
+            waiting = []
+            first = np.unique(h, return_index=True)[1]
+            yield from answered(h[first], x[first], home[first])
+
+    def closed() -> Iterator[pa.RecordBatch]:
+        if rows is not None and rows.parts:
+            yield from complete()
+        yield from visited()
+
+    for batch in batches:
+        c, region, number, role, at, h = (batch.column(i).to_numpy() for i in range(6))
+        offsets = np.frombuffer(batch.column(6).buffers()[1], np.int32)[batch.column(6).offset :]
+        raw = batch.column(6).buffers()[2]
+        visit = role == QUERY
+        edges = np.flatnonzero((c[1:] != c[:-1]) | (region[1:] != region[:-1]) | (number[1:] != number[:-1]) | (visit[1:] != visit[:-1])) + 1
+        for a, b in zip([0, *edges], [*edges, len(h)], strict=True):
+            if a == b:
+                continue
+            key = (int(c[a]), int(region[a]), int(number[a]))
+            body = np.frombuffer(raw, np.int16, (offsets[b] - offsets[a]) // 2, offsets[a]).reshape(b - a, -1)
+            if key != held:
+                if held is not None:
+                    yield from closed()
+                held, rows = key, None
+            if not visit[a]:
+                if rows is None:
+                    rows = Rows(models.get(key[0]) or whole(body.shape[1]), key[1])
+                rows.add(at[a:b], h[a:b], role[a:b] == BOTH, body)
+            elif rows is not None:  # else no row lies in the region
+                if rows.parts:
+                    yield from complete()
+                waiting.append((h[a:b], unit_from(body), at[a:b]))
+                if sum(len(w[0]) for w in waiting) * rows.dim >= BLOCK_ELEMENTS:
+                    yield from visited()
+    if held is not None:
+        yield from closed()
+
+
 def candidates(rows: DataFrame, counts: dict[int, int], k: int, wanted: np.ndarray | None, asks: Callable[[np.ndarray], np.ndarray] | None = None, at_least: float = -1.0) -> DataFrame:
     """(c, me, other, near): of every row at most KEPT others a region, which the index holds for the k nearest.
 
@@ -300,8 +450,9 @@ def candidates(rows: DataFrame, counts: dict[int, int], k: int, wanted: np.ndarr
                 if model["c"].shape[1] != dim:
                     continue
                 mine = np.flatnonzero(live & (c == name) & (size == dim))
-                for s in range(0, len(mine), 2048):
-                    part = mine[s : s + 2048]
+                step = int(np.clip((1 << 23) // (dim * model["blocks"].max()), 16, 2048))
+                for s in range(0, len(mine), step):
+                    part = mine[s : s + step]
                     yield from given(model, name, h[part], unit_rows(flat[starts[part][:, None] + np.arange(dim)]))
 
     def given(model: dict, c: int, h: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -319,7 +470,7 @@ def candidates(rows: DataFrame, counts: dict[int, int], k: int, wanted: np.ndarr
         if len(blocks) > 1:  # visits of other regions, by a guess of the distance of neighbours
             some = np.flatnonzero(asked)
             guess = 1.2 * np.linalg.norm(x[some] - model["c"][home[some]], axis=1)
-            row, at = np.nonzero(reached(model, x[some], guess))
+            row, at = np.nonzero(reached(model, x[some], home[some], np.arange(len(model["c"])), guess))
             visits = np.unique(np.column_stack([some[row], model["region"][at]]), axis=0)
             r, to = visits[visits[:, 1] != region[visits[:, 0]]].T
             yield packed(c, to, (mark[r] % blocks[to].astype(np.uint64)).astype(int), np.full(len(r), QUERY), home[r], h[r], body[r])
@@ -331,66 +482,10 @@ def candidates(rows: DataFrame, counts: dict[int, int], k: int, wanted: np.ndarr
         small = [pa.array(v.astype(np.int32)) for v in (region, block, role, at)]
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, c)), *small, pa.array(h), raw], schema=SHIPPED)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, block, waiting = None, None, []
-
-        def built() -> Block | None:
-            if not waiting:
-                return None
-            h, x, home, both = (np.concatenate(parts) for parts in zip(*waiting, strict=True))
-            h, first = np.unique(h, return_index=True)
-            made = Block(shared.value.get(held[0]) or whole(x.shape[1]), held[1], k, h, x[first], home[first])
-            mine = first[both[first]]
-            mine = mine[np.argsort(home[mine], kind="stable")]
-            ids = dict(zip(first.tolist(), h.tolist(), strict=True))
-            mine_h = np.array([ids[i] for i in mine.tolist()], np.int64)
-            for part in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(home[mine])) + 1):
-                for s in range(0, len(part), LIST_AT_ONCE):
-                    some = part[s : s + LIST_AT_ONCE]
-                    made.show(int(home[mine[some[0]]]), mine_h[some], x[mine[some]])
-            return made
-
-        def closed() -> Iterator[pa.RecordBatch]:
-            nonlocal block
-            if block is None:
-                block = built()
-            if block is None:
-                return
-            me, other, near = block.result()
-            some = near >= at_least - ROUNDING
-            if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), held[0])), pa.array(me[some]), pa.array(other[some]), pa.array(near[some])], schema=FOUND)
-
-        for batch in batches:
-            c, region, number, role, at, h = (batch.column(i).to_numpy() for i in range(6))
-            offsets = np.frombuffer(batch.column(6).buffers()[1], np.int32)[batch.column(6).offset :]
-            raw = batch.column(6).buffers()[2]
-            change = (c[1:] != c[:-1]) | (region[1:] != region[:-1]) | (number[1:] != number[:-1]) | (role[1:] != role[:-1]) | ((role[1:] == ROW) & (at[1:] != at[:-1]))
-            edges = np.flatnonzero(change) + 1
-            for a, b in zip([0, *edges], [*edges, len(h)], strict=True):
-                if a == b:
-                    continue
-                key = (int(c[a]), int(region[a]), int(number[a]))
-                if key != held:
-                    if held is not None:
-                        yield from closed()
-                    held, block, waiting = key, None, []
-                x = unit_from(np.frombuffer(raw, np.int16, (offsets[b] - offsets[a]) // 2, offsets[a]).reshape(b - a, -1))
-                if role[a] != ROW:
-                    waiting.append((h[a:b], x, at[a:b], np.full(b - a, role[a] == BOTH)))
-                    continue
-                if waiting:
-                    block, waiting = built(), []
-                if block is not None:
-                    for s in range(0, b - a, LIST_AT_ONCE):
-                        block.show(int(at[a]), h[a:b][s : s + LIST_AT_ONCE], x[s : s + LIST_AT_ONCE])
-        if held is not None:
-            yield from closed()
-
     places = ["c", "region", "block"]
     parts = rows.select("c", "k", "vector_values").mapInArrow(index, SHIPPED_DDL)
     tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number, so that heavy blocks are not put together
-    return parts.repartition(tasks, *places).sortWithinPartitions(*places, "role", "list").mapInArrow(search, "c bigint, me bigint, other bigint, near float")
+    return parts.repartition(tasks, *places).sortWithinPartitions(*places, F.col("role") == QUERY, "list").mapInArrow(lambda batches: searched(batches, shared.value, k, at_least), "c bigint, me bigint, other bigint, near float")
 
 
 def bit_table(hashes: DataFrame) -> np.ndarray:
