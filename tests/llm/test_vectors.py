@@ -349,3 +349,14 @@ def test_fit_is_bounded():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(model["c"]) == 1000 and peak < 16000 * 1000 * 4
+
+
+def test_pairs_are_compared_once(spark, monkeypatch):
+    """A pair that one of the two has found counts for both."""
+    x = np.random.default_rng(2).normal(size=(12, 8))
+    writes = spark.createDataFrame([("c", f"{n:02d}", v.tolist(), 5, False, "x", 1) for n, v in enumerate(x)], WRITES)
+    collections = spark.createDataFrame([("c", 8)], "collection_name string, dimension int")
+    every = ivfpq.candidates
+    monkeypatch.setattr(ivfpq, "candidates", lambda *a: every(*a).where("me < other"))
+    got = ivfpq.nearest(writes, collections, 11).collect()
+    assert len({(r["me"], r["other"]) for r in got}) == len(got) == 12 * 11

@@ -538,7 +538,7 @@ def nearest(writes: DataFrame, collections: DataFrame, k: int, at_least: float =
     key, c = F.xxhash64("vector_id", "ts_ns", F.xxhash64("vector_values")), F.xxhash64("collection_name")
     live = live_keys(writes, collections).select("vector_id", "collection_name", "content", c.alias("c"), F.xxhash64("vector_id", "ts_ns", "content").alias("k"))
     live = written(live)
-    crowds = live.groupBy("collection_name", "content").count().where(F.col("count") > k + 1).select("collection_name", "content")
+    crowds = written(live.groupBy("collection_name", "content").count().where(F.col("count") > k + 1).select("collection_name", "content"))  # mostly few
     members = written(live.join(crowds, ["collection_name", "content"]))
     crowded = not members.isEmpty()
     indexed = live
@@ -562,7 +562,9 @@ def nearest(writes: DataFrame, collections: DataFrame, k: int, at_least: float =
             asking = asking.select("k").unionByName(indexed.join(stand.select("vector_id"), "vector_id", "left_semi").select("k"))
         sent = writes.sparkSession.sparkContext.broadcast(bit_table(asking.select("k")))
         keys_asked = lambda h: in_table(sent.value, h)
-    pairs = written(candidates(rows, counts, k, wanted, keys_asked, at_least).select("me", "other"))
+    # a pair is compared once, whichever of the two has found it
+    found = candidates(rows, counts, k, wanted, keys_asked, at_least)
+    pairs = written(found.select(F.least("me", "other").alias("me"), F.greatest("me", "other").alias("other")).distinct())
     keys = pairs.select(F.explode(F.array("me", "other")).alias("k")).distinct().join(indexed.select("k"), "k", "left_semi")
     # repeated rows give repeated pairs, which are dropped without their vectors
     if 2 * pairs.count() <= BROADCAST_KEYS:
@@ -574,7 +576,8 @@ def nearest(writes: DataFrame, collections: DataFrame, k: int, at_least: float =
     mine = held.select(F.col("k").alias("me"), "collection_name", F.col("vector_id").alias("a"), F.col("vector_values").alias("va"), F.col("norm").alias("na"))
     theirs = held.select(F.col("k").alias("other"), F.col("vector_id").alias("b"), F.col("vector_values").alias("vb"), F.col("norm").alias("nb"))
     cosine = dot_product(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb"))
-    scored = written(pairs.join(mine, "me").join(theirs, "other").select("collection_name", F.col("a").alias("me"), F.col("b").alias("other"), cosine.alias("cosine")).dropDuplicates(["me", "other"]))
+    compared = written(pairs.join(mine, "me").join(theirs, "other").select("collection_name", F.col("a").alias("me"), F.col("b").alias("other"), cosine.alias("cosine")).dropDuplicates(["me", "other"]))
+    scored = compared.unionByName(compared.select("collection_name", F.col("other").alias("me"), F.col("me").alias("other"), "cosine"))
     order = [F.round("cosine", 6).desc(), F.col("other")]
     ranked = lambda found: found.withColumn("rank", F.row_number().over(Window.partitionBy("me").orderBy(*order))).where((F.col("rank") <= k) & (F.col("cosine") >= at_least))
     out = ranked(scored)
